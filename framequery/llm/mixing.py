@@ -15,7 +15,7 @@ through, and helper columns avoid clashing names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import cut
@@ -46,12 +46,8 @@ def cyclic_weights(sizes: DataFrame, cycle: tuple[int, ...]) -> DataFrame:
         .select("*", F.monotonically_increasing_id().alias("_at"))
     ).select("*", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_in"))
     counts = ordered.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = (
-        counts.alias("a")
-        .join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left")
-        .groupBy(F.col("a._part").alias("_part"))
-        .agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    )
+    # one row per partition, so this window is small at any size
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     turn = F.pmod(F.col("_before") + F.col("_in"), F.lit(len(cycle)))
     weight = F.element_at(F.array(*map(F.lit, cycle)), (turn + 1).cast("int"))
     return ordered.join(before, "_part").select("source", "source_size", weight.cast("long").alias("weight"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_dedup, mixing
+from . import chat, decontam, line_dedup, mixing, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -111,3 +111,46 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
 
 QUERIES = {"op1_chat_formatting": op1_chat_formatting, "op2_line_dedup": op2_line_dedup, "op8_mixing": op8_mixing}
 ORACLES = {"op1_chat_formatting": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op8_mixing": _OP8_SQL}
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
+QUERIES["op3_decontamination"] = op3_decontamination
+
+
+def _fold(doc_id) :
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The model that the query and the pipeline share: held-out rows are never read."""
+    return toxicity.fit(docs, labels.where(_fold(F.col("doc_id")) != 0))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES["op6_toxicity"] = op6_toxicity
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive(_read(spark, sf_dir, "pages"), min_bytes=0)
+    read = warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op7_warc"] = op7_warc
