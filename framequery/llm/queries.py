@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, toxicity, warc
+from . import chat, decontam, line_dedup, mixing, ngram_join, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -154,3 +154,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_warc"] = op7_warc
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
+QUERIES["op9_ngram_join"] = op9_ngram_join
