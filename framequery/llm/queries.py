@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, ngram_join, suffix_dedup, toxicity, warc
+from . import chat, decontam, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -171,3 +171,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
+
+#: Not a secret: the query must give equal results everywhere. Real runs pass a key of their own.
+DEMO_KEY = b"framequery demonstration key"
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    count = lambda kind: F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", F.size("pii").cast("long").alias("n_pii"), *[count(k) for k, _ in pii.PATTERNS], "text")
+
+
+QUERIES["op4_pii"] = op4_pii
