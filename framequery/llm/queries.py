@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity, warc
+from . import ann, chat, decontam, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -183,3 +183,11 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_pii"] = op4_pii
+
+
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+QUERIES["op5_ann"] = op5_ann
