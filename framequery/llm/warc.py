@@ -16,8 +16,8 @@ end and the payload digest. A record that fails gives a row whose ``error`` says
 Defined cases: null html is an empty payload; equal payloads are those with equal
 SHA-1 digests and lengths; rows that tie for the largest page_id of a payload (repeated rows) are all
 responses; a null page_id counts as smaller than any other; extra columns are ignored;
-an empty table gives no records. Writer tasks take at most ``rows_per_archive`` records
-on average, which bounds the archive that one reader task holds.
+an empty table gives no records. A writer task makes one archive of its split, so
+spark.sql.files.maxPartitionBytes bounds the archive that one reader task holds.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import shared_dir
+from ..plans.runtime import cut, shared_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -41,6 +41,8 @@ FRAME_MAGIC = 0xFD2FB528
 SEPARATOR = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
 SAMPLE_ROWS, SAMPLE_BYTES, DICTIONARY_BYTES = 2000, 4096, 64 << 10
 LEVEL = 3
+#: Digests of repeated payloads are broadcast up to so many (28 bytes each).
+BROADCAST_DIGESTS = 200_000
 REQUIRED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 _ID = "urn:page:"
 
@@ -49,23 +51,32 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest (hex), record_type and refers_to of every page.
 
     Of equal payloads of at least ``min_bytes`` the row with the largest page_id is the
-    response. Payloads are grouped by digest with partial aggregation; only digests
-    that occur more than once are joined back, and a hot one is split by AQE.
+    response. Payloads are grouped by digest with partial aggregation, and only digests
+    that occur more than once are joined back: by broadcast up to BROADCAST_DIGESTS of
+    them, so that payloads stay where they are, else by a shuffle that AQE can split.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    groups = cut(
+        rows.where(F.octet_length("payload") >= min_bytes)
+        .groupBy("digest")
+        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("digest", "keeper")
+    )
+    if groups.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        groups = F.broadcast(groups)
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     return rows.join(groups, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to")
     )
 
 
-def base32_digest(hexadecimal: str) -> str:
-    return base64.b32encode(bytes.fromhex(hexadecimal)).decode("ascii")
+def base32_digest(digest: bytes) -> str:
+    return base64.b32encode(digest).decode("ascii")
 
 
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date: str) -> bytes:
+def record(page_id, url, payload: bytes, digest: bytes, kind: str, refers_to, date: str) -> bytes:
     """One WARC/1.1 record: a response with its payload, or a revisit without."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = http + (payload if kind == "response" else b"")
@@ -87,7 +98,10 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to, date
 
 def train_dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of payload heads; empty if there is too little text."""
-    heads = pages.where("html is not null").orderBy(F.xxhash64("page_id", "url")).select(F.substring("html", 1, SAMPLE_BYTES).alias("head")).limit(SAMPLE_ROWS)
+    n = pages.count()
+    part = min(1.0, 1.5 * SAMPLE_ROWS / max(1, n))
+    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) < int(part * (1 << 30))
+    heads = pages.where(F.col("html").isNotNull() & draw).select(F.substring("html", 1, SAMPLE_BYTES).alias("head")).limit(SAMPLE_ROWS)
     samples = [r["head"].encode("utf-8") for r in heads.collect()]
     samples = [s for s in samples if s]
     if len(samples) < 16 or sum(map(len, samples)) < 16 * 1024:
@@ -259,10 +273,8 @@ def read_archives(spark: SparkSession, path: str, columns: list[str] | None = No
     return files.mapInArrow(read, ", ".join(f"{c} {_FIELDS[c]}" for c in columns))
 
 
-def archive(pages: DataFrame, min_bytes: int = 0, rows_per_archive: int = 2000) -> str:
-    """Write all pages as archives in the shared folder; returns their path."""
+def archive(pages: DataFrame, min_bytes: int = 0) -> str:
+    """Write all pages as archives in the shared folder, one per input split; returns their path."""
     path = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    n = pages.count()
-    rows = classify(pages, min_bytes).repartition(max(1, -(-n // rows_per_archive)), F.xxhash64("page_id", "url"))
-    write_archives(rows, train_dictionary(pages), path)
+    write_archives(classify(pages, min_bytes), train_dictionary(pages), path)
     return path
