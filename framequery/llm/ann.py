@@ -8,8 +8,9 @@ number of parts to probe, taken as the least that reaches ``recall`` on the samp
 Search: every vector of the table is put in the part the classifier finds likeliest. A
 query goes to the parts likeliest for it; parts are dealt into blocks of bounded size,
 so a part that holds a third of all rows is many tasks' work. Blocks stream: base rows
-first, then queries, of which each leaves its best k; those are ranked by exact inner
-product in double precision, ties to the smaller id.
+first, then queries, of which each leaves its best k, but none below its k-th best score
+on the sample, which no true neighbour can be; they and the sample's best are ranked by exact inner product
+in double precision, ties to the smaller id.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null id or with another length than most; equal rows count
@@ -160,37 +161,50 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.97, vector
     n = rows.count()
     share = min(1.0, 1.2 * SAMPLE / max(1, n))
     draw = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = [r["vector"] for r in rows.where(draw).select("vector").limit(SAMPLE).collect()]
-    index = fit(np.array(sample, np.float64).reshape(len(sample), -1), n, k, recall) if sample else Index(np.zeros((0, 1)), np.zeros(1), 1)
-    held = table.sparkSession.sparkContext.broadcast(index)
+    drawn = rows.where(draw).select("vec_id", "vector").limit(SAMPLE).collect()
+    sample = np.array([r["vector"] for r in drawn], np.float64).reshape(len(drawn), len(drawn[0]["vector"]) if drawn else 1)
+    index = fit(sample, n, k, recall) if drawn else Index(np.zeros((0, 1)), np.zeros(1), 1)
+    held = table.sparkSession.sparkContext.broadcast((index, sample, np.array([r["vec_id"] for r in drawn], np.int64)))
     parts = len(index.bias)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = held.value
+        found, known, known_ids = held.value
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x, ids, asks = _matrix(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             order = np.argsort(-found.logits(x), axis=1, kind="stable")[:, : found.probes]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int64()))], names=[*batch.schema.names, "parts"])
-
-    routed = cut(rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(route, "vec_id long, vector array<double>, asks boolean, parts array<long>"))
+            floor, mark, seen = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), [[] for _ in ids]
+            for at in np.flatnonzero(asks).tolist():
+                mark[at] = _mark(x[at])
+                near, score = _nearest(known, known_ids, x[at], ids[at], k)
+                seen[at] = [{"vec_id": int(i), "score": float(s)} for i, s in zip(near, score, strict=True)]
+                if len(near) == k:
+                    floor[at] = score[-1]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(list(order), pa.list_(pa.int64())), pa.array(floor), pa.array(mark), pa.array(seen, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
+                names=[*batch.schema.names, "parts", "floor", "mark", "seen"],
+            )
+
+    routed = cut(rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(route, "vec_id long, vector array<double>, asks boolean, parts array<long>, floor double, mark long, seen array<struct<vec_id:long,score:double>>"))
     base = routed.select(F.get("parts", F.lit(0)).alias("part"), "vec_id", "vector")
     sizes = cut(base.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # a row per part
     asked = routed.where("asks").groupBy().agg(F.count("*").alias("n")).first()["n"]
     rounds = max(1, -(-asked // (16 * BLOCK)))  # queries are dealt too, so no block meets them all
     wide = F.broadcast(sizes)
     left = base.join(wide, "part").select(
-        "part", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.lit(0).alias("kind"), "vec_id", "vector"
+        "part", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.lit(0).alias("kind"), "vec_id", "vector", F.lit(None).cast("double").alias("floor")
     )
     right = (
         routed.where("asks")
-        .select(F.explode("parts").alias("part"), "vec_id", "vector")
+        .select(F.explode("parts").alias("part"), "vec_id", "vector", "floor")
         .join(wide, "part")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(rounds)).cast("int").alias("round"), F.lit(1).alias("kind"), "vec_id", "vector")
+        .select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(rounds)).cast("int").alias("round"), F.lit(1).alias("kind"), "vec_id", "vector", "floor")
     )
     met = left.unionByName(right).repartition("part", "block", "round").sortWithinPartitions("part", "block", "round", "kind", "vec_id")
-    best = met.select("part", "block", "round", "kind", "vec_id", "vector").mapInArrow(_scan(k), "query_id long, mark long, vec_id long, score double")
+    best = met.select("part", "block", "round", "kind", "vec_id", "vector", "floor").mapInArrow(_scan(k), "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    seen = routed.where("asks").select(F.col("vec_id").alias("query_id"), "mark", F.explode("seen").alias("s")).select("query_id", "mark", "s.vec_id", "s.score")
+    once = best.unionByName(seen).groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"))
+    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -199,24 +213,32 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def _mark(q: np.ndarray) -> int:
+    """Tells apart queries that share an id."""
+    return int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "big", signed=True)
+
+
+def _nearest(base: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best rows that reach ``floor`` and are not the query's own."""
+    if not len(base):
+        return ids, np.zeros(0)
+    rough = base @ q
+    rough[ids == own] = -np.inf
+    if len(ids) > k:
+        floor = max(floor, np.partition(rough, len(ids) - k)[len(ids) - k])
+    near = np.flatnonzero(np.isfinite(rough) & (rough >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.isfinite(rough)))
+    score = (base[near] * q).sum(axis=1)  # one order of summation everywhere
+    order = np.lexsort((ids[near], -score))[:k]
+    return ids[near][order], score[order]
+
+
 def _scan(k: int):
     """Streams sorted blocks: base rows are held, queries meet them in batches."""
 
-    def best(base: np.ndarray, ids: np.ndarray, asked: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
-        for a in range(0, len(asked), 256):
-            q, own = queries[a : a + 256], asked[a : a + 256]
-            rough = q @ base.T
-            rough[own[:, None] == ids[None, :]] = -np.inf
-            top = min(k, len(ids))
-            least = np.partition(rough, len(ids) - top, axis=1)[:, len(ids) - top]
-            for i in range(len(q)):
-                if not np.isfinite(least[i]):
-                    near = np.flatnonzero(np.isfinite(rough[i]))
-                else:
-                    near = np.flatnonzero(rough[i] >= least[i] - 1e-9 * max(1.0, abs(least[i])))
-                score = (base[near] * q[i]).sum(axis=1)  # one order of summation for every block
-                order = np.lexsort((ids[near], -score))[:k]
-                yield own[i], int.from_bytes(hashlib.blake2b(q[i].tobytes(), digest_size=8).digest(), "big", signed=True), ids[near[order]], score[order]
+    def best(base: np.ndarray, ids: np.ndarray, asked: np.ndarray, queries: np.ndarray, floor: np.ndarray) -> Iterator[tuple]:
+        for q, own, low in zip(queries, asked, floor, strict=True):
+            near, score = _nearest(base, ids, q, own, k, low)
+            yield own, _mark(q), near, score
 
     def pack(found: list[tuple]) -> pa.RecordBatch:
         size = [len(f[2]) for f in found]
@@ -235,6 +257,7 @@ def _scan(k: int):
         for batch in batches:
             keys = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             kind, vec_id, x = batch.column(3).to_numpy(), batch.column(4).to_numpy(), _matrix(batch.column(5))
+            floor = batch.column(6).to_numpy(zero_copy_only=False)
             cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1) | (kind[1:] != kind[:-1])])) if len(kind) else []
             for a, b in zip(cuts, [*cuts[1:], len(kind)], strict=False):
                 if key != tuple(keys[a]):
@@ -244,7 +267,7 @@ def _scan(k: int):
                     ids.append(vec_id[a:b])
                 elif base:
                     base, ids = [np.concatenate(base)], [np.concatenate(ids)]
-                    found = [f for f in best(base[0], ids[0], vec_id[a:b], x[a:b]) if len(f[2])]
+                    found = [f for f in best(base[0], ids[0], vec_id[a:b], x[a:b], floor[a:b]) if len(f[2])]
                     if found:
                         yield pack(found)
 
