@@ -115,6 +115,7 @@ class WordHasher:
         starts = np.flatnonzero(edge[:n] & inside)
         ends = np.flatnonzero(edge[1:] & inside) + 1
         if len(cuts):  # a new text begins a new word
+            cuts = np.unique(cuts)  # empty texts repeat an offset
             split = cuts[inside[cuts] & inside[cuts - 1]]
             if len(split):
                 starts = np.sort(np.concatenate([starts, split]))

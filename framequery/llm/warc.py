@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, shared_dir
+from ..plans.runtime import cut, delete_on_exit, shared_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -274,7 +274,11 @@ def read_archives(spark: SparkSession, path: str, columns: list[str] | None = No
 
 
 def archive(pages: DataFrame, min_bytes: int = 0) -> str:
-    """Write all pages as archives in the shared folder, one per input split; returns their path."""
+    """Write all pages as archives in the shared folder, one per input split; returns their path.
+
+    They last as long as the session; ``write_archives`` keeps archives where it is told.
+    """
     path = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archives(classify(pages, min_bytes), train_dictionary(pages), path)
+    delete_on_exit(pages.sparkSession, path)
     return path
