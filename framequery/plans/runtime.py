@@ -7,6 +7,7 @@ cut only through files in the folder named by ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,6 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 _KEY = "spark.checkpoint.dir"
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver's JVM delete a folder of intermediates when it ends."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by driver and executors.
 
@@ -28,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if configured:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(configured)
+            delete_on_exit(spark, sc.getCheckpointDir())
         return configured
     if sc.getCheckpointDir() is not None:
         return sc.getCheckpointDir()
@@ -54,9 +63,22 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_on_exit(spark, path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    Its cleaner acts only when the driver has collected the objects that stand for
+    them, which a driver with little to do puts off; on large inputs those files would
+    pile up for as long as the query runs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(base: str, taken) -> str:
     """``base``, or ``base`` with a suffix, so that no column of ``taken`` clashes."""
     lowered = {c.lower() for c in taken}
