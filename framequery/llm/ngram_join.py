@@ -43,7 +43,9 @@ _WORD = bytes(b for b in range(256) if b not in b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Counters of the frequency table, and how many of them travel in one row.
 SLOT_BITS, CHUNK = 21, 1 << 16
 #: Star rounds before the remaining pairs across components are all made.
-STAR_ROUNDS = 6
+STAR_ROUNDS = 2
+#: Classes of a group when pairs are verified; a block holds the sets of two groups.
+GROUP = 256
 
 
 class Shingler:
@@ -236,35 +238,48 @@ def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    """The linked ones of distinct (a, b) pairs: a's whole text is met with each b's, in sorted streams.
+    """The linked ones of distinct (a, b) pairs, met on whole texts.
 
-    An ``a`` with many partners is dealt over several groups; only one set is held.
+    Classes are grouped with their smallest partner, in groups of about GROUP; a block
+    holds the pairs between two groups, and a text goes once to each block that needs
+    it, not once per pair. Blocks stream; a worker holds the sets of one.
     """
-    sized = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("deals"))
-    dealt = cut(pairs.join(sized, "a").select("a", "b", "deals", F.pmod(F.xxhash64("b"), "deals").alias("deal")))
-    firsts = dealt.select("a", "deal").distinct().join(texts.withColumnRenamed("cls", "a"), "a").select("a", "deal", F.lit(None).cast("long").alias("b"), "text")
-    others = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "deal", "b", "text")
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("near"))
+    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    groups = cut(near.join(sizes, "near").select(F.col("a").alias("cls"), F.xxhash64("near", F.pmod(F.xxhash64("a"), "parts")).alias("g")))
+    side = lambda c: groups.select(F.col("cls").alias(c), F.col("g").alias(f"g_{c}"))
+    keyed = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("g_a", "g_b").alias("p"), F.greatest("g_a", "g_b").alias("q"), "a", "b")
+    keyed = cut(keyed)
+    sent = keyed.select("p", "q", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
+    rows = sent.select("p", "q", "cls", F.lit(None).cast("long").alias("b"), "text").unionByName(
+        keyed.select("p", "q", F.col("a").alias("cls"), "b", F.lit(None).cast("string").alias("text"))
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, key, mine = Shingler(k, seed), None, None
+        shingler, block = Shingler(k, seed), None
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, deal, b = (batch.column(i).to_pylist() for i in range(3))
-            offsets, data = text_buffers(batch.column(3))
+            p, q, cls, b = (batch.column(i).to_pylist() for i in range(4))
+            offsets, data = text_buffers(batch.column(4))
             for lo, hi in row_groups(offsets):
-                found = []
-                for i, s in zip(range(lo, hi), shingler.sets(offsets[lo : hi + 1], data), strict=True):
+                sets, found = shingler.sets(offsets[lo : hi + 1], data), []
+                for i in range(lo, hi):
+                    if block != (p[i], q[i]):
+                        block, held = (p[i], q[i]), {}
                     if b[i] is None:
-                        key, mine = (a[i], deal[i]), s
-                    elif key == (a[i], deal[i]):
-                        both = np.sort(np.concatenate([mine, s]), kind="stable")
-                        common = int((both[1:] == both[:-1]).sum())
-                        if 100 * common >= percent * (len(mine) + len(s) - common):
-                            found.append((a[i], b[i]))
+                        held[cls[i]] = sets[i - lo]
+                        continue
+                    x, y = held[cls[i]], held[b[i]]
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        found.append((cls[i], b[i]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    both = firsts.unionByName(others).repartition("a", "deal").sortWithinPartitions("a", "deal", F.col("b").asc_nulls_first())
-    return both.mapInArrow(run, "a long, b long")
+    dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _texts(docs: DataFrame, needed: DataFrame, k: int, seed: int) -> DataFrame:
