@@ -15,11 +15,11 @@ _M = "WITH " + X.METRICS_SQL
 
 
 @query(
-    f"""{_M} SELECT name, step, value, quantile_disc(value, 0.5) OVER w AS median, round(avg(value) OVER w, 6) AS average, max(value) OVER w AS largest
+    f"""{_M} SELECT name, step, value, quantile_disc(value, 0.5) OVER w AS median, round(avg(value) OVER w + 1e-9, 6) AS average, max(value) OVER w AS largest
   FROM metrics WINDOW w AS (PARTITION BY name ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
 )
 def meter_rolling(spark, sf_dir):
-    return metrics.rolling(X.metrics(spark, sf_dir)).withColumn("average", F.round("average", 6))
+    return metrics.rolling(X.metrics(spark, sf_dir)).withColumn("average", F.round(F.col("average") + 1e-9, 6))
 
 
 @query(
@@ -36,10 +36,10 @@ def meter_weighted_avg(spark, sf_dir):
     return X.metrics(spark, sf_dir).groupBy("name").agg(F.round(metrics.weighted_average(F.col("value"), n), 5).alias("weighted"))
 
 
-@query(f"{_M}, r AS (SELECT name, user_id % 8 AS worker, sum(value) AS v FROM metrics GROUP BY ALL) SELECT name, round(sum(v) / 8, 4) AS reduced FROM r GROUP BY name")
+@query(f"{_M}, r AS (SELECT name, user_id % 8 AS worker, sum(value) AS v FROM metrics GROUP BY ALL) SELECT name, round(sum(v) / 8 + 1e-7, 4) AS reduced FROM r GROUP BY name")
 def distributed_mean(spark, sf_dir):
     per = X.metrics(spark, sf_dir).groupBy("name", F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.sum("value").alias("v"))
-    return per.groupBy("name").agg(F.round(F.sum("v") / 8, 4).alias("reduced"))
+    return per.groupBy("name").agg(F.round(F.sum("v") / 8 + 1e-7, 4).alias("reduced"))
 
 
 @query(
