@@ -15,6 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Loops cut lineage often; every so many cuts, finished shuffles are freed.
+RELEASE_EVERY = 4
+_cuts = [0]
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> None:
@@ -51,7 +55,11 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with ``checkpoint()``: for small or medium results."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _cuts[0] += 1
+    if _cuts[0] % RELEASE_EVERY == 0:
+        release(df.sparkSession)
+    return out
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
@@ -79,6 +87,16 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bound the rows of an Arrow batch that goes to Python, where rows hold whole texts.
+
+    Lowers the session's setting and never raises it: plans read it when they run, so it
+    has to stay as it is until the caller has used the result.
+    """
+    if int(spark.conf.get(_BATCH)) > rows or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(rows))
+
+
 def free_name(base: str, taken) -> str:
     """``base``, or ``base`` with a suffix, so that no column of ``taken`` clashes."""
     lowered = {c.lower() for c in taken}
