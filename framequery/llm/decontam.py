@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import free_name, spill
+from ..plans.runtime import free_name, small_batches, spill
 from .textbytes import text_buffers
 
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
@@ -131,6 +131,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` (or its ``keep`` columns) with n_words, hit_spans (start and end words) and hit_items."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.encode(F.col("text"), "UTF-8").alias("body")).where("body is not null")
     total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     n_blocks = -(-total // block_bytes) or 1

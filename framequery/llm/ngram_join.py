@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, spill
+from ..plans.runtime import cut, small_batches, spill
 from .components import components
 from .textbytes import U64, WordHasher, mix64, row_groups, text_buffers
 
@@ -301,6 +301,7 @@ def _texts(docs: DataFrame, needed: DataFrame, k: int, seed: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has doc_id, cls, n of every document; groups has cls and component (smallest doc_id)."""
+    small_batches(docs.sparkSession)
     while True:
         profile = spill(_profile(docs, words, seed), "profile")
         rows = profile.where("part is null").select("doc_id", "cls", "alt", "n", "h1", "h2")

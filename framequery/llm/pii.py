@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import free_name
+from ..plans.runtime import free_name, small_batches
 
 _ROUNDS = 8
 
@@ -241,6 +241,7 @@ def replacer(key: bytes, back: bool = False) -> Callable[[str], tuple[str, list[
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:
     """``docs`` (or its ``keep`` columns) with pseudonyms in ``text`` and ``pii``: (kind, start, end) of each."""
+    small_batches(docs.sparkSession)
     kept = list(dict.fromkeys([*(docs.columns if keep is None else keep), text]))
     name = free_name("pii", docs.columns)
     find = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

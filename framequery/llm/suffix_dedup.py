@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import spill
+from ..plans.runtime import small_batches, spill
 from .textbytes import PIECE, U64, mix64, row_groups, text_buffers
 
 GRAM = 32
@@ -265,6 +265,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, spans (removed, start and end), kept_sha256 and, if asked, kept."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = _anchor_rows(source, length)

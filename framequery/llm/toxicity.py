@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import cut, free_name
+from ..plans.runtime import cut, free_name, small_batches
 from .textbytes import text_buffers
 
 ORDERS = (3, 4, 5)
@@ -81,6 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1.0, rounds: int = 150) -> Model:
     """Train on the rows of ``labels``; what must stay unseen is filtered out by the caller."""
+    small_batches(docs.sparkSession)
     rows, counts = sample(docs, labels, label, per_class)
     rows = cut(rows)
     base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
@@ -151,6 +152,7 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: flo
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
     """``docs`` (or its ``keep`` columns) with the score of every whole text."""
+    small_batches(docs.sparkSession)
     kept = docs.columns if keep is None else keep
     name = free_name(name, docs.columns)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))

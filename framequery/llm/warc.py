@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, delete_on_exit, shared_dir
+from ..plans.runtime import cut, delete_on_exit, shared_dir, small_batches
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -114,6 +114,7 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 def write_archives(classified: DataFrame, dictionary: bytes, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one archive per partition of ``classified`` under ``path``."""
+    small_batches(classified.sparkSession)
     held = classified.sparkSession.sparkContext.broadcast(dictionary)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
