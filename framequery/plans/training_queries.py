@@ -49,8 +49,7 @@ def distributed_mean(spark, sf_dir):
   SELECT name, round(arg_max(v, n), 5) AS ema FROM f GROUP BY name"""
 )
 def ema_fold(spark, sf_dir):
-    series = X.metrics(spark, sf_dir).where(F.pmod("step", F.lit(10)) == 0)
-    return metrics.ema(series, 0.999, 100).withColumn("ema", F.round("ema", 5))
+    return metrics.ema(X.metrics(spark, sf_dir), 0.999, 100).withColumn("ema", F.round("ema", 5))
 
 
 @query(
