@@ -22,3 +22,10 @@ def test_ema_fold_takes_every_event(spark):
         want[name] = round(v, 5)
     got = {r["name"]: r["ema"] for r in catalog.QUERIES["ema_fold"](spark, DATA).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+
+def test_denoising_index_takes_every_frame(spark):
+    sizes = duckdb.sql(f"SELECT l_orderkey, count(*) FROM '{DATA}/lineitem.parquet' GROUP BY 1").fetchall()
+    want = {(f, d, g, g * n + d - 1) for f, n in sizes for g in range(max(100 // n, 1)) for d in range(1, n + 1)}
+    got = [(r["frame_id"], r["det_id"], r["grp"], r["query"]) for r in catalog.QUERIES["denoising_index"](spark, DATA).collect()]
+    assert len(got) == len(want) and set(got) == want
