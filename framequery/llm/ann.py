@@ -9,8 +9,9 @@ Search: every vector of the table is put in the part the classifier finds likeli
 query goes to the parts likeliest for it; parts are dealt into blocks of bounded size,
 so a part that holds a third of all rows is many tasks' work. Blocks stream: base rows
 first, then queries, of which each leaves its best k, but none below its k-th best score
-on the sample, which no true neighbour can be; they and the sample's best are ranked by exact inner product
-in double precision, ties to the smaller id.
+on the sample's rows in the parts it goes to, which none of its k best there can be; they
+are ranked by exact inner product in double precision, ties to the smaller id. Only a
+query whose parts hold fewer than k other rows takes the rest from the sample.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null id or with another length than most; equal rows count
@@ -164,21 +165,24 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.97, vector
     drawn = rows.where(draw).select("vec_id", "vector").limit(SAMPLE).collect()
     sample = np.array([r["vector"] for r in drawn], np.float64).reshape(len(drawn), len(drawn[0]["vector"]) if drawn else 1)
     index = fit(sample, n, k, recall) if drawn else Index(np.zeros((0, 1)), np.zeros(1), 1)
-    held = table.sparkSession.sparkContext.broadcast((index, sample, np.array([r["vec_id"] for r in drawn], np.int64)))
+    home = index.logits(sample).argmax(1) if drawn else np.zeros(0, np.int64)
+    held = table.sparkSession.sparkContext.broadcast((index, sample, np.array([r["vec_id"] for r in drawn], np.int64), home))
     parts = len(index.bias)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known, known_ids = held.value
+        found, known, known_ids, homes = held.value
         for batch in batches:
             x, ids, asks = _matrix(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
             order = np.argsort(-found.logits(x), axis=1, kind="stable")[:, : found.probes]
             floor, mark, seen = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), [[] for _ in ids]
             for at in np.flatnonzero(asks).tolist():
                 mark[at] = _mark(x[at])
-                near, score = _nearest(known, known_ids, x[at], ids[at], k)
-                seen[at] = [{"vec_id": int(i), "score": float(s)} for i, s in zip(near, score, strict=True)]
+                near, score = _nearest(known, known_ids, x[at], ids[at], k, among=np.isin(homes, order[at]))
                 if len(near) == k:
                     floor[at] = score[-1]
+                else:
+                    near, score = _nearest(known, known_ids, x[at], ids[at], k)
+                    seen[at] = [{"vec_id": int(i), "score": float(s)} for i, s in zip(near, score, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(list(order), pa.list_(pa.int64())), pa.array(floor), pa.array(mark), pa.array(seen, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
                 names=[*batch.schema.names, "parts", "floor", "mark", "seen"],
@@ -203,8 +207,10 @@ def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.97, vector
     best = met.select("part", "block", "round", "kind", "vec_id", "vector", "floor").mapInArrow(_scan(k), "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     seen = routed.where("asks").select(F.col("vec_id").alias("query_id"), "mark", F.explode("seen").alias("s")).select("query_id", "mark", "s.vec_id", "s.score")
-    once = best.unionByName(seen).groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    both = best.withColumn("routed", F.lit(1)).unionByName(seen.withColumn("routed", F.lit(0)))
+    once = both.groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"), F.max("routed").alias("routed"))
+    short = F.sum("routed").over(Window.partitionBy("query_id", "mark")) < k
+    ranked = once.withColumn("short", short).where((F.col("routed") == 1) | F.col("short")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
@@ -218,12 +224,12 @@ def _mark(q: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def _nearest(base: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best rows that reach ``floor`` and are not the query's own."""
+def _nearest(base: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int, floor: float = -np.inf, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and exact scores of the k best rows ``among`` all that reach ``floor`` and are not the query's own."""
     if not len(base):
         return ids, np.zeros(0)
     rough = base @ q
-    rough[ids == own] = -np.inf
+    rough[ids == own if among is None else (ids == own) | ~among] = -np.inf
     if len(ids) > k:
         floor = max(floor, np.partition(rough, len(ids) - k)[len(ids) - k])
     near = np.flatnonzero(np.isfinite(rough) & (rough >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.isfinite(rough)))
