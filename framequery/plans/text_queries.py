@@ -112,7 +112,7 @@ _QUERIES = "q AS (SELECT label AS image_id, vec_id AS query_id, embedding[1:8] A
 
 
 def _queries(spark, sf_dir):
-    return X.table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("query_id"), F.slice("embedding", 1, 8).alias("logits"))
+    return X.table(spark, sf_dir, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("logits"))
 
 
 @query(
