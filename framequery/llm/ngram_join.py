@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, small_batches, spill
+from ..plans.runtime import cut, free_name, small_batches, spill
 from .components import components
 from .textbytes import U64, WordHasher, mix64, row_groups, text_buffers
 
@@ -367,17 +367,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component: that whose doc_id names it.
+    """``docs`` with one row of each component: that of the smallest doc_id, null ids last.
 
-    Rows that share that id are told apart by their order in it, so one row stays.
+    Where ids are null or repeat, rows are told apart by a key written with them. Rows without
+    any word are no copies; those that share id and text stay once, those of null ids all.
     """
-    found = near_duplicates(docs, words, percent)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    if twice.limit(1).count() == 0:
-        return kept.select(*docs.columns)
-    repeated = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*docs.columns))
-    one = repeated.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*docs.columns)
-    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count() == 0:
+        found = near_duplicates(docs, words, percent)
+        gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name("row_key", docs.columns)
+    keyed = spill(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent)
+    groups = found.select(F.col("doc_id").alias(key), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group"))
+    ids = keyed.select(key, F.col("doc_id").alias("id"), F.xxhash64("text").alias("same"), F.xxhash64(*docs.columns).alias("turn"))
+    wordless = F.when(F.col("group").isNull(), F.struct("id", "same", F.when(F.col("id").isNull(), F.col(key)).alias("own")))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "turn", F.col(key).alias("key")))
+    kept = ids.join(groups, key).groupBy("group", wordless.alias("wordless")).agg(first.alias("first")).select(F.col("first.key").alias(key))
+    return keyed.join(kept, key, "left_semi").select(*docs.columns)
