@@ -5,7 +5,8 @@ number plans); a valid value is numbered within its format's domain, the number
 permuted by a keyed Feistel network with cycle walking, and the new value is written
 in the old one's format. Equal values get equal pseudonyms in every document, also
 where they are written differently; check digits stay valid; with the key the
-permutation can be undone. Values that fail validation stay as they are.
+permutation can be undone. Values that fail validation stay as they are, but for phone
+numbers written as +1 (ddd) ddd-dddd, which are permuted among those outside the plan.
 
 Defined cases: null text stays null with no finds; texts of any length are searched
 whole; other columns pass through and the added ``pii`` column takes a suffix on a
@@ -119,8 +120,16 @@ class Pseudonyms:
     def phone(self, s: str) -> str | None:
         digits = re.sub(r"\D", "", s)
         country, national = digits[:-10], digits[-10:]
-        if len(national) != 10 or country not in ("", "1") or national[0] in "01" or national[3] in "01":
+        if len(national) != 10 or country not in ("", "1"):
             return None
+        outside = lambda x: x[0] in "01" or x[3] in "01"
+        if outside(national):
+            if not s.startswith("+1") or "(" not in s:
+                return None
+            national = f"{self._turn(int(national), 10**10, 'phone-any'):010d}"
+            while not outside(national):  # walk the cycle back out of the plan
+                national = f"{self._turn(int(national), 10**10, 'phone-any'):010d}"
+            return _refill(s, country + national)
         value = ((int(national[:3]) - 200) * 800 + int(national[3:6]) - 200) * 10_000 + int(national[6:])
         rest, line = divmod(self._turn(value, 800 * 800 * 10_000, "phone"), 10_000)
         area, exchange = divmod(rest, 800)
@@ -189,7 +198,7 @@ PATTERNS = [
     ("secret", r"(?i:(?<![a-z])(?:password|passwd|pwd|token|secret|api[_-]?key))\s*+[=:]\s*+(?:\"[^\s\"']{6,}+(?=\")|'[^\s\"']{6,}+(?=')|[^\s\"']{6,}+)"),
     ("key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("phone", r"(?<![\w+(.-])(?:\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+(.-])(?:\+?1[ .-])?[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}(?![\w-])"),
+    ("phone", r"(?<![\w+(.-])\+1[ .-]?\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+(.-])(?:\+?1[ .-]?)?\([2-9][0-9]{2}\) ?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w+(.-])(?:\+?1[ .-])?[2-9][0-9]{2}([ .-])[0-9]{3}\1[0-9]{4}(?![\w-])"),
     ("card", r"(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}(?:\1[0-9]{4}){1,2}\1[0-9]{1,4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![\w-])"),
     ("ssn", r"(?<![\w.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
     ("ip", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\w])"),
