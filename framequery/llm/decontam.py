@@ -114,7 +114,7 @@ class Matcher:
                     found.append((first + start, first + start + table.length))
                     items |= names
             n += len(part)
-            kept = ids[len(ids) - self.overlap :] if self.overlap else []
+            kept = ids[max(0, len(ids) - self.overlap) :]
         return n, merged(found), items
 
 
