@@ -29,6 +29,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+def contracted(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """``groups`` (node, component) after ``edges`` (a, b) between components or single nodes."""
+    merged = cut(components(edges))
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = groups.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return cut(moved.unionByName(merged.join(groups, "node", "left_anti")))
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Each neighbour larger than a node is tied to the smallest around the node."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))

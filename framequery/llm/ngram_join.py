@@ -1,22 +1,24 @@
 """N-gram Jaccard self-join of documents by rare-first prefix filtering.
 
 A document's set is its distinct word shingles. Two documents link when
-100 * |A & B| >= percent * |A | B|. The result is exact: every link's two ends are in
-one component, and components hold nothing else.
+100 * |A & B| >= percent * |A | B|. Every link's two ends are in one component, and
+components hold nothing else. Shingles are compared by 64-bit hashes, equal sets by 128.
 
-1. Documents with equal sets form a class (a 128-bit set hash); classes are joined.
+1. Documents with equal sets form a class; classes are joined.
 2. Shingle frequencies over all documents go into a counter table of fixed size, which
    gives the global rare-first order: (frequency level, hash).
-3. Each class sends the rarest n - ceil(t n) + 1 shingles of its set with their
-   positions; shingles met in one class only are dropped.
-4. Within a shingle's bucket, pairs are made rare-first in stars: every member with one
-   pivot. Pairs pass the length, positional and suffix filters (the suffix filter
-   compares counts of the two sets over ranges of the hash), are made distinct over
-   all buckets, and are verified once on whole texts.
-5. Members that the stars have put into one component need no further pairs. For
-   buckets that still hold several components, more stars with other pivots follow,
-   and at last all pairs across components that the filters let pass. So a group of
-   thousands of near copies never has all its pairs made.
+3. Each class sends the rarest n - ceil(t n) + 1 shingles of its set, each with its
+   position and a signature of the suffix after it (counts over 8 ranges of the hash).
+   Shingles met in one class only are dropped. Shingles far more frequent than the mean
+   are dealt into parts, so no task sorts a bucket that grows with a third of all rows.
+4. Within a bucket every member meets the one of smallest position, which has the fewest
+   shingles of its own: in a group of near copies that is the text nearest to all. A pair
+   is made only where it passes the length, positional and suffix filters; pairs are
+   distinct over all buckets and verified once on whole texts.
+5. Buckets that still hold several components are open. The component with most rows in
+   a bucket is its major one, and only the other rows look for partners: first with a
+   member of the major component, as long as that halves the work that is left; then
+   with all rows of other components that the three filters let pass.
 
 Words: A-Z lowered, runs of anything but blank and U+0009-U+000D. A text with fewer
 words than a shingle is one shingle; without words, or null, it is linked with nothing.
@@ -35,17 +37,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, free_name, small_batches, spill
-from .components import components
+from ..plans.runtime import cut, free_name, spill
+from .components import components, contracted
 from .textbytes import U64, WordHasher, mix64, row_groups, text_buffers
 
 _WORD = bytes(b for b in range(256) if b not in b"\x20\x09\x0a\x0b\x0c\x0d")
 #: Counters of the frequency table, and how many of them travel in one row.
 SLOT_BITS, CHUNK = 21, 1 << 16
-#: Star rounds before the remaining pairs across components are all made.
-STAR_ROUNDS = 2
-#: Classes of a group when pairs are verified; a block holds the sets of two groups.
-GROUP = 256
+#: Rows of a part of a frequent shingle's bucket, and how often a counter has to exceed the mean for that.
+BUCKET, FREQUENT = 1 << 16, 64
+#: Pairs left per open row up to which no further stars are tried.
+STARS_ABOVE = 64
+#: Members of a star that meet their pivot in one block.
+BLOCK = 1024
+#: Rows up to which the side that asks for texts is broadcast (about 50 bytes each); a shuffle join beyond.
+WANTED = 400_000
 
 
 class Shingler:
@@ -79,51 +85,42 @@ class Shingler:
         return out
 
 
-def identity(s: np.ndarray) -> tuple[int, int, int, int]:
-    """(class, check hash, counts of the set over 8 ranges of the hash as two longs of 15-bit fields)."""
-    one = int(mix64(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64))
+def identity(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """(class, check hash) of a set; the class has the given number of bits."""
+    one = int(mix64(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)) >> (64 - bits)
     two = int(mix64(s + U64(0x14057B7EF767814F)).sum(dtype=U64))
-    parts = np.minimum(np.bincount((s >> U64(61)).astype(np.int64), minlength=8), 32767).tolist()
-    packed = [sum(p << (15 * i) for i, p in enumerate(parts[o : o + 4])) for o in (0, 4)]
-    return np.int64(U64(one)).item() if one < 1 << 63 else one - (1 << 64), two - (1 << 64) if two >= 1 << 63 else two, packed[0], packed[1]
-
-
-def _needed(n: Column, m: Column, percent: int) -> Column:
-    """Smallest intersection of two linked sets of n and m shingles."""
-    return F.ceil((n + m) * percent / F.lit(float(100 + percent)) - 1e-9)
+    return one - (1 << 64) if one >= 1 << 63 else one, two - (1 << 64) if two >= 1 << 63 else two
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _profile(docs: DataFrame, k: int, seed: int) -> DataFrame:
-    """A row per document (doc_id, cls, alt, n, h1, h2) and rows of counters (part, chunk, counts)."""
+def _profile(docs: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
+    """A row per document (doc_id, mark, cls, alt, n) and rows of counters (part, chunk, counts)."""
+    names = ["doc_id", "mark", "cls", "alt", "n", "part", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shingler, counts = Shingler(k, seed), np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            offsets, data = text_buffers(batch.column(1))
+            offsets, data = text_buffers(batch.column(2))
             for a, b in row_groups(offsets):
                 sets = shingler.sets(offsets[a : b + 1], data)
                 everything = np.concatenate(sets) if sets else np.zeros(0, U64)
                 counts += np.bincount((everything >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
-                ids = [identity(s) for s in sets]
-                columns = [pa.array(c, pa.int64()) for c in zip(*ids, strict=True)]
-                yield pack(b - a, batch.column(0).slice(a, b - a), columns[0], columns[1], pa.array([len(s) for s in sets], pa.int64()), columns[2], columns[3])
+                cls, alt = zip(*(identity(s, bits) for s in sets), strict=True)
+                yield pack(b - a, doc_id=batch.column(0).slice(a, b - a), mark=batch.column(1).slice(a, b - a), cls=pa.array(cls, pa.int64()), alt=pa.array(alt, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
         if counts.any():
             low = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, CHUNK)
             for chunk, row in enumerate(low):
                 yield pack(1, part=pa.array([TaskContext.get().partitionId()], pa.int64()), chunk=pa.array([chunk], pa.int64()), counts=pa.array([row.tobytes()], pa.binary()))
 
-    def pack(n, doc_id=None, cls=None, alt=None, size=None, h1=None, h2=None, part=None, chunk=None, counts=None) -> pa.RecordBatch:
-        columns = [pa.nulls(n, t) if c is None else c for c, t in zip((doc_id, cls, alt, size, h1, h2, part, chunk, counts), [pa.int64()] * 8 + [pa.binary()], strict=True)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "cls", "alt", "n", "h1", "h2", "part", "chunk", "counts"])
+    def pack(rows: int, **known: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([known.get(c, pa.nulls(rows, pa.binary() if c == "counts" else pa.int64())) for c in names], names=names)
 
-    schema = "doc_id long, cls long, alt long, n long, h1 long, h2 long, part long, chunk long, counts binary"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'counts' else 'long'}" for c in names))
 
 
 def _levels(counters: DataFrame) -> np.ndarray:
@@ -154,18 +151,30 @@ def _levels(counters: DataFrame) -> np.ndarray:
     return out
 
 
-def _postings(docs: DataFrame, levels: np.ndarray, k: int, percent: int, seed: int) -> DataFrame:
-    """(token, cls, n, pos, turn) of the rarest shingles, once per class and task."""
-    held = docs.sparkSession.sparkContext.broadcast(levels)
+def _suffixes(s: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each shingle of the prefix the counts of those after it over 8 ranges of the hash, 255 at most, in 8 bytes."""
+    part = (s & U64(7)).astype(np.int64)
+    seen = np.zeros((len(first), 8), np.int64)
+    seen[np.arange(len(first)), part[first]] = 1
+    left = np.bincount(part, minlength=8) - np.cumsum(seen, axis=0)
+    return np.minimum(left, 255).astype(np.uint8).view(np.int64).ravel()
+
+
+def _postings(source: DataFrame, levels: np.ndarray, k: int, percent: int, seed: int, bits: int) -> DataFrame:
+    """(token, part, cls, n, pos, suffix) of the rarest shingles, once per class and task."""
+    counts = np.exp2(np.arange(256) / 4)
+    mean = max(1.0, float(counts[levels[levels > 0]].mean())) if levels.any() else 1.0
+    parts = np.where(counts > max(BUCKET, FREQUENT * mean), np.ceil(counts / BUCKET), 1)  # by level
+    held = source.sparkSession.sparkContext.broadcast((levels, np.minimum(parts, 1 << 30).astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, level, sent = Shingler(k, seed), held.value, set()
+        shingler, (level, parts), sent = Shingler(k, seed), held.value, set()
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
             for a, b in row_groups(offsets):
-                tokens, classes, sizes, places = [], [], [], []
+                tokens, ranks, classes, sizes, places, suffixes = [], [], [], [], [], []
                 for s in shingler.sets(offsets[a : b + 1], data):
-                    if not len(s) or (cls := identity(s)[0]) in sent:
+                    if not len(s) or (cls := identity(s, bits)[0]) in sent:
                         continue
                     sent.add(cls)
                     rank = (level[(s >> U64(64 - SLOT_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (s >> U64(8))
@@ -173,184 +182,187 @@ def _postings(docs: DataFrame, levels: np.ndarray, k: int, percent: int, seed: i
                     first = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
                     first = first[np.lexsort((s[first], rank[first]))]
                     tokens.append(s[first].view(np.int64))
+                    ranks.append(rank[first])
                     classes.append(np.full(p, cls, np.int64))
                     sizes.append(np.full(p, len(s), np.int32))
                     places.append(np.arange(1, p + 1, dtype=np.int32))
+                    suffixes.append(_suffixes(s, first))
                 if tokens:
                     c = np.concatenate(classes)
-                    turn = (mix64(c.view(U64)) >> U64(33)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), c, np.concatenate(sizes), np.concatenate(places), turn)], names=["token", "cls", "n", "pos", "turn"])
+                    many = parts[(np.concatenate(ranks) >> U64(56)).astype(np.int64)]
+                    part = np.where(many > 1, 1 + (mix64(c.view(U64)) >> U64(33)).astype(np.int64) % many, 0).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), part, c, np.concatenate(sizes), np.concatenate(places), np.concatenate(suffixes))], names=["token", "part", "cls", "n", "pos", "suffix"])
+
+    return source.select("text").mapInArrow(run, "token long, part int, cls long, n int, pos int, suffix long")
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "token long, cls long, n int, pos int, turn int")
 
+def _near(n, pos, suffix, m, qos, suffix2, percent: int) -> np.ndarray:
+    """Length, positional and suffix filters for pairs of postings of one token."""
+    need = -(-(n + m) * percent // (100 + percent))
+    fits = (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & (np.minimum(n - pos, m - qos) + 1 >= need)
+    ends = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).astype(np.int64) for x in (suffix, suffix2)]
+    return fits & (np.abs(ends[0] - ends[1]).sum(1) <= n + m - 2 * need - (pos - 1) - (qos - 1))
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of tokens met in several classes, with the bucket's pivot (its first by turn).
 
-    The sorted partition is streamed: a bucket of any size is never held.
+def _passes(left: str, right: str, percent: int) -> Column:
+    """The same filters on columns <left>n, <left>pos, <left>suffix and those of ``right``."""
+    n, pos, suffix, m, qos, suffix2 = (F.col(side + c) for side in (left, right) for c in ("n", "pos", "suffix"))
+    need = F.ceil((n + m) * percent / F.lit(float(100 + percent)) - 1e-9)
+    byte = lambda x, i: F.shiftright(x, 8 * i).bitwiseAND(F.lit(255))
+    apart = sum((F.abs(byte(suffix, i) - byte(suffix2, i)) for i in range(8)), F.lit(0))
+    fits = (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - pos, m - qos) + 1 >= need)
+    return fits & (apart <= n + m - 2 * need - (pos - 1) - (qos - 1))
+
+
+def _shared(postings: DataFrame, percent: int) -> DataFrame:
+    """Postings of tokens met in several classes, each with its bucket's first class and whether the filters pass them.
+
+    The sorted partition is streamed: a bucket of any size is never held. Rows of one
+    class in one bucket (sent by several tasks) are neighbours and become one.
     """
+    names = ["token", "part", "cls", "n", "pos", "suffix"]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot = None  # last row that opened a bucket, and whether it was already sent
-        waiting = False
+        first = last = None  # the row that opened the bucket at hand; the last row seen
+        sent = False  # whether the opening row has gone out
         for batch in batches:
-            token, cls, n, pos = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            if not len(token):
+            rows = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            if not len(rows[0]):
                 continue
-            if pivot is not None:  # the row that opened the last bucket goes first again
-                token, cls, n, pos = (np.concatenate([[p], x]) for p, x in zip(pivot, (token, cls, n, pos), strict=True))
-            opens = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            lead = 0
+            if first is not None:  # the opening row goes first again, to be met by the rest of its bucket
+                lead = 1 if first == last else 2
+                rows = [np.concatenate([np.array([f, x][:lead], r.dtype), r]) for f, x, r in zip(first, last, rows, strict=True)]
+            token, part, cls = rows[:3]
+            same = np.zeros(len(token), bool)
+            same[1:] = (token[1:] == token[:-1]) & (part[1:] == part[:-1])
+            opens = np.flatnonzero(~same)
             head = np.repeat(opens, np.diff(np.append(opens, len(token))))
-            other = cls != cls[head]
-            shared = np.zeros(len(token), bool)
-            shared[head[other]] = True  # pivots with company
-            keep = other | shared
-            if pivot is not None and not waiting:
-                keep[0] = False  # sent with an earlier batch
-            sent_last = bool(shared[head[-1]]) or (pivot is not None and head[-1] == 0 and not waiting)
-            pivot, waiting = tuple(x[head[-1]] for x in (token, cls, n, pos)), not sent_last
-            if keep.any():
-                h = head[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip((token[keep], cls[keep], n[keep], pos[keep], cls[h], n[h], pos[h]), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)],
-                    names=["token", "cls", "n", "pos", "p_cls", "p_n", "p_pos"],
-                )
-
-    dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "turn", "cls").select("token", "cls", "n", "pos")
-    return dealt.mapInArrow(run, "token long, cls long, n int, pos int, p_cls long, p_n int, p_pos int")
-
-
-def _passes(n, pos, m, qos, percent: int) -> Column:
-    """Length and positional filters for two postings of one token."""
-    n, pos, m, qos = map(F.col, (n, pos, m, qos))
-    fits = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    return fits & (F.least(n - pos, m - qos) + 1 >= _needed(n, m, percent))
-
-
-def _suffix_filter(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Drop pairs whose sets differ too much in their counts over ranges of the hash."""
-    side = lambda p: classes.select(F.col("cls").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in ("n", "h1", "h2")])
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    field = lambda c, i: F.shiftright(F.col(c), 15 * i).bitwiseAND(F.lit(32767))
-    apart = sum((F.abs(field(f"a_{h}", i) - field(f"b_{h}", i)) for h in ("h1", "h2") for i in range(4)), F.lit(0))
-    room = F.col("a_n") + F.col("b_n") - 2 * _needed(F.col("a_n"), F.col("b_n"), percent)
-    return joined.where(apart <= room).select("a", "b")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
-    """The linked ones of distinct (a, b) pairs, met on whole texts.
-
-    Classes are grouped with their smallest partner, in groups of about GROUP; a block
-    holds the pairs between two groups, and a text goes once to each block that needs
-    it, not once per pair. Blocks stream; a worker holds the sets of one.
+            again = same.copy()
+            again[1:] &= cls[1:] == cls[:-1]
+            other = same & (cls != cls[head]) & ~again
+            keep = other.copy()
+            keep[head[other]] = True  # opening rows with company
+            keep |= (part > 0) & ~again  # parts of one token meet later
+            had = keep[head[-1]] or (sent and head[-1] == 0)
+            if lead:
+                if sent:
+                    keep[0] = False
+                if lead == 2:
+                    keep[1] = False  # went out with its batch
+            first, last, sent = tuple(r[head[-1]] for r in rows), tuple(r[-1] for r in rows), bool(had)
+            at = np.flatnonzero(keep)
+            if len(at):
+                h = head[at]
+                n, pos, suffix = (r.astype(np.int64) for r in rows[3:])
+                near = _near(n[at], pos[at], suffix[at], n[h], pos[h], suffix[h], percent) & (cls[at] != cls[h])
+                yield pa.RecordBatch.from_arrays([*[pa.array(r[at], t) for r, t in zip(rows, kinds, strict=True)], pa.array(cls[h]), pa.array(near)], names=[*names, "pivot", "near"])
+
+    dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "pos", "cls").select(*names)
+    return dealt.mapInArrow(run, "token long, part int, cls long, n int, pos int, suffix long, pivot long, near boolean")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, source: DataFrame, k: int, percent: int, seed: int) -> DataFrame:
+    """(ca, cb) of the linked ones of distinct pairs (a, b, ca, cb), met on whole texts.
+
+    Blocks are stars: a pivot b and at most about BLOCK of its partners. A worker holds
+    the pivot's set and streams the partners.
     """
-    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = ends.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("near"))
-    sizes = near.groupBy("near").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    groups = cut(near.join(sizes, "near").select(F.col("a").alias("cls"), F.xxhash64("near", F.pmod(F.xxhash64("a"), "parts")).alias("g")))
-    side = lambda c: groups.select(F.col("cls").alias(c), F.col("g").alias(f"g_{c}"))
-    keyed = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("g_a", "g_b").alias("p"), F.greatest("g_a", "g_b").alias("q"), "a", "b")
-    keyed = cut(keyed)
-    sent = keyed.select("p", "q", F.explode(F.array("a", "b")).alias("cls")).distinct().join(texts, "cls")
-    rows = sent.select("p", "q", "cls", F.lit(None).cast("long").alias("b"), "text").unionByName(
-        keyed.select("p", "q", F.col("a").alias("cls"), "b", F.lit(None).cast("string").alias("text"))
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    keyed = cut(pairs.join(parts, "b").select("a", "b", "ca", "cb", F.pmod(F.xxhash64("a"), "parts").alias("block")))
+    wanted = keyed.select(F.col("a").alias("cls"), "b", "block", "ca", "cb").unionByName(
+        keyed.select(F.col("b").alias("cls"), "b", "block", F.lit(None).cast("long").alias("ca"), F.lit(None).cast("long").alias("cb")).distinct()
     )
+    wanted = cut(wanted.join(classes.select("cls", F.col("first.doc_id").alias("_id"), F.col("first.mark").alias("_mark")), "cls").drop("cls"))
+    if wanted.count() <= WANTED:
+        wanted = F.broadcast(wanted)
+    sent = source.join(wanted, source["doc_id"].eqNullSafe(wanted["_id"]) & (source["mark"] == wanted["_mark"])).select("b", "block", "ca", "cb", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, block = Shingler(k, seed), None
-        held: dict[int, np.ndarray] = {}
+        shingler, pivot = Shingler(k, seed), None
         for batch in batches:
-            p, q, cls, b = (batch.column(i).to_pylist() for i in range(4))
             offsets, data = text_buffers(batch.column(4))
+            ca, cb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for lo, hi in row_groups(offsets):
-                sets, found = shingler.sets(offsets[lo : hi + 1], data), []
-                for i in range(lo, hi):
-                    if block != (p[i], q[i]):
-                        block, held = (p[i], q[i]), {}
-                    if b[i] is None:
-                        held[cls[i]] = sets[i - lo]
+                found = []
+                for i, s in enumerate(shingler.sets(offsets[lo : hi + 1], data), lo):
+                    if ca[i] is None:  # sorted before its partners
+                        pivot = s
                         continue
-                    x, y = held[cls[i]], held[b[i]]
-                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    both = np.sort(np.concatenate([pivot, s]), kind="stable")
                     common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        found.append((cls[i], b[i]))
+                    if 100 * common >= percent * (len(pivot) + len(s) - common):
+                        found.append((ca[i], cb[i]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    dealt = rows.repartition("p", "q").sortWithinPartitions("p", "q", F.col("b").asc_nulls_first())
+    dealt = sent.repartition("b", "block").sortWithinPartitions("b", "block", F.col("ca").asc_nulls_first())
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _texts(docs: DataFrame, needed: DataFrame, k: int, seed: int) -> DataFrame:
-    """(cls, text) of the classes in ``needed`` (cls, doc_id), one row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(k, seed)
-        for batch in batches:  # ids may repeat: keep the rows that are of the class
-            offsets, data = text_buffers(batch.column(1))
-            cls = batch.column(0).to_numpy()
-            for a, b in row_groups(offsets):
-                same = [identity(s)[0] == c for s, c in zip(shingler.sets(offsets[a : b + 1], data), cls[a:b].tolist(), strict=True)]
-                yield batch.slice(a, b - a).filter(pa.array(same))
-
-    source = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    found = source.join(needed, source["_id"].eqNullSafe(needed["doc_id"])).select("cls", "text").mapInArrow(run, "cls long, text string")
-    return spill(found, "texts")
+def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, with ``component`` and the bucket's ``major`` one."""
+    labelled = shared.select("token", "cls", "n", "pos", "suffix").join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    per_group = labelled.groupBy("token", "component").agg(F.count("*").alias("m"))
+    buckets = per_group.groupBy("token").agg(F.count("*").alias("c"), F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("m")).where("c > 1")
+    return cut(labelled.join(buckets.select("token", F.col("top.component").alias("major"), (F.col("m") - F.col("top.m")).alias("minor_rows"), F.col("m").alias("bucket_rows")), "token"))
 
 
-def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): rows has doc_id, cls, n of every document; groups has cls and component (smallest doc_id)."""
-    small_batches(docs.sparkSession)
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"))
     while True:
-        profile = spill(_profile(docs, words, seed), "profile")
-        rows = profile.where("part is null").select("doc_id", "cls", "alt", "n", "h1", "h2")
-        classes = cut(
-            rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("h1").alias("h1"), F.min("h2").alias("h2"), F.min("alt").alias("low"), F.max("alt").alias("high"))
-        )
+        profile = spill(_profile(source, words, seed, bits), "profile")
+        rows = profile.where("part is null").select("doc_id", "mark", "cls", "alt", "n")
+        # a class stands for one row of it, told by id and text; ids of null come last
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
+        classes = cut(rows.where("n > 0").groupBy("cls").agg(first.alias("first"), F.min("alt").alias("low"), F.max("alt").alias("high")))
         if classes.where("low <> high").limit(1).count() == 0:
             break
-        seed += 1  # two sets met in one 64-bit class id: hash anew
+        seed, bits = seed + 1, 64  # two sets met in one class id: hash anew
     levels = _levels(profile.where("part is not null"))
-    shared = spill(_shared(_postings(docs, levels, words, percent, seed)), "postings")
-    needed = shared.select("cls").distinct().join(classes.select("cls", "doc_id"), "cls")
-    texts = _texts(docs, needed, words, seed)
-
-    order = [F.least("cls", "p_cls").alias("a"), F.greatest("cls", "p_cls").alias("b")]
-    pairs = shared.where(F.col("cls") != F.col("p_cls")).where(_passes("n", "pos", "p_n", "p_pos", percent)).select(*order).distinct()
-    pairs = cut(_suffix_filter(pairs, classes, percent))
-    links, tried = cut(_verify(pairs, texts, words, percent, seed)), pairs
-    buckets = shared.select("token", "cls", "n", "pos")
-    for turn in range(1, STAR_ROUNDS + 1):
-        groups = components(links)
-        labelled = buckets.join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        open_ = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        buckets_open = cut(labelled.join(open_, "token", "left_semi"))
-        per_group = buckets_open.groupBy("token", "component").agg(F.count("*").cast("double").alias("m"))
-        rest = per_group.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own")).agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2).alias("pairs"), F.sum("all").alias("rows")).first()
-        if not rest["rows"]:
-            return rows, _named(classes, links)
-        last = turn == STAR_ROUNDS or rest["pairs"] <= 4 * rest["rows"]
-        if last:
-            x = buckets_open.select("token", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "component")])
-            met = buckets_open.join(x, "token").where((F.col("cls") < F.col("x_cls")) & (F.col("component") != F.col("x_component")))
-        else:
-            first = F.struct(F.xxhash64(F.lit(turn), "cls").alias("r"), "cls", "n", "pos", "component")
-            pivots = buckets_open.groupBy("token").agg(F.min(first).alias("x")).select("token", *[F.col(f"x.{c}").alias(f"x_{c}") for c in ("cls", "n", "pos", "component")])
-            met = buckets_open.join(pivots, "token").where(F.col("component") != F.col("x_component"))
-        met = met.where(_passes("n", "pos", "x_n", "x_pos", percent)).select(F.least("cls", "x_cls").alias("a"), F.greatest("cls", "x_cls").alias("b")).distinct()
-        pairs = cut(_suffix_filter(met.join(tried, ["a", "b"], "left_anti"), classes, percent))
-        links = cut(links.unionByName(_verify(pairs, texts, words, percent, seed)))
+    shared = spill(_shared(_postings(source, levels, words, percent, seed, bits), percent), "postings")
+
+    verify = lambda pairs: _verify(pairs, classes, source, words, percent, seed)
+    tried = cut(shared.where("near").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
+    groups = components(verify(tried.withColumns({"ca": F.col("a"), "cb": F.col("b")})))
+    left = None
+    while True:
+        open_ = _open(shared, groups)
+        size = open_.agg(F.sum((F.col("component") != F.col("major")).cast("double") * F.col("bucket_rows")).alias("pairs"), F.count("*").alias("rows")).first()
+        if not size["rows"]:
+            break
+        last = size["pairs"] <= STARS_ABOVE * size["rows"] or (left is not None and 2 * size["pairs"] > left)
+        left = size["pairs"]
+        minor = open_.where(F.col("component") != F.col("major"))
+        met = open_ if last else _pivots(open_)
+        x = met.select(F.col("token").alias("x_token"), *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "pos", "suffix", "component")])
+        pairs = minor.join(x, (F.col("token") == F.col("x_token")) & (F.col("component") != F.col("x_component")) & _passes("", "x_", percent))
+        # pairs of two minor rows come from both sides; stars keep their pivots as b
+        ends = [F.col("cls"), F.col("x_cls"), F.col("component"), F.col("x_component")]
+        turn = F.lit(last) & (F.col("cls") > F.col("x_cls"))
+        picked = [F.when(turn, ends[i ^ 1]).otherwise(ends[i]).alias(name) for i, name in enumerate(("a", "b", "ca", "cb"))]
+        pairs = pairs.select(*picked).distinct()
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+        groups = contracted(groups, verify(pairs))
         if last:
             break
-        tried = cut(tried.unionByName(pairs))
-        buckets = buckets_open.select("token", "cls", "n", "pos")
-    return rows, _named(classes, links)
+        tried = cut(tried.unionByName(pairs.select("a", "b")))
+    return rows, _named(classes, groups)
+
+
+def _pivots(open_: DataFrame) -> DataFrame:
+    """One row of each bucket's major component: that of the smallest position."""
+    first = F.min(F.struct("pos", "cls", "n", "suffix", "component"))
+    best = open_.where(F.col("component") == F.col("major")).groupBy("token").agg(first.alias("x"))
+    return best.select("token", *[F.col(f"x.{c}").alias(c) for c in ("cls", "n", "pos", "suffix", "component")])
 
 
-def _named(classes: DataFrame, links: DataFrame) -> DataFrame:
+def _named(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """(cls, component): the smallest doc_id of each class's component."""
-    member = classes.select("cls", "doc_id").join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    member = classes.select("cls", F.col("first.doc_id").alias("doc_id")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = member.groupBy("component").agg(F.min("doc_id").alias("first_id"))
     return cut(member.join(smallest, "component").select("cls", F.col("first_id").alias("component")))
 

@@ -71,26 +71,81 @@ def test_join_by_brute_force(spark, seed):
     assert sorted(got, key=str) == sorted(_components(docs), key=str)
 
 
-def test_join_of_a_dense_group_and_hash_collisions(spark, monkeypatch):
-    """Near copies around the threshold: stars are not enough, so pairs across components follow."""
-    rng = random.Random(7)
+def _dense(seed, n, changes):
+    """Near copies of one text around the threshold."""
+    rng = random.Random(seed)
     base = [f"w{i}" for i in range(100)]
     docs = []
-    for i in range(70):
+    for i in range(n):
         w = list(base)
-        for _ in range(2 + i % 2):
+        for _ in range(changes(i)):
             w[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
         docs.append((i, " ".join(w)))
-    monkeypatch.setattr(ngram_join, "GROUP", 8)
-    real, calls = ngram_join.identity, []
+    return docs
+
+
+def _joined(df, **kw):
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(df, **kw).collect())
+
 
-    def clash(s):
-        calls.append(1)
-        return real(s)
+@pytest.mark.parametrize(("seed", "above"), [(7, 64), (8, 0)])
+def test_join_of_a_dense_group(spark, monkeypatch, seed, above):
+    """One star per bucket is not enough: more stars and pairs across components follow."""
+    docs = _dense(seed, 70, lambda i: 2 + i % 2)
+    monkeypatch.setattr(ngram_join, "STARS_ABOVE", above)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    assert _joined(spark.createDataFrame(docs, "doc_id long, text string")) == sorted(_components(docs))
 
-    monkeypatch.setattr(ngram_join, "identity", clash)
-    got = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()]
-    assert sorted(got) == sorted(_components(docs))
+
+def test_join_of_copies_in_many_partitions_and_frequent_shingles(spark, monkeypatch):
+    """Buckets that are dealt into parts, texts fetched by a shuffle join, batches of three rows."""
+    docs = _dense(3, 12, lambda i: i % 4)
+    docs = [(20 * i + j, t) for i, t in docs for j in range(20)] + [(1000 + i, t) for i, t in _corpus(5)[:60]]
+    for name, value in (("BUCKET", 4), ("FREQUENT", 1), ("WANTED", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = _joined(spark.createDataFrame(docs, "doc_id long, text string").repartition(20))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(_components(docs))
+
+
+def test_sets_that_meet_in_one_class_id_are_hashed_anew(spark):
+    docs = _corpus(9)[:60]
+    rows, groups = ngram_join.link_classes(spark.createDataFrame(docs, "doc_id long, text string"), bits=3)
+    got = rows.join(groups, "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))).collect()
+    assert sorted(tuple(r) for r in got) == sorted(_components(docs))
+
+
+def test_bucket_streams_do_not_depend_on_batches(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), rng.randrange(2), c, 20, 1 + c % 3, 0) for c in (rng.randrange(9) for _ in range(200))]
+    frame = spark.createDataFrame(rows, "token long, part int, cls long, n int, pos int, suffix long")
+    found = []
+    for size in (1, 2, 7, 1000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        found.append(sorted(tuple(r) for r in ngram_join._shared(frame, 80).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == found[2] == found[3]
+    assert sorted(r[:3] for r in found[0]) == sorted({r[:3] for r in rows})
+
+
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), max_size=12), st.sets(st.integers(0, 60), max_size=6))
+@settings(max_examples=300, deadline=None)
+def test_filters_lose_no_link(x, out, more):
+    """At their first common shingle two linked sets pass all filters."""
+    y = (x - out) | more
+    if not y or 100 * len(x & y) < 80 * len(x | y):
+        return
+    sets = [np.sort(textbytes.mix64(np.array(sorted(v), np.uint64))) for v in (x, y)]
+    both = np.intersect1d(*sets)
+    rows = []
+    for s in sets:
+        pos = int(np.searchsorted(s, both[0]))
+        assert pos < ngram_join.prefix_length(len(s), 80)
+        rows += [np.array([len(s)]), np.array([pos + 1]), ngram_join._suffixes(s, np.arange(len(s)))[pos : pos + 1]]
+    assert ngram_join._near(*rows, 80).all()
 
 
 def test_keep_one_and_empty(spark):
