@@ -79,7 +79,9 @@ def _bounded(hashes: DataFrame) -> DataFrame:
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 1, keep_first: bool = True, text: str = "text", site: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with boilerplate lines cut out of ``text``; adds ``n_lines`` and ``n_removed``.
+    """``docs`` with boilerplate lines cut out of ``text``; adds ``n_lines`` and ``n_removed`` at the end.
+
+    These two take a suffix where a column of ``docs`` has their name.
 
     With ``keep_first`` a line stays in the document of the smallest id that has it, so
     that groups of copies spread over many sites keep one whole member. Up to
@@ -106,8 +108,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, min_chars: int = 1,
     n_kept = F.coalesce(F.size(kept), F.lit(0))
     return new.select(
         *[F.array_join(kept, "\n").alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.greatest(n_lines, F.lit(0)).cast("long").alias("n_lines"),
-        F.greatest(n_lines - n_kept, F.lit(0)).cast("long").alias("n_removed"),
+        F.greatest(n_lines, F.lit(0)).cast("long").alias(free_name("n_lines", docs.columns)),
+        F.greatest(n_lines - n_kept, F.lit(0)).cast("long").alias(free_name("n_removed", docs.columns)),
     )
 
 
@@ -118,13 +120,14 @@ def _key(h1: Column, h2: Column) -> Column:
 def _kept_by_join(docs: DataFrame, bad: DataFrame, min_chars: int, keep_first: bool, text: str, doc_id: str) -> DataFrame:
     """As the hash set does it, for any number of boilerplate lines: positions to drop
     are found by a join on the line hash, gathered per row, and joined to the texts."""
-    row = free_name("_row", docs.columns)
+    row, doc, pos, line, drops, kept, h1, h2, home = (free_name(x, docs.columns) for x in ("_row", "_doc", "_pos", "_line", "_drops", "_kept", "_h1", "_h2", "_home"))
     numbered = docs.withColumn(row, F.monotonically_increasing_id())
-    lines = numbered.select(row, F.col(doc_id).alias("_doc"), F.posexplode(F.split(F.col(text), "\n")).alias("_pos", "_line"))
-    lines = lines.where(F.length(normal(F.col("_line"))) >= min_chars).select(row, "_doc", "_pos", *line_hashes(normal(F.col("_line"))))
-    hit = lines.join(bad, ["h1", "h2"])
+    lines = numbered.select(row, F.col(doc_id).alias(doc), F.posexplode(F.split(F.col(text), "\n")).alias(pos, line))
+    hashes = [h.alias(name) for h, name in zip(line_hashes(normal(F.col(line))), (h1, h2), strict=True)]
+    lines = lines.where(F.length(normal(F.col(line))) >= min_chars).select(row, doc, pos, *hashes)
+    hit = lines.join(bad.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("keeper").alias(home)), [h1, h2])
     if keep_first:
-        hit = hit.where(~F.col("_doc").eqNullSafe(F.col("keeper")))
-    drops = hit.groupBy(row).agg(F.collect_set("_pos").alias("_drops"))
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.coalesce(F.array_contains("_drops", i), F.lit(False)))
-    return numbered.join(drops, row, "left").select(*docs.columns, kept.alias(free_name("_kept", docs.columns)))
+        hit = hit.where(~F.col(doc).eqNullSafe(F.col(home)))
+    gone = hit.groupBy(row).agg(F.collect_set(pos).alias(drops))
+    left = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.coalesce(F.array_contains(drops, i), F.lit(False)))
+    return numbered.join(gone, row, "left").select(*docs.columns, left.alias(kept))

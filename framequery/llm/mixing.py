@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut
+from ..plans.runtime import cut, free_name
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources, the table of rates is broadcast; beyond, it is joined by shuffle.
@@ -90,27 +90,34 @@ def plan(
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """Documents with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_rate`` and ``mix_copies``."""
-    sized = docs.withColumn("mix_size", size_of(F.col(text)))
-    rated = cut(targets(cyclic_weights(source_sizes(sized.select(source, "mix_size"), source, "mix_size"), cycle), max_rate))
+    """Documents with ``mix_size``, ``mix_source_size``, ``mix_target``, ``mix_rate`` and ``mix_copies``.
+
+    These five come last; each takes a suffix where a column of the documents has its name.
+    """
+    added = [free_name(x, docs.columns) for x in ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")]
+    size, source_size, target, rate, copies = added
+    own = free_name("mix_source", [*docs.columns, *added])
+    sized = docs.withColumn(size, size_of(F.col(text)))
+    rated = cut(targets(cyclic_weights(source_sizes(sized.select(source, size), source, size), cycle), max_rate))
     rates = rated.select(
-        F.col("source").alias("_mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias("mix_rate"),
+        F.col("source").alias(own),
+        F.col("source_size").alias(source_size),
+        F.col("target").alias(target),
+        F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0)).alias(rate),
     )
     if rated.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    joined = sized.join(rates, sized[source].eqNullSafe(rates["_mix_source"])).drop("_mix_source")
+    joined = sized.join(rates, F.col(source).eqNullSafe(F.col(own))).drop(own)
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))
     draw = F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    whole = F.floor("mix_rate")
-    copies = whole + F.when(draw < F.col("mix_rate") - whole, 1).otherwise(0)
-    return joined.withColumn("mix_copies", copies.cast("int"))
+    whole = F.floor(rate)
+    taken = whole + F.when(draw < F.col(rate) - whole, 1).otherwise(0)
+    return joined.withColumn(copies, taken.cast("int"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents: each row as often as the plan says, numbered in ``mix_copy``."""
     planned = plan(docs, **options)
-    copy = F.explode(F.sequence(F.lit(1), F.col("mix_copies")))
-    return planned.where("mix_copies > 0").select(*[planned[c] for c in docs.columns], copy.alias("mix_copy"))
+    copies = F.col(planned.columns[-1])
+    copy = F.explode(F.sequence(F.lit(1), copies))
+    return planned.where(copies > 0).select(*docs.columns, copy.alias(free_name("mix_copy", docs.columns)))

@@ -49,7 +49,7 @@ BUCKET, FREQUENT = 1 << 16, 64
 #: Pairs left per open row up to which no further stars are tried.
 STARS_ABOVE = 64
 #: Members of a star that meet their pivot in one block.
-BLOCK = 1024
+BLOCK = 128
 #: Rows up to which the side that asks for texts is broadcast (about 50 bytes each); a shuffle join beyond.
 WANTED = 400_000
 

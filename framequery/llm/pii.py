@@ -3,10 +3,15 @@
 Numbers, dates and secrets are found by pattern and validated (Luhn, mod 97, calendar,
 number plans); a valid value is numbered within its format's domain, the number is
 permuted by a keyed Feistel network with cycle walking, and the new value is written
-in the old one's format. Equal values get equal pseudonyms in every document, also
-where they are written differently; check digits stay valid; with the key the
-permutation can be undone. Values that fail validation stay as they are, but for phone
-numbers written as +1 (ddd) ddd-dddd, which are permuted among those outside the plan.
+in the old one's format. A format is a set of strings that the reader takes alike, and
+its pseudonyms stay inside it: for dates the order of the fields and their widths, for
+secrets digits only, one case of hexadecimal, or the kind of each character. So with the key every
+permutation can be undone. Equal values get equal pseudonyms in every document, also
+where separators differ or, for e-mail names, upper and lower case; check digits stay
+valid. Values that fail validation stay as they are, but for phone numbers written as
++1 (ddd) ddd-dddd, which are permuted among those outside the plan. Dates are read from
+1900 to 2099; a slash date is month first unless its first field is over 12. Phone
+numbers are those of the +1 plan; the length of an IBAN is not checked by country.
 
 Defined cases: null text stays null with no finds; texts of any length are searched
 whole; other columns pass through and the added ``pii`` column takes a suffix on a
@@ -17,15 +22,17 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
+from datetime import date
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import free_name, small_batches
+from ..plans.runtime import free_name
 
 _ROUNDS = 8
 
@@ -72,6 +79,17 @@ def _refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+@cache
+def _days(day_width: int, month_width: int, late: bool) -> list[int]:
+    """The days whose day and month fit the widths of their fields; ``late``: only those after the 12th."""
+    first, last = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()
+    days = map(date.fromordinal, range(first, last))
+    return [d.toordinal() for d in days if (day_width == 2 or d.day < 10) and (month_width == 2 or d.month < 10) and (d.day > 12 or not late)]
+
+
+_HEX = re.compile("[0-9a-f]+")
+
+
 class Pseudonyms:
     """Each method takes a found string and gives its pseudonym, or None if it is not valid."""
 
@@ -81,6 +99,13 @@ class Pseudonyms:
     def _turn(self, value: int, size: int, name: str) -> int:
         return self.feistel.permute(value, size, name, self.back)
 
+    def _walk(self, text: str, turn: Callable[[str], str], inside: Callable[[str], bool]) -> str:
+        """``turn`` until the text is in the format again, which keeps it a permutation of the format."""
+        text = turn(text)
+        while not inside(text):
+            text = turn(text)
+        return text
+
     def _spell(self, text: str, name: str) -> str:
         """Letters and digits permuted as one number; each stays of its kind and place."""
         kinds = [(c, *next(((lo, n) for lo, n in (("0", 10), ("a", 26), ("A", 26)) if 0 <= ord(c) - ord(lo) < n), (None, 1))) for c in text]
@@ -99,23 +124,23 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def _hex(self, text: str, name: str) -> str:
-        low = text.lower()
-        new = format(self._turn(int(low, 16), 16 ** len(low), name), f"0{len(low)}x")
-        return new.upper() if text.isupper() else new
+        return format(self._turn(int(text, 16), 16 ** len(text), name), f"0{len(text)}x")
 
     def email(self, s: str) -> str | None:
         local, _, host = s.rpartition("@")
         if len(local) > 64 or ".." in s or local[0] == "." or local[-1] == ".":
             return None
-        return f"{self._spell(local, 'email')}@{host}"
+        new = self._spell(local.lower(), "email")
+        return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new, strict=True)) + f"@{host}"
 
     def card(self, s: str) -> str | None:
         digits = re.sub(r"\D", "", s)
         if not 13 <= len(digits) <= 19 or len(set(digits)) == 1 or luhn_digit(digits[:-1]) != digits[-1]:
             return None
         issuer, account = digits[:6], digits[6:-1]
-        new = issuer + str(self._turn(int(account), 10 ** len(account), f"card:{issuer}")).zfill(len(account))
-        return _refill(s, new + luhn_digit(new))
+        turn = lambda x: str(self._turn(int(x), 10 ** len(account), f"card:{issuer}")).zfill(len(account))
+        whole = lambda x: issuer + x + luhn_digit(issuer + x)
+        return _refill(s, whole(self._walk(account, turn, lambda x: len(set(whole(x))) > 1)))
 
     def phone(self, s: str) -> str | None:
         digits = re.sub(r"\D", "", s)
@@ -126,10 +151,7 @@ class Pseudonyms:
         if outside(national):
             if not s.startswith("+1") or "(" not in s:
                 return None
-            national = f"{self._turn(int(national), 10**10, 'phone-any'):010d}"
-            while not outside(national):  # walk the cycle back out of the plan
-                national = f"{self._turn(int(national), 10**10, 'phone-any'):010d}"
-            return _refill(s, country + national)
+            return _refill(s, country + self._walk(national, lambda x: f"{self._turn(int(x), 10**10, 'phone-any'):010d}", outside))
         value = ((int(national[:3]) - 200) * 800 + int(national[3:6]) - 200) * 10_000 + int(national[6:])
         rest, line = divmod(self._turn(value, 800 * 800 * 10_000, "phone"), 10_000)
         area, exchange = divmod(rest, 800)
@@ -154,30 +176,28 @@ class Pseudonyms:
     def iban(self, s: str) -> str | None:
         plain = s.replace(" ", "")
         number = lambda x: int("".join(str(int(c, 36)) for c in x))
-        if not 15 <= len(plain) <= 34 or number(plain[4:] + plain[:4]) % 97 != 1:
+        if not 15 <= len(plain) <= 34 or not 2 <= int(plain[2:4]) <= 98 or number(plain[4:] + plain[:4]) % 97 != 1:
             return None
         account = self._spell(plain[4:], f"iban:{plain[:2]}")
         new = iter(f"{plain[:2]}{98 - number(account + plain[:2] + '00') % 97:02d}{account}")
         return "".join(c if c == " " else next(new) for c in s)
 
     def date(self, s: str) -> str | None:
-        parts = re.split(r"[-/.]", s)
+        a, b, c = re.split(r"[-/.]", s)
+        order = "ymd" if len(a) == 4 else "mdy" if "/" in s and int(a) <= 12 else "dmy"
+        year, month, day = {"ymd": (a, b, c), "mdy": (c, a, b), "dmy": (c, b, a)}[order]
         try:
-            if len(parts[0]) == 4:
-                order, day = "ymd", date(*map(int, parts))
-            else:
-                a, b, year = map(int, parts)
-                order = "mdy" if "/" in s and a <= 12 else "dmy"
-                day = date(year, *((a, b) if order == "mdy" else (b, a)))
+            at = date(int(year), int(month), int(day)).toordinal()
         except ValueError:
             return None
-        first, size = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
-        at = (day - first).days
-        if not 0 <= at < size:
+        late = "/" in s and order == "dmy"
+        days = _days(len(day), len(month), late)
+        place = bisect_left(days, at)
+        if place == len(days) or days[place] != at:
             return None
-        new = first + timedelta(days=self._turn(at, size, "date"))
-        text = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return s[-5 if order != "ymd" else 4].join(text[k] for k in order)
+        new = date.fromordinal(days[self._turn(place, len(days), f"date:{len(day)}{len(month)}{late:d}")])
+        text = {"y": f"{new.year:04d}", "m": f"{new.month:0{len(month)}d}", "d": f"{new.day:0{len(day)}d}"}
+        return s[4 if order == "ymd" else -5].join(text[k] for k in order)
 
     def key(self, s: str) -> str | None:
         size, value = 36 ** len(s[4:]), int(s[4:], 36)
@@ -189,7 +209,17 @@ class Pseudonyms:
 
     def secret(self, s: str) -> str | None:
         head, value = re.fullmatch(r"(?s)(.*?[=:]\s*[\"']?)([^\s\"']+)", s).groups()
-        return head + (self._hex(value, "secret") if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value) else self._spell(value, "secret"))
+        return head + self._secret(value)
+
+    def _secret(self, value: str) -> str:
+        spell = lambda x: self._spell(x, "secret")
+        if value.isdecimal() and value.isascii():
+            return spell(value)
+        plain = lambda x: not _HEX.fullmatch(x) and not (x == x.upper() and _HEX.fullmatch(x.lower()))
+        if plain(value):
+            return self._walk(value, spell, plain)
+        new = self._walk(value.lower(), lambda x: self._hex(x, "secret"), lambda x: not x.isdecimal())
+        return new.upper() if value.isupper() else new
 
 
 #: Kind and pattern, in order of precedence. Dates and numbers never start or end inside a longer number or word.
@@ -250,7 +280,6 @@ def replacer(key: bytes, back: bool = False) -> Callable[[str], tuple[str, list[
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", keep: list[str] | None = None, back: bool = False) -> DataFrame:
     """``docs`` (or its ``keep`` columns) with pseudonyms in ``text`` and ``pii``: (kind, start, end) of each."""
-    small_batches(docs.sparkSession)
     kept = list(dict.fromkeys([*(docs.columns if keep is None else keep), text]))
     name = free_name("pii", docs.columns)
     find = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])

@@ -1,21 +1,25 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes ratios.
 
 Features are the presence of lower-cased character n-grams (3 to 5 code points, runs of
-other characters than letters, digits and _ read as one blank), hashed into 2^20 buckets. From a bounded sample of labelled rows, per-class document
-counts give each bucket its log-count ratio r; the buckets that tell the classes apart
-best are kept, and logistic regression with an L2 penalty is fitted on presence x r.
-A text's score is the logistic of the sum over its kept buckets.
+other characters than letters, digits and _ read as one blank), hashed into 2^20 buckets. From a
+bounded sample of labelled rows, per-class document counts give each bucket its
+log-count ratio r, and L2-penalised logistic regression is fitted on presence x r over
+all buckets that occur, by dual coordinate ascent with exact steps. The scale of the
+scores is set on examples that the model had not seen (folds of the sample).
+A text's score is the logistic of the sum over its buckets.
 
 Only the text is an input of a score. Training takes at most ``per_class`` labelled
 documents of each class, those with the smallest hashes; everything else runs over all
-rows. Defined cases: null text scores like an empty text, which gets the bias alone;
-null labels and labels of unknown documents are ignored; conflicting labels of one
-document are separate examples; with one class or no labels every text scores the
-smoothed base rate; texts of any length are read in slices; empty tables work.
+rows. Defined cases: null text scores like an empty text; null labels and labels of
+unknown documents are ignored; conflicting labels of one document are separate
+examples; with one class or no labels every text scores the smoothed base rate; a text
+of any length is normalised whole and hashed in slices that overlap by the longest
+n-gram less one; empty tables work.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,46 +30,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import cut, free_name, small_batches
-from .textbytes import text_buffers
+from ..plans.runtime import cut, free_name
+from .textbytes import row_groups, text_buffers
 
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Bound on the labelled documents of each class that training reads.
-PER_CLASS = 4000
-#: Bound on the buckets that carry a weight.
-KEPT = 2048
+PER_CLASS = 2000
+#: Code points hashed at once.
 SLICE = 1 << 18
-OVERLAP = 64
+#: Folds whose unseen examples set the scale of the scores.
+FOLDS = 3
 _GAP = re.compile(r"\W+")
 
 
-def features(text: str, only: np.ndarray | None = None) -> np.ndarray:
-    """Sorted buckets of the n-grams of a text; ``only`` (bool per bucket) restricts them."""
+def features(text: str) -> np.ndarray:
+    """Sorted distinct buckets of the n-grams of a text."""
+    codes = np.frombuffer(_GAP.sub(" ", f" {text.lower()} ").encode("utf-32-le", "surrogatepass"), np.uint32)
     found = []
-    for at in range(0, len(text), SLICE):
-        piece = " " * (at == 0) + text[max(0, at - OVERLAP) : at + SLICE].lower() + " " * (at + SLICE >= len(text))
-        piece = _GAP.sub(" ", piece)
-        codes = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
-        h = codes * np.uint32(0x9E3779B1)
+    for at in range(0, max(1, len(codes) - max(ORDERS) + 1), SLICE):
+        part = codes[at : at + SLICE + max(ORDERS) - 1]
+        h = part * np.uint32(0x9E3779B1)
         for n in range(2, max(ORDERS) + 1):
-            if len(codes) < n:
+            if len(part) < n:
                 break
-            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + codes[n - 1 :] * np.uint32(0xC2B2AE35)
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA6B) + part[n - 1 :] * np.uint32(0xC2B2AE35)
             if n in ORDERS:
-                bucket = ((h ^ (h >> np.uint32(13))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-                found.append(bucket if only is None else bucket[only[bucket]])
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+                found.append(((h ^ (h >> np.uint32(13))) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS))
+    s = np.concatenate(found) if found else np.zeros(0, np.uint32)
+    s.sort()
+    keep = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=keep[1:])
+    return s[keep]
+
+
+def logistic(z: float) -> float:
+    return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(max(z, -700.0)) / (1 + math.exp(max(z, -700.0)))
 
 
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float64), float(bias)
-        self.kept = weights != 0
 
     def score(self, text: str | None) -> float:
-        z = self.bias + float(self.weights[features(text or "", self.kept)].sum())
-        return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return logistic(self.bias + float(self.weights[features(text or "")].sum()))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, int]]:
@@ -75,84 +83,127 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
     order = [F.xxhash64(F.lit(11), "doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
     picked = cut(picked[0].unionByName(picked[1]))
-    # at most 2 x per_class short rows: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id"), counts
+    # at most 2 x per_class short rows: a proven bound; of rows that share an id and a label one is taken
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")), counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1.0, rounds: int = 150) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, penalty: float = 1.0) -> Model:
     """Train on the rows of ``labels``; what must stay unseen is filtered out by the caller."""
-    small_batches(docs.sparkSession)
     rows, counts = sample(docs, labels, label, per_class)
-    rows = cut(rows)
     base = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
-    empty = Model(np.zeros(1 << BITS), np.log(base / (1 - base)))
+    empty = Model(np.zeros(1 << BITS), math.log(base / (1 - base)))
     if not counts.get(0) or not counts.get(1):
         return empty
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((2, 1 << BITS), np.int64)
+    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text, y in zip(frame["text"], frame["y"], strict=True):
-                n[y, features(text or "")] += 1
-        seen = np.flatnonzero(n.sum(0))
-        yield pd.DataFrame({"bucket": seen, "n0": n[0, seen], "n1": n[1, seen]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [features(t or "").tobytes() for t in frame["text"]]})
 
-    shown = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(shown) < 2:
+    data = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in rows.mapInPandas(extract, "doc_id long, y int, x binary").collect())
+    x, y = [np.frombuffer(d[2], np.uint32) for d in data], np.array([d[1] for d in data], np.int64)
+    shown = np.bincount(y, minlength=2)
+    if not shown.all():
         return empty
-    per_bucket = rows.select("text", "y").mapInPandas(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p1 = (F.col("n1") + 1) / F.lit(float(shown[1] + 2))
-    p0 = (F.col("n0") + 1) / F.lit(float(shown[0] + 2))
-    ratio = F.log(p1) - F.log(p0)
-    # likelihood ratio of the bucket's class counts against those of all documents
-    share = shown[1] / (shown[0] + shown[1])
-    df = F.col("n0") + F.col("n1")
-    part = lambda n, expected: F.when(n > 0, n * F.log(n / expected)).otherwise(0.0)
-    worth = part(F.col("n1"), df * share) + part(F.col("n0"), df * (1 - share))
-    best = per_bucket.where(df >= 3).select("bucket", ratio.alias("r"), worth.alias("worth")).orderBy(F.desc("worth"), "bucket").limit(KEPT).select("bucket", "r").toPandas()
-    r = np.zeros(1 << BITS)
-    r[best["bucket"].to_numpy()] = best["r"].to_numpy()
-    held = docs.sparkSession.sparkContext.broadcast(np.packbits(r != 0))
-
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        only = np.unpackbits(held.value).astype(bool)
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [features(t or "", only).astype(np.int32) for t in frame["text"]]})
-
-    data = rows.mapInPandas(extract, "doc_id long, y int, x array<int>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    weights, bias = _logistic([np.asarray(x, np.int64) for x in data["x"]], data["y"].to_numpy(), r, penalty, rounds)
-    # the sample is not drawn in the labels' proportions: move the bias to theirs
-    bias += np.log(counts[1] / counts[0]) - np.log(shown[1] / shown[0])
-    return Model(weights * r, bias)
-
-
-def _logistic(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float, rounds: int) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression on presence x r, by gradient descent with adapted steps."""
-    columns = np.concatenate(rows)
-    used, column = np.unique(columns, return_inverse=True)
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
-    value = r[columns]
-    n, k = len(rows), len(used)
-    w, b = np.zeros(k), 0.0
-    # steps adapted per weight by the summed squared gradients: rows differ much in length
-    g2, gb2 = np.full(k, 1e-8), 1e-8
+    r = ratios(x, y)
+    weights, bias = train(x, y, r, penalty)
+    # the sample is not drawn in the labels' proportions: each example counts for its share of the labels
+    slope, shift = calibrate(unseen(x, y, penalty), y, np.array([counts[0], counts[1]])[y] / shown[y])
+    return Model(slope * weights * r, slope * bias + shift)
+
+
+def unseen(x: list[np.ndarray], y: np.ndarray, penalty: float) -> np.ndarray:
+    """For each example the sum that a model trained without its fold gives it."""
+    out = np.zeros(len(x))
+    fold = np.arange(len(x)) % FOLDS
+    for k in range(FOLDS):
+        rest = np.flatnonzero(fold != k)
+        r = ratios([x[i] for i in rest], y[rest])
+        w, b = train([x[i] for i in rest], y[rest], r, penalty)
+        for i in np.flatnonzero(fold == k):
+            out[i] = b + float((w * r)[x[i]].sum())
+    return out
+
+
+def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the weighted logistic regression of labels on sums, by guarded Newton steps; drawn to slope 1."""
+    sign = np.where(y == 1, 1.0, -1.0)
+    cost = lambda p: float((weight * np.logaddexp(0, -sign * (p[0] * z + p[1]))).sum() + (p[0] - 1) ** 2 / 2)
+    p = np.array([1.0, 0.0])
+    for _ in range(100):
+        e = 1 / (1 + np.exp(-np.clip(p[0] * z + p[1], -30, 30)))
+        g = np.array([(weight * (e - y) * z).sum() + (p[0] - 1), (weight * (e - y)).sum()])
+        c = weight * e * (1 - e) + 1e-9
+        step = np.linalg.solve(np.array([[(c * z * z).sum() + 1, (c * z).sum()], [(c * z).sum(), c.sum() + 1e-9]]), g)
+        at, most = cost(p), 1.0
+        while most > 1e-6 and cost(p - most * step) > at:
+            most /= 2
+        if most <= 1e-6 or np.abs(most * step).max() < 1e-8:
+            break
+        p -= most * step
+    return float(max(p[0], 0.0)), float(p[1])
+
+
+def ratios(x: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The log-count ratio of each bucket, 0 where it does not occur."""
+    n = np.zeros((2, 1 << BITS))
+    for row, c in zip(x, y, strict=True):
+        n[c, row] += 1
+    shown = np.bincount(y, minlength=2)
+    r = np.log((n[1] + 1) / (shown[1] + 2)) - np.log((n[0] + 1) / (shown[0] + 2))
+    return np.where(n.any(0), r, 0.0)
+
+
+def train(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1.0, rounds: int = 60, close: float = 2e-3) -> tuple[np.ndarray, float]:
+    """(weights, bias) that minimise sum log(1 + exp(-s (w.x r + b))) + penalty / 2 (|w|^2 + b^2), s = +-1.
+
+    Dual coordinate ascent: each step maximises the dual over one example exactly; it
+    ends when no example's share of the solution moves by more than ``close``.
+    """
+    w, b = np.zeros(len(r)), 0.0
+    values = [r[row].astype(np.float32) for row in x]
+    norm = [(float(v @ v) + 1) / penalty for v in values]
+    share, sign = [0.5] * len(x), np.where(y == 1, 1.0, -1.0).tolist()
+    for row, v, s in zip(x, values, sign, strict=True):
+        w[row] += 0.5 * s / penalty * v
+        b += 0.5 * s / penalty
+    rng = np.random.Generator(np.random.PCG64(17))
     for _ in range(rounds):
-        z = np.bincount(row, value * w[column], n) + b
-        e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        g = np.bincount(column, value * e[row], k) + penalty * w
-        gb = e.sum()
-        g2 += g * g
-        gb2 += gb * gb
-        w -= 0.5 * g / np.sqrt(g2)
-        b -= 0.5 * gb / np.sqrt(gb2)
-    out = np.zeros(len(r))
-    out[used] = w
-    return out, b
+        moved = 0.0
+        for i in rng.permutation(len(x)).tolist():
+            row, v, s, a0, q = x[i], values[i], sign[i], share[i], norm[i]
+            m = s * (float(w[row] @ v) + b)
+            a = _step(a0, q, m)
+            if a != a0:
+                w[row] += (a - a0) * s / penalty * v
+                b += (a - a0) * s / penalty
+                share[i] = a
+                moved = max(moved, abs(a - a0))
+        if moved < close:
+            break
+    return w, b
+
+
+def _step(a0: float, q: float, m: float) -> float:
+    """The root a of log((1 - a) / a) = m + q (a - a0), which lies in (0, 1): Newton kept in a shrinking bracket."""
+    low, high, a = 0.0, 1.0, min(max(a0, 1e-12), 1 - 1e-12)
+    for _ in range(50):
+        f = math.log((1 - a) / a) - m - q * (a - a0)
+        if f > 0:
+            low = a
+        else:
+            high = a
+        new = a + f / (1 / (a * (1 - a)) + q)
+        if not low < new < high:
+            new = (low + high) / 2
+        if not 1e-14 < new < 1 - 1e-14 or abs(new - a) < 1e-10:
+            return min(max(new, 1e-14), 1 - 1e-14)
+        a = new
+    return a
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
     """``docs`` (or its ``keep`` columns) with the score of every whole text."""
-    small_batches(docs.sparkSession)
     kept = docs.columns if keep is None else keep
     name = free_name(name, docs.columns)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
@@ -161,8 +212,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         m = Model(*held.value)
         for batch in batches:
             offsets, data = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            scores = [m.score(str(data[a:b], "utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [pa.array(scores, pa.float64())], names=[*kept, name])
+            for lo, hi in row_groups(offsets):
+                scores = [m.score(str(data[a:b], "utf-8", "replace")) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(scores, pa.float64())], names=[*kept, name])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
     return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)

@@ -199,8 +199,48 @@ def test_toxicity_learns_and_has_edges(spark):
     assert toxicity.fit(docs, labels.limit(0)).score("x") == pytest.approx(0.5)
 
 
-def test_features_do_not_depend_on_slices(monkeypatch):
-    text = " ".join(f"word{i}" for i in range(3000))
-    whole = set(toxicity.features(text).tolist())
-    monkeypatch.setattr(toxicity, "SLICE", 500)
-    assert whole <= set(toxicity.features(text).tolist())
+@given(st.text(alphabet="aB é.,\n\u0130ß9", max_size=120), st.integers(1, 30))
+@settings(max_examples=150, deadline=None)
+def test_features_do_not_depend_on_slices(text, size):
+    whole, old = toxicity.features(text), toxicity.SLICE
+    toxicity.SLICE = size
+    try:
+        assert (toxicity.features(text) == whole).all()
+    finally:
+        toxicity.SLICE = old
+
+
+def test_features_of_gaps_longer_than_a_slice(monkeypatch):
+    text = "word " * 300 + " " * 400 + "tail end"
+    whole = toxicity.features(text)
+    assert (whole == toxicity.features("word " * 300 + "tail end")).all()
+    monkeypatch.setattr(toxicity, "SLICE", 1000)
+    assert (toxicity.features(text) == whole).all()
+
+
+def test_training_finds_the_plain_optimum():
+    """Dual ascent against gradient descent on the same NB-scaled logistic regression."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["good", "day", "river"] + ["vile", "scum"] * (i % 3 == 0)) for _ in range(12)) for i in range(60)]
+    x, y = [toxicity.features(t) for t in texts], np.array([int(i % 3 == 0) for i in range(60)])
+    r = toxicity.ratios(x, y)
+    dense = np.zeros((60, 1 << toxicity.BITS), np.float32)
+    for i, row in enumerate(x):
+        dense[i, row] = 1
+    used = np.flatnonzero(dense.any(0))
+    n1, n0 = dense[y == 1].sum(0), dense[y == 0].sum(0)
+    assert np.allclose(r[used], (np.log((n1 + 1) / (y.sum() + 2)) - np.log((n0 + 1) / ((1 - y).sum() + 2)))[used])
+    m = np.hstack([dense[:, used] * r[used], np.ones((60, 1))]).astype(np.float64)
+    w = np.zeros(m.shape[1])
+    for _ in range(20_000):
+        w -= 0.002 * (m.T @ (1 / (1 + np.exp(-m @ w)) - y) + w)
+    got, bias = toxicity.train(x, y, r, 1.0, rounds=500, close=1e-9)
+    assert np.allclose(got[used], w[:-1], atol=1e-4) and abs(bias - w[-1]) < 1e-4
+
+
+def test_calibration_recovers_a_known_scale():
+    rng = np.random.default_rng(5)
+    z = rng.normal(size=20_000) * 2
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * z - 0.8)))).astype(int)
+    slope, shift = toxicity.calibrate(z, y, np.ones(20_000))
+    assert abs(slope - 1.7) < 0.1 and abs(shift + 0.8) < 0.1
