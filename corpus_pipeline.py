@@ -27,7 +27,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ``n_chars`` follows the text where lines went.
     """
     cleaned = line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES)
-    changed, rest = F.col("n_removed") > 0, F.length(F.trim("text"))
+    changed, rest = F.col(cleaned.columns[-1]) > 0, F.length(F.trim("text"))
     out = cleaned.where(~changed | (rest > 0))
     return out.select(*[F.when(changed, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
