@@ -1,53 +1,96 @@
 """Approximate nearest neighbours by learned partitions.
 
-Fit, on a sample of at most ``SAMPLE`` vectors: a nearest-neighbour graph, a balanced
-partitioning of that graph (moves that gain most edges within parts, under a size cap),
-a softmax classifier that learns which parts a vector's neighbours lie in, and the
-number of parts to probe, taken as the least that reaches ``recall`` on the sample.
+Fit, on a sample of at most ``SAMPLE`` vectors (those with the smallest hashes): a
+nearest-neighbour graph, a balanced partitioning of that graph (moves that gain most
+edges within parts, under a size cap) and a softmax classifier that learns which parts a
+vector's neighbours lie in. Tables of more than ``WIDE`` rows a part get a second level:
+every part is fitted again, each on a bounded sample of its own rows and each in a task
+of its own, so the number of parts follows the table. At last, the number of parts to probe is taken as the
+least that reaches ``recall`` on the sample.
 
 Search: every vector of the table is put in the part the classifier finds likeliest. A
-query goes to the parts likeliest for it; parts are dealt into blocks of bounded size,
-so a part that holds a third of all rows is many tasks' work. Blocks stream: base rows
-first, then queries, of which each leaves its best k, but none below its k-th best score
-on the sample's rows in the parts it goes to, which none of its k best there can be; they
-are ranked by exact inner product in double precision, ties to the smaller id. Only a
-query whose parts hold fewer than k other rows takes the rest from the sample.
+query goes to the parts likeliest for it, and to further ones while these hold fewer than
+k other rows; parts are dealt into blocks of bounded size, so a part that holds a third of all
+rows is many tasks' work. Blocks stream: base rows first, then queries, of which each
+leaves its best k, but none below its k-th best score on the sample's rows in the parts it
+goes to, which none of its k best there can be; they are ranked by exact inner product in
+double precision, ties to the smaller id. The sample gives that bound and no results.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null id or with another length than most; equal rows count
 once; a query never finds rows of its own id; with fewer than k candidates all are
-returned (small tables probe every part); an empty table gives an empty result.
+returned; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.runtime import cut
 
-#: Bound on the vectors that the index is fitted on.
+#: Bound on the vectors that an index, or one part's second level, is fitted on.
 SAMPLE = 8192
-#: Rows of a part that meet the queries in one block, on average.
+#: Rows that meet the queries in one block, on average.
 BLOCK = 4096
 GRAPH = 16
+#: Aimed rows of a part; parts of one level; sampled rows a part needs at least.
+ROWS, PARTS, LEAST = 1024, 128, 64
+#: Mean rows of a part above which parts are fitted again.
+WIDE = 128 * ROWS
 
 
 class Index:
     """weights, bias: the classifier; probes: how many parts a query visits."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, probes: int):
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, probes: int = 1):
         self.weights, self.bias, self.probes = weights, bias, probes
 
+    @property
+    def parts(self) -> int:
+        return len(self.bias)
+
     def logits(self, vectors: np.ndarray) -> np.ndarray:
         unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
         return unit @ self.weights + self.bias
 
+    def homes(self, vectors: np.ndarray) -> np.ndarray:
+        return self.logits(vectors).argmax(1)
+
+
+class Tree:
+    """Two levels: the parts of all children, numbered in turn, by their joint probabilities."""
+
+    def __init__(self, top: Index, children: list[Index]):
+        self.top, self.children, self.probes = top, children, 1
+        self.first = np.concatenate([[0], np.cumsum([c.parts for c in children])])
+
+    @property
+    def parts(self) -> int:
+        return int(self.first[-1])
+
+    def logits(self, vectors: np.ndarray) -> np.ndarray:
+        above = _log_shares(self.top.logits(vectors))
+        return np.concatenate([above[:, [i]] + _log_shares(c.logits(vectors)) for i, c in enumerate(self.children)], axis=1)
+
+    def homes(self, vectors: np.ndarray) -> np.ndarray:
+        out, above = np.zeros(len(vectors), np.int64), self.top.homes(vectors)
+        for i in np.unique(above):
+            out[above == i] = self.first[i] + self.children[i].homes(vectors[above == i])
+        return out
+
+
+def _log_shares(z: np.ndarray) -> np.ndarray:
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
 
 def valid(table: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(vec_id, vector as array of doubles) of the rows that take part."""
@@ -132,86 +175,122 @@ def _softmax(x: np.ndarray, goal: np.ndarray, rounds: int = 300) -> tuple[np.nda
     return w, b
 
 
-def fit(sample: np.ndarray, rows: int, k: int = 20, recall: float = 0.97) -> Index:
-    """An index for a table of ``rows`` vectors from a bounded sample of them."""
+def fit(sample: np.ndarray, rows: int) -> Index:
+    """An index of one level for ``rows`` vectors from a bounded sample of them."""
     n, d = sample.shape
-    parts = int(min(128, max(4, rows // 1024), max(1, n // 64)))
+    parts = int(min(PARTS, max(4, rows // ROWS), max(1, n // LEAST)))
     if n <= 8 * GRAPH or parts == 1:
-        return Index(np.zeros((d, 1)), np.zeros(1), 1)
+        return Index(np.zeros((d, 1)), np.zeros(1))
     graph = _graph(sample, GRAPH)
     label = balanced_parts(sample, graph, parts)
     goal = np.zeros((n, parts))
     np.add.at(goal, (np.repeat(np.arange(n), GRAPH), label[graph].ravel()), 1.0 / GRAPH)
     goal = 0.5 * goal + 0.5 * np.eye(parts)[label]
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
-    index = Index(*_softmax(unit, goal), parts)
-    logits = index.logits(sample)
-    home = logits.argmax(1)
-    probe = np.arange(0, n, max(1, n // 1000))
+    return Index(*_softmax(unit, goal))
+
+
+def probes_for(index: Index | Tree, sample: np.ndarray, k: int, recall: float) -> int:
+    """The least number of likeliest parts that hold ``recall`` of the sample's neighbours."""
+    n = len(sample)
+    if n < 2 or index.parts == 1:
+        return 1
+    home, probe = index.homes(sample), np.arange(0, n, max(1, n // 1000))
     near = _graph(sample, min(k, n - 1))[probe]
-    rank = np.argsort(np.argsort(-logits[probe], axis=1, kind="stable"), axis=1, kind="stable")
-    reached = np.bincount(np.take_along_axis(rank, home[near], 1).ravel(), minlength=parts).cumsum() / near.size
-    index.probes = int(np.searchsorted(reached, recall) + 1)
-    index.probes = min(index.probes, parts)
-    return index
+    reached = np.zeros(index.parts, np.int64)
+    for a in range(0, len(probe), 100):
+        logits = index.logits(sample[probe[a : a + 100]])
+        rank = np.argsort(np.argsort(-logits, axis=1, kind="stable"), axis=1, kind="stable")
+        reached += np.bincount(np.take_along_axis(rank, home[near[a : a + 100]], 1).ravel(), minlength=index.parts)
+    return min(index.parts, int(np.searchsorted(reached.cumsum() / near.size, recall) + 1))
 
 
-def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.97, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def _drawn(rows: DataFrame, n: int) -> DataFrame:
+    """At most SAMPLE rows: those with the smallest hashes, so the same ones in every run."""
+    turn = F.pmod(F.xxhash64(F.lit(5), "vec_id", "vector"), F.lit(1 << 30))
+    share = min(1.0, 1.2 * SAMPLE / max(1, n) + 1e-6)
+    return rows.select("vec_id", "vector", turn.alias("turn")).where(F.col("turn") < int(share * (1 << 30))).orderBy("turn", "vec_id", "vector").limit(SAMPLE)
+
+
+def _second(rows: DataFrame, top: Index) -> Tree:
+    """``top`` with every part fitted again, each on at most SAMPLE of its rows in a task of its own."""
+    held = rows.sparkSession.sparkContext.broadcast(top)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(held.value.homes(_matrix(batch.column(0)))), *batch.columns], names=["part", *batch.schema.names])
+
+    turn = F.pmod(F.xxhash64(F.lit(7), "vec_id", "vector"), F.lit(1 << 30))
+    placed = cut(rows.select("vector", "vec_id", turn.alias("turn")).mapInArrow(place, "part long, vector array<double>, vec_id long, turn long"))
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row per part
+    bound = F.element_at(F.create_map(*[F.lit(x) for p, n in sizes.items() for x in (p, int(min(1.0, 0.9 * SAMPLE / n) * (1 << 30)))]), F.col("part"))
+
+    def child(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["turn", "vec_id"])[:SAMPLE]
+        part = int(frame["part"].iloc[0])
+        return pd.DataFrame({"part": [part], "child": [pickle.dumps(fit(np.stack(frame["vector"].to_numpy()), sizes[part]))]})
+
+    fitted = placed.where(F.col("turn") < bound).groupBy("part").applyInPandas(child, "part long, child binary").collect()
+    found = {r["part"]: pickle.loads(r["child"]) for r in fitted}
+    none = Index(np.zeros((top.weights.shape[0], 1)), np.zeros(1))
+    return Tree(top, [found.get(i, none) for i in range(top.parts)])
+
+
+def search(table: DataFrame, is_query, k: int = 20, recall: float = 0.95, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found for each row that ``is_query`` selects."""
     rows = cut(valid(table, vector, key))
     n = rows.count()
-    share = min(1.0, 1.2 * SAMPLE / max(1, n))
-    draw = F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    drawn = rows.where(draw).select("vec_id", "vector").limit(SAMPLE).collect()
+    drawn = _drawn(rows, n).collect()
     sample = np.array([r["vector"] for r in drawn], np.float64).reshape(len(drawn), len(drawn[0]["vector"]) if drawn else 1)
-    index = fit(sample, n, k, recall) if drawn else Index(np.zeros((0, 1)), np.zeros(1), 1)
-    home = index.logits(sample).argmax(1) if drawn else np.zeros(0, np.int64)
-    held = table.sparkSession.sparkContext.broadcast((index, sample, np.array([r["vec_id"] for r in drawn], np.int64), home))
-    parts = len(index.bias)
+    index: Index | Tree = fit(sample, n) if drawn else Index(np.zeros((0, 1)), np.zeros(1))
+    if n > WIDE * index.parts and index.parts > 1:
+        index = _second(rows, index)
+    index.probes = probes_for(index, sample, k, recall)
+    held = table.sparkSession.sparkContext.broadcast((index, sample, np.array([r["vec_id"] for r in drawn], np.int64), index.homes(sample) if drawn else np.zeros(0, np.int64)))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(held.value[0].homes(_matrix(batch.column(1)))), *batch.columns], names=["part", *batch.schema.names])
+
+    placed = cut(rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(place, "part long, vec_id long, vector array<double>, asks boolean"))
+    sizes = cut(placed.groupBy("part").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).alias("blocks")))  # a row per part
+    count = np.zeros(index.parts, np.int64)
+    for r in sizes.collect():
+        count[r["part"]] = r["n"]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known, known_ids, homes = held.value
         for batch in batches:
-            x, ids, asks = _matrix(batch.column(1)), batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-            order = np.argsort(-found.logits(x), axis=1, kind="stable")[:, : found.probes]
-            floor, mark, seen = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), [[] for _ in ids]
-            for at in np.flatnonzero(asks).tolist():
+            x, ids = _matrix(batch.column(1)), batch.column(0).to_numpy()
+            floor, mark, parts = np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64), []
+            for at in range(len(ids)):
+                order = np.argsort(-found.logits(x[at : at + 1])[0], kind="stable")
+                enough = int(np.searchsorted(np.cumsum(count[order]), k + 1)) + 1
+                order = order[: max(found.probes, enough)]
+                parts.append(order[count[order] > 0])
                 mark[at] = _mark(x[at])
-                near, score = _nearest(known, known_ids, x[at], ids[at], k, among=np.isin(homes, order[at]))
+                near, score = _nearest(known, known_ids, x[at], ids[at], k, among=np.isin(homes, order))
                 if len(near) == k:
                     floor[at] = score[-1]
-                else:
-                    near, score = _nearest(known, known_ids, x[at], ids[at], k)
-                    seen[at] = [{"vec_id": int(i), "score": float(s)} for i, s in zip(near, score, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(list(order), pa.list_(pa.int64())), pa.array(floor), pa.array(mark), pa.array(seen, pa.list_(pa.struct([("vec_id", pa.int64()), ("score", pa.float64())])))],
-                names=[*batch.schema.names, "parts", "floor", "mark", "seen"],
-            )
-
-    routed = cut(rows.select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asks")).mapInArrow(route, "vec_id long, vector array<double>, asks boolean, parts array<long>, floor double, mark long, seen array<struct<vec_id:long,score:double>>"))
-    base = routed.select(F.get("parts", F.lit(0)).alias("part"), "vec_id", "vector")
-    sizes = cut(base.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))  # a row per part
-    asked = routed.where("asks").groupBy().agg(F.count("*").alias("n")).first()["n"]
-    rounds = max(1, -(-asked // (16 * BLOCK)))  # queries are dealt too, so no block meets them all
-    wide = F.broadcast(sizes)
-    left = base.join(wide, "part").select(
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int64())), pa.array(floor), pa.array(mark)], names=[*batch.schema.names, "parts", "floor", "mark"])
+
+    asked = cut(placed.where("asks").select("vec_id", "vector").mapInArrow(route, "vec_id long, vector array<double>, parts array<long>, floor double, mark long"))
+    wide = F.broadcast(sizes.select("part", "blocks"))
+    rounds = max(1, -(-asked.count() // (16 * BLOCK)))  # queries are dealt too, so no block meets them all
+    left = placed.join(wide, "part").select(
         "part", F.pmod(F.xxhash64("vec_id"), "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round"), F.lit(0).alias("kind"), "vec_id", "vector", F.lit(None).cast("double").alias("floor")
     )
     right = (
-        routed.where("asks")
-        .select(F.explode("parts").alias("part"), "vec_id", "vector", "floor")
+        asked.select(F.explode("parts").alias("part"), "vec_id", "vector", "floor")
         .join(wide, "part")
-        .select("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(rounds)).cast("int").alias("round"), F.lit(1).alias("kind"), "vec_id", "vector", "floor")
+        .select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(rounds)).cast("int").alias("round"), F.lit(1).alias("kind"), "vec_id", "vector", "floor")
     )
     met = left.unionByName(right).repartition("part", "block", "round").sortWithinPartitions("part", "block", "round", "kind", "vec_id")
     best = met.select("part", "block", "round", "kind", "vec_id", "vector", "floor").mapInArrow(_scan(k), "query_id long, mark long, vec_id long, score double")
     order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
-    seen = routed.where("asks").select(F.col("vec_id").alias("query_id"), "mark", F.explode("seen").alias("s")).select("query_id", "mark", "s.vec_id", "s.score")
-    both = best.withColumn("routed", F.lit(1)).unionByName(seen.withColumn("routed", F.lit(0)))
-    once = both.groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"), F.max("routed").alias("routed"))
-    short = F.sum("routed").over(Window.partitionBy("query_id", "mark")) < k
-    ranked = once.withColumn("short", short).where((F.col("routed") == 1) | F.col("short")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    # rows that share an id: the nearest of them counts
+    once = best.groupBy("query_id", "mark", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
