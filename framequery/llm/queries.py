@@ -1,21 +1,24 @@
-"""The thin queries over the operators of this subpackage, and SQL where it can express them."""
+"""The thin queries over the operators of this subpackage, and SQL where it can express them.
+
+A query imports its operator when it runs, so that a package that one operator needs is not needed by the others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, line_dedup, mixing, ngram_join, pii, suffix_dedup, toxicity, warc
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
     probe = "\\### Assistant: </turn> ok"
     turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
     formatted = chat.format_conversations(turns.unionByName(extra))
     read = formatted.select("conv_id", "formatted", "n_messages", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -54,6 +57,8 @@ MIN_SITES = 10
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
     out = line_dedup.remove_boilerplate(_read(spark, sf_dir, "documents"), min_sites=MIN_SITES)
     return out.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("kept_md5"))
 
@@ -77,6 +82,8 @@ UNION ALL SELECT doc_id, 0, 0, NULL, NULL FROM documents WHERE text IS NULL
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import mixing
+
     planned = mixing.plan(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return planned.select(
         "doc_id",
@@ -114,6 +121,8 @@ ORACLES = {"op1_chat_formatting": _OP1_SQL, "op2_line_dedup": _OP2_SQL, "op8_mix
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
     found = decontam.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
@@ -129,16 +138,20 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op3_decontamination"] = op3_decontamination
 
 
-def _fold(doc_id) :
+def _fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> "toxicity.Model":  # noqa: F821
     """The model that the query and the pipeline share: held-out rows are never read."""
+    from . import toxicity
+
     return toxicity.fit(docs, labels.where(_fold(F.col("doc_id")) != 0))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity_model(docs, _read(spark, sf_dir, "labels")), keep=["doc_id"])
     return scored.select("doc_id", (_fold(F.col("doc_id")) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
@@ -148,6 +161,8 @@ QUERIES["op6_toxicity"] = op6_toxicity
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
     path = warc.archive(_read(spark, sf_dir, "pages"), min_bytes=0)
     read = warc.read_archives(spark, path, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -157,6 +172,8 @@ QUERIES["op7_warc"] = op7_warc
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
     found = ngram_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"), words=5, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "class_id")
 
@@ -165,6 +182,8 @@ QUERIES["op9_ngram_join"] = op9_ngram_join
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
     done = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
@@ -177,6 +196,8 @@ DEMO_KEY = b"framequery demonstration key"
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
     found = pii.pseudonymize(_read(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
     count = lambda kind: F.size(F.filter("pii", lambda p: p["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", F.size("pii").cast("long").alias("n_pii"), *[count(k) for k, _ in pii.PATTERNS], "text")
@@ -186,6 +207,8 @@ QUERIES["op4_pii"] = op4_pii
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
     found = ann.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
     return found.select("query_id", "rank", "vec_id", "score")
 

@@ -96,33 +96,38 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int
     if not counts.get(0) or not counts.get(1):
         return empty
 
-    def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "y": frame["y"], "x": [features(t or "").tobytes() for t in frame["text"]]})
-
-    data = sorted((r["doc_id"], r["y"], bytes(r["x"])) for r in rows.mapInPandas(extract, "doc_id long, y int, x binary").collect())
-    x, y = [np.frombuffer(d[2], np.uint32) for d in data], np.array([d[1] for d in data], np.int64)
-    shown = np.bincount(y, minlength=2)
-    if not shown.all():
+    # one task trains on the whole sample and one on each fold's rest; the sample's bound is their memory's
+    parts = F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("part")
+    dealt = rows.select(parts, "doc_id", "y", "text").repartitionByRange(FOLDS + 1, "part")
+    trained = {r["part"]: r for r in dealt.groupBy("part").applyInPandas(_trainer(penalty), "part int, y binary, z binary, weights binary, bias double").collect()}
+    if FOLDS not in trained or trained[FOLDS]["weights"] is None:
         return empty
-    r = ratios(x, y)
-    weights, bias = train(x, y, r, penalty)
+    whole = trained.pop(FOLDS)
+    y, z = (np.concatenate([np.frombuffer(r[c], t) for r in trained.values()]) for c, t in (("y", np.int64), ("z", np.float64)))
     # the sample is not drawn in the labels' proportions: each example counts for its share of the labels
-    slope, shift = calibrate(unseen(x, y, penalty), y, np.array([counts[0], counts[1]])[y] / shown[y])
-    return Model(slope * weights * r, slope * bias + shift)
-
-
-def unseen(x: list[np.ndarray], y: np.ndarray, penalty: float) -> np.ndarray:
-    """For each example the sum that a model trained without its fold gives it."""
-    out = np.zeros(len(x))
-    fold = np.arange(len(x)) % FOLDS
-    for k in range(FOLDS):
-        rest = np.flatnonzero(fold != k)
-        r = ratios([x[i] for i in rest], y[rest])
-        w, b = train([x[i] for i in rest], y[rest], r, penalty)
-        for i in np.flatnonzero(fold == k):
-            out[i] = b + float((w * r)[x[i]].sum())
-    return out
+    slope, shift = calibrate(z, y, np.array([counts[0], counts[1]])[y] / np.bincount(y, minlength=2)[y])
+    return Model(slope * np.frombuffer(whole["weights"], np.float32), slope * whole["bias"] + shift)
+
+
+def _trainer(penalty: float):
+    """One part's task: a fold gives its examples' labels and the sums of a model that has not seen them, the last part the model."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        frame = frame.sort_values(["doc_id", "y"], kind="stable")
+        x, y = [features(t) for t in frame["text"]], frame["y"].to_numpy(np.int64)
+        aside = np.arange(len(x)) % FOLDS == part
+        learnt = np.flatnonzero(~aside)
+        none = {"part": [part], "y": [y[aside].tobytes()], "z": [np.zeros(aside.sum()).tobytes()], "weights": [None], "bias": [0.0]}
+        if len(set(y[learnt].tolist())) < 2:
+            return pd.DataFrame(none)
+        r = ratios([x[i] for i in learnt], y[learnt])
+        w, b = train([x[i] for i in learnt], y[learnt], r, penalty)
+        w *= r
+        z = np.array([b + float(w[x[i]].sum()) for i in np.flatnonzero(aside)])
+        return pd.DataFrame(none | {"z": [z.tobytes()], "bias": [b]} | ({"weights": [w.astype(np.float32).tobytes()]} if part == FOLDS else {}))
+
+    return run
 
 
 def calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
