@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from pathlib import Path
 
 
-def _yaml(path: str | Path) -> dict:
-    import yaml
+def local_text(path: str | Path) -> str:
+    return Path(path).read_text(encoding="utf-8")
+
 
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
+def node_parameters(path: str | Path, node: str = "/**", read: Callable[[str | Path], str] = local_text) -> dict:
+    """Parameters of a node: its own section, else the general one, else the first that has any.
 
+    ``read`` gives a file's text, so files can come from any store.
+    """
+    import yaml
 
-def node_parameters(path: str | Path, node: str = "/**") -> dict:
-    """Parameters of a node: its own section, else the general one, else the first that has any."""
-    sections = _yaml(path)
+    sections = yaml.safe_load(read(path)) or {}
     for name in (node, "/**", *sections):
         found = sections.get(name)
         if isinstance(found, dict) and "ros__parameters" in found:
@@ -30,13 +34,15 @@ def merge(base: dict, over: dict) -> dict:
     return out
 
 
-def load_tree(path: str | Path, include: str = "__include__") -> dict:
+def load_tree(path: str | Path, include: str = "__include__", read: Callable[[str | Path], str] = local_text) -> dict:
     """A file with the files it includes (relative to it); what stands later or in the including file wins."""
-    own = _yaml(path)
+    import yaml
+
+    own = yaml.safe_load(read(path)) or {}
     base: dict = {}
     for name in own.pop(include, []) or []:
         name = Path(os.path.expanduser(name))
-        base = merge(base, load_tree(name if name.is_absolute() else Path(path).parent / name, include))
+        base = merge(base, load_tree(name if name.is_absolute() else Path(path).parent / name, include, read))
     return merge(base, own)
 
 
@@ -57,6 +63,44 @@ def overrides(items: list[str]) -> dict:
 
 
 def resolve_path(path: str, config: str | Path) -> Path:
-    """``~`` and absolute paths as they are; others from the folder above the config file's."""
+    """``~`` and absolute paths as they are; others from the folder that holds ``configs``.
+
+    The nearest folder named ``configs`` over the config file counts; without one, the file's own folder.
+    """
     p = Path(os.path.expanduser(path))
-    return p if p.is_absolute() else Path(config).resolve().parent.parent / p
+    if p.is_absolute():
+        return p
+    place = Path(config).resolve()
+    root = next((x.parent for x in place.parents if x.name == "configs"), place.parent)
+    return Path(os.path.normpath(root / p))
+
+
+def stored_parameters(state: dict) -> dict:
+    """The parameters in a checkpoint: the averaged model's, else the model's, else the whole."""
+    averaged = state.get("ema")
+    if isinstance(averaged, dict) and "module" in averaged:
+        return averaged["module"]
+    return state.get("model", state)
+
+
+class Injected:
+    """Named factories; an argument that names another entry, and is declared as such, gets that entry's object."""
+
+    def __init__(self):
+        self.entries: dict[str, tuple] = {}
+
+    def register(self, name: str, factory, inject: tuple[str, ...] = (), shared: tuple[str, ...] = (), force: bool = False) -> None:
+        if name in self.entries and not force:
+            raise ValueError(f"{name!r} is registered already")
+        self.entries[name] = (factory, inject, shared)
+
+    def create(self, name: str, settings: dict, **over):
+        """The object of ``name`` with its section of ``settings``; ``shared`` arguments come from the top level."""
+        if name not in self.entries:
+            raise ValueError(f"unknown entry {name!r}; there are {sorted(self.entries)}")
+        factory, inject, shared = self.entries[name]
+        arguments = {k: settings[k] for k in shared if k in settings} | dict(settings.get(name) or {}) | over
+        for k in inject:
+            if isinstance(arguments.get(k), str):
+                arguments[k] = self.create(arguments[k], settings)
+        return factory(**arguments)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Box = tuple[Column, Column, Column, Column]
@@ -114,6 +114,40 @@ def bin_of(value: Column, positions: list[float]) -> tuple[Column, Column, Colum
     return outside(0.0, last - 0.1, k.cast("double")), outside(0.0, 1.0, right), outside(1.0, 0.0, 1 - right)
 
 
+def anchor_grid(levels: DataFrame, side: float = 0.05, eps: float = 0.01) -> DataFrame:
+    """lvl, gx, gy, the anchor (cx, cy, w, h) and whether it is valid, for levels (lvl, nx, ny).
+
+    Anchors sit in the middle of the cells; an anchor is valid with all four numbers in (eps, 1 - eps).
+    """
+    along = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    grid = levels.select("lvl", "nx", "ny", along("nx", "gx")).select("lvl", "nx", "ny", "gx", along("ny", "gy"))
+    w = F.lit(side) * F.pow(F.lit(2.0), "lvl")
+    grid = grid.select("lvl", "gx", "gy", ((F.col("gx") + 0.5) / F.col("nx")).alias("cx"), ((F.col("gy") + 0.5) / F.col("ny")).alias("cy"), w.alias("w"), w.alias("h"))
+    return grid.withColumn("valid", F.forall(F.array("cx", "cy", "w", "h"), lambda v: (v > eps) & (v < 1 - eps)))
+
+
+def position_table(levels: DataFrame, dims: int = 256, temperature: float = 10000.0) -> DataFrame:
+    """x, y, and the ``dims`` numbers of each cell of a (w, h) grid: sines and cosines of x, then of y."""
+    if dims % 4:
+        raise ValueError("the dimension must be a multiple of four")
+    along = lambda n, name: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(name)
+    quarter = dims // 4
+    omega = F.transform(F.sequence(F.lit(0), F.lit(quarter - 1)), lambda i: 1 / F.pow(F.lit(temperature), i / F.lit(float(quarter))))
+    wave = lambda f, c: F.transform(omega, lambda o: f(F.col(c) * o))
+    cells = levels.select("w", "h", along("w", "x")).select("x", along("h", "y"))
+    return cells.select("x", "y", F.concat(wave(F.sin, "x"), wave(F.cos, "x"), wave(F.sin, "y"), wave(F.cos, "y")).alias("position"))
+
+
+def mask_boxes(pixels: DataFrame, mask: str = "mask_id", x: str = "x", y: str = "y") -> DataFrame:
+    """The box around the set pixels of each mask."""
+    return pixels.groupBy(mask).agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, frame: str = "frame_id", eps: float = 1e-9) -> DataFrame:
+    """The (point, box) pairs of a frame where the point lies inside: an equi-join on the frame."""
+    return points.join(boxes, frame).where(inside(F.col("px"), F.col("py"), box(), eps))
+
+
 def letterbox(w: Column, h: Column, side: int) -> dict[str, Column]:
     """How an image is fitted into a square: ratio, new size and padding."""
     r = F.least(F.lit(float(side)) / w, F.lit(float(side)) / h)

@@ -97,6 +97,75 @@ def distribution_loss(probabilities: Column, k: Column, right: Column, left: Col
     return at(k) * left + at(k + 1) * right
 
 
+def softened(logits: Column, temperature: float) -> Column:
+    """Log-softmax of an array at a temperature."""
+    z = F.transform(doubles(logits), lambda v: v / temperature)
+    top = F.array_max(z)
+    total = F.ln(add_up(F.transform(z, lambda v: F.exp(v - top))))
+    return F.transform(z, lambda v: v - top - total)
+
+
+def distillation_divergence(student: Column, teacher: Column, temperature: float = 5.0) -> Column:
+    """Temperature squared x KL(teacher | student) of two arrays of logits."""
+    each = F.zip_with(softened(teacher, temperature), softened(student, temperature), lambda t, s: F.exp(t) * (t - s))
+    return temperature**2 * add_up(each)
+
+
+def decoupled_loss(loss: Column, weight: Column, matched: Column) -> Column:
+    """An aggregate: weighted losses, averaged apart over matched and other rows, the means weighed by
+    the square roots of the counts. Null without rows."""
+    own, rest = F.when(matched, weight * loss), F.when(~matched, weight * loss)
+    root = lambda c: F.sqrt(F.count(c).cast("double"))
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)) * root(c)
+    return (mean(own) + mean(rest)) / F.nullif(root(own) + root(rest), F.lit(0.0))
+
+
+def masked_square(f: Column, t: Column) -> Column:
+    """Squared difference where either is positive, else 0."""
+    return F.when((f > 0) | (t > 0), (f - t) * (f - t)).otherwise(0.0)
+
+
+def gradient_share(own: Column, total: Column) -> Column:
+    """The own part in %, 0 where the total is 0 or either is not finite."""
+    share = 100 * own / F.nullif(total, F.lit(0.0))
+    return F.when(is_finite(own) & is_finite(total), F.coalesce(share, F.lit(0.0))).otherwise(0.0)
+
+
+def is_finite(x: Column) -> Column:
+    """False for null, NaN and the infinities."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
+
+
+# Fixed value: the largest single-precision number.
+FLOAT_MAX = 3.4028234663852886e38
+
+
+def finite_number(x: Column, nan: float = 0.0) -> Column:
+    """NaN becomes ``nan``, an infinity the largest single-precision number of its sign."""
+    return F.when(F.isnan(x), F.lit(nan)).when(x == float("inf"), FLOAT_MAX).when(x == float("-inf"), -FLOAT_MAX).otherwise(x)
+
+
+def gradual_step(i: Column, layers: int) -> Column:
+    """Weight of layer i of ``layers``: from 0.5 to 1 in equal steps; 1 for a single layer."""
+    return F.lit(0.5) + i * (0.5 / (layers - 1)) if layers > 1 else F.lit(1.0)
+
+
+def folded_norm(weight: Column, gamma: Column, beta: Column, mean: Column, variance: Column, eps: float = 1e-5) -> tuple[Column, Column]:
+    """(weight, bias) of a convolution with its batch norm folded in."""
+    scale = gamma / F.sqrt(variance + eps)
+    return weight * scale, beta - mean * scale
+
+
+def divisible(x: Column, divisor: int) -> Column:
+    """The least multiple of ``divisor`` not under x."""
+    return F.ceil(x / F.lit(float(divisor))) * divisor
+
+
+def same_padding(kernel: Column) -> Column:
+    """Padding that keeps the size under a convolution of stride 1."""
+    return F.floor(kernel / F.lit(2)).cast("int")
+
+
 def ema_decay(n: Column, decay: float, warmups: int) -> Column:
     return F.lit(decay) * (1 - F.exp(-n / F.lit(float(warmups)))) if warmups else F.lit(decay)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
+from . import ordered
 from .grouped import map_groups
 
 #: Backends whose own filter is strict; the others are filtered once, by >=.
@@ -55,9 +56,11 @@ def flat_topk(queries: DataFrame, k: int, logits: str = "logits") -> DataFrame:
 
 def best_class_topk(queries: DataFrame, k: int, logits: str = "logits") -> DataFrame:
     """Softmax over classes, the last being background: each query's best class, then the k best queries."""
-    p = M.softmax(F.col(logits))
-    front = F.slice(p, F.lit(1), F.size(logits) - 1)
-    scored = queries.select("image_id", "query_id", front.alias("p")).select("image_id", "query_id", M.argmax(F.col("p")).alias("label"), F.array_max("p").alias("score"))
+    front = F.slice(M.doubles(F.col(logits)), F.lit(1), F.size(logits) - 1)
+    largest = F.array_max(M.doubles(F.col(logits)))
+    # of the softmax only its largest term is needed, and one sum
+    share = F.exp(F.array_max(front) - largest) / M.add_up(F.transform(M.doubles(F.col(logits)), lambda v: F.exp(v - largest)))
+    scored = queries.select("image_id", "query_id", M.argmax(front).alias("label"), share.alias("score"))
     return topk(scored, k, "image_id", "query_id")
 
 
@@ -100,62 +103,102 @@ def greedy_suppression(boxes: np.ndarray, scores: np.ndarray, threshold: float)
 
 
 def suppress(det: DataFrame, threshold: float = 0.7, top: int = 1000, keep: int = 100, min_score: float = 0.1, frame: str = "frame_id") -> DataFrame:
-    """Greedy suppression per frame and class. Candidates are limited by rank in Spark first."""
-    candidates = topk(det.where(F.col("score") > min_score), top, frame).drop("rank")
-    columns = ["det_id", "score", "x1", "y1", "x2", "y2"]
-    numbers = candidates.select(frame, *[F.col(c).cast("long").alias(c) for c in ("class_id", "det_id")], *[F.col(c).cast("double").alias(c) for c in columns[1:]])
+    """Greedy suppression per frame and class: of the ``top`` best of a frame, at most ``keep`` stay, ranked.
+
+    Rows are dealt once, by frame; ranking, suppression and the final rank happen there.
+    """
+    columns = ["class_id", "det_id", "score", "x1", "y1", "x2", "y2"]
+    numbers = det.where(F.col("score") > min_score).select(frame, *[F.col(c).cast("long" if c in columns[:2] else "double").alias(c) for c in columns])
 
     def run(key: tuple, rows: list[np.ndarray]) -> tuple:
-        det_id, score, *corners = rows
-        kept = greedy_suppression(np.stack(corners, axis=1), score, threshold)
-        return np.full(len(kept), key[0]), np.full(len(kept), key[1]), det_id[kept], score[kept]
+        best = np.lexsort((rows[1], -rows[2]))[:top]
+        class_id, det_id, score = (r[best] for r in rows[:3])
+        corners, kept = np.stack([r[best] for r in rows[3:]], axis=1), []
+        for c in np.unique(class_id):
+            own = np.flatnonzero(class_id == c)
+            kept.append(own[greedy_suppression(corners[own], score[own], threshold)])
+        kept = np.sort(np.concatenate(kept))[:keep]  # places are already by score, then id
+        return np.full(len(kept), key[0]), class_id[kept], det_id[kept], score[kept], np.arange(1, len(kept) + 1)
+
+    out = map_groups(numbers, [frame], ["det_id"], columns, run, f"{frame} long, class_id long, det_id long, score double, rank long")
+    return out.withColumn("rank", F.col("rank").cast("int"))
+
 
-    kept = map_groups(numbers, [frame, "class_id"], ["det_id"], columns, run, f"{frame} long, class_id long, det_id long, score double")
-    return topk(kept, keep, frame)
+# The overlaps and the area ranges (in pixels) of the public benchmark's average precision.
+OVERLAPS = tuple(0.5 + 0.05 * i for i in range(10))
+AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
 
 
-def average_precision(scored: DataFrame, truths: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per class: average precision at one IoU threshold, from the public 101-point definition.
+def match_truths(scored: DataFrame, truths: DataFrame, thresholds: tuple[float, ...] = (0.5,), area: tuple[float, float] = AREAS["all"], top: int = 100) -> DataFrame:
+    """(frame_id, class_id, det_id, score, threshold, hit, ignored) of the ``top`` best detections of a frame and class.
 
-    Matching is greedy by score within an image and class; precision is then made with
-    windows over each class's detections ordered by score.
+    Greedy by score: a detection takes the free truth it overlaps most, if by the
+    threshold. Truths that are crowds or lie outside the area range are taken only where no other
+    fits, crowds any number of times (by the share of the detection they cover), and such detections are
+    ignored, as are unmatched ones outside the area range. ``truths`` may have ``iscrowd``.
     """
-    columns = ["det_id", "truth", "score", "x1", "y1", "x2", "y2"]
-    numbers = lambda d, truth: d.select("frame_id", F.col("class_id").cast("long").alias("class_id"), F.col("det_id").cast("long").alias("det_id"), F.lit(truth).alias("truth"), *[F.col(c).cast("double").alias(c) for c in columns[2:]])
-    both = numbers(scored, 0).unionByName(numbers(truths.withColumn("score", F.lit(0.0)), 1))
+    columns = ["det_id", "truth", "crowd", "score", "x1", "y1", "x2", "y2"]
+    crowd = F.col("iscrowd").cast("long") if "iscrowd" in truths.columns else F.lit(0).cast("long")
+    numbers = lambda d, truth, c, score: d.select("frame_id", F.col("class_id").cast("long").alias("class_id"), F.col("det_id").cast("long").alias("det_id"), F.lit(truth).alias("truth"), c.alias("crowd"), score.cast("double").alias("score"), *[F.col(x).cast("double").alias(x) for x in columns[4:]])
+    both = numbers(scored, 0, F.lit(0).cast("long"), F.col("score")).unionByName(numbers(truths, 1, crowd, F.lit(0.0)))
 
     def run(key: tuple, rows: list[np.ndarray]) -> tuple | None:
-        det_id, truth, score = rows[:3]
-        corners = np.stack(rows[3:], axis=1)
-        t, d = corners[truth == 1], np.flatnonzero(truth == 0)
+        det_id, truth, crowds, score = rows[:4]
+        corners = np.stack(rows[4:], axis=1)
+        size = (corners[:, 2] - corners[:, 0]) * (corners[:, 3] - corners[:, 1])
+        outside = (size < area[0]) | (size > area[1])
+        t, d = np.flatnonzero(truth == 1), np.flatnonzero(truth == 0)
         if not len(d):
             return None
-        d = d[np.lexsort((det_id[d], -score[d]))]
-        free, hits = np.ones(len(t), bool), np.zeros(len(d), bool)
-        for i, b in enumerate(corners[d]):
-            if not free.any():
-                break
-            inter = np.clip(np.minimum(b[2:], t[:, 2:]) - np.maximum(b[:2], t[:, :2]), 0, None).prod(1)
-            together = (b[2:] - b[:2]).prod() + (t[:, 2:] - t[:, :2]).prod(1) - inter
-            quality = np.where(free & (together > 0), inter / np.where(together > 0, together, 1), -1)
-            best = int(quality.argmax())
-            hits[i] = quality[best] >= threshold
-            free[best] &= not hits[i]
-        return np.full(len(d), key[0]), np.full(len(d), key[1]), det_id[d], score[d], hits
-
-    matched = map_groups(both, ["frame_id", "class_id"], ["det_id"], columns, run, "frame_id long, class_id long, det_id long, score double, hit boolean")
-    order = Window.partitionBy("class_id").orderBy(F.desc("score"), "frame_id", "det_id")
-    positives = truths.groupBy("class_id").agg(F.count("*").alias("positives"))
-    curve = (
-        matched.withColumn("n", F.row_number().over(order))
-        .withColumn("tp", F.sum(F.col("hit").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .join(F.broadcast(positives), "class_id")
-        .select("class_id", (F.col("tp") / F.col("positives")).alias("recall"), (F.col("tp") / F.col("n")).alias("precision"), "positives")
-    )
+        d = d[np.lexsort((det_id[d], -score[d]))][:top]
+        spare = (crowds[t] == 1) | outside[t]
+        t = t[np.argsort(spare, kind="stable")]
+        spare, crowded = (crowds[t] == 1) | outside[t], crowds[t] == 1
+        low, high = np.maximum(corners[d][:, None, :2], corners[t][None, :, :2]), np.minimum(corners[d][:, None, 2:], corners[t][None, :, 2:])
+        inter = np.clip(high - low, 0, None).prod(2)
+        together = np.where(crowded[None, :], size[d][:, None], size[d][:, None] + size[t][None, :] - inter)
+        quality = np.where(together > 0, inter / np.where(together > 0, together, 1), 0.0)
+        found = []
+        for threshold in thresholds:
+            free, hits, ignored = np.ones(len(t), bool), np.zeros(len(d), bool), outside[d].copy()
+            for i in range(len(d)):
+                for group in (~spare, spare):
+                    q = np.where(group & (free | crowded), quality[i], -1.0)
+                    best = int(q.argmax()) if len(q) else -1
+                    if best >= 0 and q[best] >= min(threshold, 1 - 1e-10):
+                        free[best], hits[i], ignored[i] = False, not spare[best], spare[best]
+                        break
+            found.append((np.full(len(d), key[0]), np.full(len(d), key[1]), det_id[d], score[d], np.full(len(d), threshold), hits, ignored))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    return map_groups(both, ["frame_id", "class_id"], ["det_id"], columns, run, "frame_id long, class_id long, det_id long, score double, threshold double, hit boolean, ignored boolean")
+
+
+def precision_points(matched: DataFrame, positives: DataFrame) -> DataFrame:
+    """(class_id, threshold, ap, positives) of matched detections by the 101-point definition.
+
+    ``positives``: class_id and the number of its truths. Ranks and true positives are
+    running values over blocks of a class's detections, so a frequent class is many tasks' work.
+    """
+    keys = ["class_id", "threshold"]
+    placed = ordered.numbered(matched.where(~F.col("ignored")).select(*keys, "score", "frame_id", "det_id", "hit"), keys, [F.desc("score"), F.col("frame_id"), F.col("det_id")])
+    ranked = ordered.running(placed, keys, "n", {"tp": F.col("hit").cast("long")}, {"tp": "sum"}).join(positives, "class_id")
+    recall, precision = F.col("tp") / F.col("positives"), F.col("tp") / (F.col("n") + 1)
     # the best precision at or beyond each hundredth of recall
-    reached = curve.select("class_id", "positives", F.floor(F.col("recall") * 100 + 1e-9).cast("int").alias("at"), "precision").groupBy("class_id", "at").agg(F.max("precision").alias("best"))
-    points = reached.select("class_id", F.explode(F.sequence(F.lit(0), F.col("at"))).alias("point"), "best").groupBy("class_id", "point").agg(F.max("best").alias("best"))
-    summed = points.groupBy("class_id").agg((F.sum("best") / 101).alias("ap"))
-    return positives.join(summed, "class_id", "left").select("class_id", F.coalesce("ap", F.lit(0.0)).alias("ap"), "positives")
-
-
+    reached = ranked.select(*keys, F.floor(recall * 100 + 1e-9).cast("int").alias("at"), precision.alias("p")).groupBy(*keys, "at").agg(F.max("p").alias("best"))
+    points = reached.select(*keys, F.explode(F.sequence(F.lit(0), F.col("at"))).alias("point"), "best").groupBy(*keys, "point").agg(F.max("best").alias("best"))
+    return points.groupBy(*keys).agg((F.sum("best") / 101).alias("ap"))
+
+
+def average_precision(scored: DataFrame, truths: DataFrame, threshold: float | tuple[float, ...] = 0.5, area: str = "all", top: int = 100) -> DataFrame:
+    """Per class, and per threshold if there are several: average precision and the number of truths that count."""
+    several = not isinstance(threshold, float)
+    thresholds = tuple(threshold) if several else (threshold,)
+    counted = truths.where("iscrowd = 0 OR iscrowd IS NULL") if "iscrowd" in truths.columns else truths
+    size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    counted = counted.where(size.between(*AREAS[area]))
+    positives = counted.groupBy(F.col("class_id").cast("long").alias("class_id")).agg(F.count("*").alias("positives"))
+    ap = precision_points(match_truths(scored, truths, thresholds, AREAS[area], top), positives)
+    each = positives.select("class_id", "positives", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"))
+    out = each.join(ap, ["class_id", "threshold"], "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+    return out.select("class_id", "threshold", "ap", "positives") if several else out.select("class_id", "ap", "positives")

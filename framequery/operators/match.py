@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from .grouped import map_groups
+from .grouped import map_lists
 
 # Weights of the cost terms.
 CLASS_WEIGHT, L1_WEIGHT, GIOU_WEIGHT = 2.0, 5.0, 2.0
@@ -28,7 +28,7 @@ def assign(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     c = costs.T if turned else costs
     n, m = c.shape
     row_price, col_price = np.zeros(n), np.zeros(m)
-    owner = np.full(m, -1)
+    owner, held = np.full(m, -1), np.full(n, -1)  # the row of a column, the column of a row
     for start in range(n):
         dist, via, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
         row, base, free = start, 0.0, -1
@@ -48,10 +48,10 @@ def assign(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row_price[start] += base
         while True:
             row = via[free]
-            owner[free], before = row, free
+            owner[free] = row
+            held[row], free = free, held[row]
             if row == start:
                 break
-            free = int(np.flatnonzero((owner == row) & (np.arange(m) != before))[0])
     cols = np.flatnonzero(owner >= 0)
     rows = owner[cols]
     a, b = (cols, rows) if turned else (rows, cols)
@@ -59,8 +59,22 @@ def assign(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
-def hungarian(costs: DataFrame, frame: str = "frame_id", a: str = "a_det_id", b: str = "b_det_id") -> DataFrame:
-    """(frame, a, b, cost): the cheapest assignment within each frame; a frame has every (a, b) once."""
+def repeated(costs: np.ndarray, rounds: int, taken: float = 1e6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Assignments of several rounds; a pair chosen in a round costs ``taken`` in the later ones."""
+    costs, out = np.where(np.isnan(costs), 1.0, costs), []
+    for _ in range(rounds):
+        x, y = assign(costs)
+        out.append((x, y))
+        costs[x, y] = taken
+    return out
+
+
+def hungarian(costs: DataFrame, frame: str = "frame_id", a: str = "a_det_id", b: str = "b_det_id", rounds: int = 1) -> DataFrame:
+    """(frame, a, b, cost): the cheapest assignment within each frame; a frame has every (a, b) once.
+
+    With ``rounds`` > 1 there is a ``round`` column: each round matches anew without the
+    pairs of those before. Pairs are gathered where the join on the frame left them.
+    """
 
     def run(key: tuple, rows: list[np.ndarray]) -> tuple:
         left, right, cost = rows
@@ -68,10 +82,49 @@ def hungarian(costs: DataFrame, frame: str = "frame_id", a: str = "a_det_id", b:
         cols_of, j = np.unique(right, return_inverse=True)
         table = np.full((len(rows_of), len(cols_of)), np.nan)
         table[i, j] = cost
-        x, y = assign(table)
-        return np.full(len(x), key[0]), rows_of[x], cols_of[y], table[x, y]
+        found = [(np.full(len(x), key[0]), rows_of[x], cols_of[y], table[x, y], np.full(len(x), k)) for k, (x, y) in enumerate(repeated(table, rounds))]
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+    out = map_lists(costs.select(frame, F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b), F.col("cost").cast("double").alias("cost")), frame, [a, b, "cost"], run, f"{frame} long, {a} long, {b} long, cost double, round long")
+    return out if rounds > 1 else out.drop("round")
+
+
+def matched_targets(matches: DataFrame, targets: DataFrame, image: str = "image_id", target: str = "target") -> DataFrame:
+    """Each match with its target's columns: a gather by (image, target)."""
+    return matches.join(targets, [image, target])
+
+
+def denoising_queries(targets: DataFrame, number: int = 100, frame: str = "frame_id", order: str = "det_id") -> DataFrame:
+    """Targets repeated in groups: grp, the target's place in its frame and its query place.
+
+    A frame of n targets gets max(number // n, 1) groups, and place p of group g is query g n + p.
+    """
+    w = Window.partitionBy(frame)
+    placed = targets.withColumns({"place": F.row_number().over(w.orderBy(order)) - 1, "n": F.count("*").over(w)})
+    groups = F.greatest(F.floor(F.lit(number) / F.col("n")).cast("int"), F.lit(1))
+    out = placed.withColumn("grp", F.explode(F.sequence(F.lit(0), groups - 1)))
+    return out.withColumn("query", (F.col("grp") * F.col("n") + F.col("place")).cast("long")).drop("n")
+
+
+def noised(queries: DataFrame, classes: int, seed: int, key: list[str], label_ratio: float = 0.5, box_scale: float = 1.0, negative: Column | None = None) -> DataFrame:
+    """Denoising queries with noise in ``label`` and the normalised box (cx, cy, w, h).
+
+    A label is drawn anew with probability ``label_ratio`` / 2. Every corner moves by a
+    random sign times U x half the side x ``box_scale``, U in [0, 1), or in [1, 2) for
+    ``negative`` rows, and is clipped to [0, 1]. Draws are hashes of the key and ``seed``,
+    so a task that runs again draws the same.
+    """
+    draw = lambda k: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), *key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    label = F.when(draw(0) < label_ratio * 0.5, F.floor(draw(1) * classes).cast("int")).otherwise(F.col("label"))
+    far = F.lit(0.0) if negative is None else F.when(negative, 1.0).otherwise(0.0)
+    corners = G.centre_to_corners(G.box("", ("cx", "cy", "w", "h")))
+
+    def moved(k: int, corner: Column, side: str) -> Column:
+        sign = F.when(draw(2 + k) < 0.5, -1.0).otherwise(1.0)
+        return F.least(F.greatest(corner + sign * (far + draw(6 + k)) * F.col(side) / 2 * box_scale, F.lit(0.0)), F.lit(1.0))
 
-    return map_groups(costs, [frame], [a, b], [a, b, "cost"], run, f"{frame} long, {a} long, {b} long, cost double")
+    box = G.corners_to_centre(tuple(moved(k, c, "w" if k % 2 == 0 else "h") for k, c in enumerate(corners)))
+    return queries.withColumns({"label": label, **{n: F.abs(c) for n, c in zip(("cx", "cy", "w", "h"), box, strict=True)}})
 
 
 def vote(matches: DataFrame, group: list[str], query: str, target: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 WINDOW = 20
 
 
@@ -22,43 +26,96 @@ def run_totals(frames: DataFrame, seconds: list[str]) -> DataFrame:
     return totals.select("*", *[(F.col("frames") / F.nullif(F.col(c), F.lit(0.0))).alias(f"{c}_rate") for c in seconds])
 
 
+def _placed(series: DataFrame, total: str | None = None) -> DataFrame:
+    return ordered.numbered(series.select("name", "step", "value"), ["name"], [F.col("step")], total=total)
+
+
 def rolling(series: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Last, mean, largest and lower-middle median of the last ``size`` values of each series."""
-    w = Window.partitionBy("name").orderBy("step").rowsBetween(1 - size, 0)
-    ordered = F.array_sort(F.collect_list("value").over(w))
-    middle = F.element_at(ordered, F.ceil(F.size(ordered) / F.lit(2.0)).cast("int"))
-    return series.select("name", "step", "value", middle.alias("median"), F.avg("value").over(w).alias("average"), F.max("value").over(w).alias("largest"))
+    """Last, mean, largest and lower-middle median of the last ``size`` values of each series.
+
+    Means of decimal values are exact sums divided once.
+    """
+
+    def median(w) -> Column:
+        values = F.array_sort(F.collect_list("value").over(w))
+        return F.element_at(values, F.ceil(F.size(values) / F.lit(2.0)).cast("int"))
+
+    mean = lambda w: F.sum("value").over(w).cast("double") / F.count("value").over(w)
+    out = ordered.recent(_placed(series), ["name"], "n", size, {"median": median, "average": mean, "largest": lambda w: F.max("value").over(w)})
+    return out.drop("n")
 
 
 def running(series: DataFrame) -> DataFrame:
     """Running mean of each series, and the time left at that mean."""
-    order = Window.partitionBy("name").orderBy("step")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    left = F.count("*").over(Window.partitionBy("name")) - F.row_number().over(order)
-    mean = F.avg("value").over(so_far)
-    return series.select("name", "step", mean.alias("global_avg"), (mean * left).alias("eta"))
+    out = ordered.running(_placed(series, "all"), ["name"], "n", {"sum": F.col("value"), "count": F.lit(1).cast("long")}, {"sum": "sum", "count": "sum"})
+    mean = F.col("sum").cast("double") / F.col("count")
+    return out.select("name", "step", mean.alias("global_avg"), (mean * (F.col("all") - F.col("n") - 1)).alias("eta"))
 
 
 def weighted_average(value: Column, n: Column) -> Column:
     return F.sum(value * n) / F.nullif(F.sum(n), F.lit(0)).cast("double")
 
 
+def share_mean(shares: Column) -> Column:
+    """Mean of an epoch's shares, 0 without any."""
+    return F.coalesce(F.avg(shares), F.lit(0.0))
+
+
+def gather(value: Column, worker: Column) -> Column:
+    """Every worker's value, in worker order (an array as long as there are workers)."""
+    return F.transform(F.array_sort(F.collect_list(F.struct(worker.alias("worker"), value.alias("value")))), lambda x: x["value"])
+
+
 def best_so_far(series: DataFrame, stage: Column) -> DataFrame:
     """The best value up to each step within its stage, and whether the step made it."""
-    order = Window.partitionBy("name", "stage").orderBy("step")
-    before = F.max("value").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    best = F.max("value").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return series.withColumn("stage", stage).select("name", "stage", "step", best.alias("best"), (before.isNull() | (F.col("value") > before)).alias("improved"))
+    rows = ordered.numbered(series.select("name", stage.alias("stage"), "step", "value"), ["name", "stage"], [F.col("step")])
+    out = ordered.running(rows, ["name", "stage"], "n", {"before": F.col("value")}, {"before": "max"}, before=True)
+    return out.select("name", "stage", "step", F.greatest("before", "value").alias("best"), (F.col("before").isNull() | (F.col("value") > F.col("before"))).alias("improved"))
 
 
-def ema(series: DataFrame, decay: float, warmups: int, start: int = 0) -> DataFrame:
-    """Exponential moving average of each series in step order, from 0, skipping the first ``start`` updates."""
-    values = F.slice(F.array_sort(F.collect_list(F.struct("step", "value"))), start + 1, 2147483647)
-    rate = lambda n: F.lit(decay) * (1 - F.exp(-n / F.lit(float(warmups)))) if warmups else F.lit(decay)
-    first = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("v"))
+def checkpoints(epochs: DataFrame, every: int, stop_epoch: int) -> DataFrame:
+    """(epoch, file): what a run writes after each epoch (0-based, rank 0 only).
 
-    def step(acc: Column, x: Column) -> Column:
-        d = rate(acc["n"] + 1)
-        return F.struct((acc["n"] + 1).alias("n"), (acc["v"] * d + (1 - d) * x["value"]).alias("v"))
+    ``last`` in every epoch before ``stop_epoch``, a numbered file in every ``every``-th
+    of them, and the best file of the stage where ``improved``.
+    """
+    early = F.col("epoch") < stop_epoch
+    files = F.array_compact(
+        F.array(
+            F.when(early, F.lit("last")),
+            F.when(early & ((F.col("epoch") + 1) % every == 0), F.format_string("checkpoint%04d", F.col("epoch").cast("int"))),
+            F.when(F.col("improved"), F.when(early, F.lit("best_stg1")).otherwise(F.lit("best_stg2"))),
+        )
+    )
+    return epochs.select("epoch", F.explode(files).alias("file"))
 
-    return series.groupBy("name").agg(F.aggregate(values, first, step, lambda a: a["v"]).alias("ema"))
+
+def scalars(series: DataFrame, every: int = 10) -> DataFrame:
+    """The points of a training log's curves: every ``every``-th step."""
+    return series.where(F.col("step") % every == 0)
+
+
+def ema(series: DataFrame, decay: float, warmups: int, start: int = 0) -> DataFrame:
+    """Exponential moving average of each series in step order, from 0, skipping the first ``start`` updates.
+
+    The fold v = v d(n) + x (1 - d(n)) with d(n) = decay (1 - exp(-n / warmups)) is a weighted
+    sum: x_n has the weight (1 - d(n)) d(n+1) ... d(N). The logarithm of d(1) ... d(n) comes from a table up
+    to where d(n) equals ``decay`` in double precision, and from there on grows by a constant.
+    """
+    rows = ordered.numbered(series.select("name", "step", "value"), ["name"], [F.col("step")], total="all")
+    rows = rows.where(F.col("n") >= start).select("name", "value", (F.col("n") + 1 - start).alias("n"), (F.col("all") - start).alias("all"))
+    still = 40 * warmups if warmups else 0
+    logs, rates, log = [0.0], [decay], 0.0
+    for n in range(1, still + 1):
+        rates.append(decay * -math.expm1(-n / warmups))
+        log += math.log(rates[-1])
+        logs.append(log)
+    table = series.sparkSession.createDataFrame(list(zip(range(still + 1), logs, rates, strict=True)), "at long, log double, rate double")
+    place = lambda n: F.least(n, F.lit(still))
+    # a row per step of the warm-up: its bound is the parameter
+    own = table.select(F.col("at").alias("own"), F.col("log").alias("own_log"), "rate")
+    end = table.select(F.col("at").alias("end"), F.col("log").alias("end_log"))
+    rows = rows.join(F.broadcast(own), place(F.col("n")) == F.col("own")).join(F.broadcast(end), place(F.col("all")) == F.col("end"))
+    far = lambda n: F.greatest(n - still, F.lit(0)).cast("double") * math.log(decay)
+    later = F.col("end_log") + far(F.col("all")) - F.col("own_log") - far(F.col("n"))
+    return rows.groupBy("name").agg(F.sum(F.col("value") * (1 - F.col("rate")) * F.exp(later)).alias("ema"))

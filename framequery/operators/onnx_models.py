@@ -30,13 +30,10 @@ def detector(path: str, device: str = "cpu", side: int = 640, threshold: float =
     _names(session.get_outputs(), ("labels", "boxes", "scores"))
 
     def run(img: np.ndarray) -> np.ndarray:
-        h, w = img.shape[:2]
         square, ratio, left, top = pixels.letterbox(img, side)
         fed = {"images": pixels.detector_input(square), "orig_target_sizes": np.array([[side, side]], np.int64)}
         labels, boxes, scores = (x[0] for x in session.run(["labels", "boxes", "scores"], fed))
-        keep = scores > np.float32(threshold)
-        boxes = np.clip((boxes[keep] - [left, top, left, top]) / ratio, 0, [w, h, w, h])
-        return np.concatenate([labels[keep, None], scores[keep, None], boxes], axis=1)
+        return boxes_in_image(img, labels, boxes, scores, ratio, left, top, threshold)
 
     return run
 
@@ -48,9 +45,22 @@ def recognizer(path: str, alphabet: str, device: str = "cpu", rec_h: int = 48, r
 
     def run(img: np.ndarray) -> tuple[str, float]:
         probs = session.run(None, {name: pixels.recognizer_input(img, rec_h, rec_w, max_w)[None]})[0][0]
-        idx = probs.argmax(1)
-        emit = (idx != 0) & (idx != np.concatenate([[-1], idx[:-1]]))
-        best = probs.max(1)[emit]
-        return "".join(letters[i] for i in idx[emit]), float(best.mean()) if len(best) else 0.0
+        return greedy_text(probs, letters)
 
     return run
+
+
+def boxes_in_image(img: np.ndarray, labels: np.ndarray, boxes: np.ndarray, scores: np.ndarray, ratio: float, left: int, top: int, threshold: float) -> np.ndarray:
+    """Boxes of the padded square whose score is strictly above the threshold, in image pixels."""
+    h, w = img.shape[:2]
+    keep = scores > np.float32(threshold)
+    corners = np.clip((boxes[keep] - [left, top, left, top]) / ratio, 0, [w, h, w, h])
+    return np.concatenate([labels[keep, None], scores[keep, None], corners], axis=1)
+
+
+def greedy_text(probs: np.ndarray, letters: list[str]) -> tuple[str, float]:
+    """Best classes of the steps, repeats and blanks dropped, and the mean of their scores."""
+    idx = probs.argmax(1)
+    emit = (idx != 0) & (idx != np.concatenate([[-1], idx[:-1]]))
+    best = probs.max(1)[emit]
+    return "".join(letters[i] for i in idx[emit]), float(best.mean()) if len(best) else 0.0

@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from ..functions import pixels
 from ..functions.text import EMPTY_CROP, OCR_ERROR
 
-_DETECTORS: dict[str, str | Callable] = {"onnx": "framequery.operators.onnx_models:detector"}
-_RECOGNIZERS: dict[str, str | Callable] = {"onnx": "framequery.operators.onnx_models:recognizer"}
+_DETECTORS: dict[str, str | Callable] = {"onnx": "framequery.operators.onnx_models:detector", **{n: f"framequery.operators.other_models:{n}_detector" for n in ("openvino", "pytorch", "paddle")}}
+_RECOGNIZERS: dict[str, str | Callable] = {"onnx": "framequery.operators.onnx_models:recognizer", **{n: f"framequery.operators.other_models:{n}_recognizer" for n in ("openvino", "paddle")}}
 _LOADED: dict[tuple, Callable] = {}
 
 
@@ -49,16 +49,23 @@ _BOX = T.StructType([T.StructField("class_id", T.IntegerType())] + [T.StructFiel
 _BOX_ARROW = pa.list_(pa.struct([("class_id", pa.int32())] + [(c, pa.float32()) for c in ("score", "x1", "y1", "x2", "y2")]))
 
 
-def detect(frames: DataFrame, backend: str, **options) -> tuple[DataFrame, DataFrame]:
-    """(detections, errors) of decoded frames; a model gives rows (class, score, corners) per image."""
+_PIXELS = ("height", "width", "nChannels", "mode", "data")
+
+
+def score_frames(frames: DataFrame, backend: str, **options) -> DataFrame:
+    """One row per frame: its columns but the pixels, ``boxes``, or an ``error`` where scoring failed.
+
+    A model gives rows (class, score, corners) per image. Batch or stream.
+    """
     factory = resolve("detector", backend)
+    kept = [c for c in frames.columns if c not in _PIXELS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(factory, options)
         for batch in batches:
             boxes, errors = [], []
             for row in range(batch.num_rows):
-                h, w, c, data = (batch.column(i)[row].as_py() for i in range(1, 5))
+                h, w, c, data = (batch.column(i)[row].as_py() for i in range(4))
                 try:
                     if c != 3:
                         raise ValueError("an image must have three channels")
@@ -68,12 +75,22 @@ def detect(frames: DataFrame, backend: str, **options) -> tuple[DataFrame, DataF
                 except Exception as e:  # one bad frame must not stop a run: it is quarantined
                     boxes.append(None)
                     errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(boxes, _BOX_ARROW), pa.array(errors, pa.string())], names=["origin", "boxes", "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(4 + k) for k in range(len(kept))], pa.array(boxes, _BOX_ARROW), pa.array(errors, pa.string())], names=[*kept, "boxes", "error"])
+
+    schema = T.StructType([*[frames.schema[c] for c in kept], T.StructField("boxes", T.ArrayType(_BOX)), T.StructField("error", T.StringType())])
+    return frames.select("height", "width", "nChannels", "data", *kept).mapInArrow(run, schema)
 
-    schema = T.StructType([T.StructField("origin", T.StringType()), T.StructField("boxes", T.ArrayType(_BOX)), T.StructField("error", T.StringType())])
-    scored = frames.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, schema)
-    rows = scored.where("error IS NULL").select("origin", F.posexplode("boxes").alias("det_id", "box")).select("origin", "det_id", "box.*")
-    return rows, scored.where("error IS NOT NULL").select("origin", "error")
+
+def detections(scored: DataFrame) -> DataFrame:
+    """A row per box of the frames that were scored, with the frame's other columns (stamps)."""
+    kept = [c for c in scored.columns if c not in ("boxes", "error")]
+    return scored.where("error IS NULL").select(*kept, F.posexplode("boxes").alias("det_id", "box")).select(*kept, "det_id", "box.*")
+
+
+def detect(frames: DataFrame, backend: str, **options) -> tuple[DataFrame, DataFrame]:
+    """(detections, errors) of decoded frames. Whoever uses both should persist ``score_frames`` instead."""
+    scored = score_frames(frames, backend, **options)
+    return detections(scored), scored.where("error IS NOT NULL").select("origin", "error")
 
 
 def recognize(crops: DataFrame, backend: str, strict: bool = False, threshold: float = 0.6, **options) -> DataFrame:

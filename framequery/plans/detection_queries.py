@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -129,7 +129,7 @@ def empty_frames_kept(spark, sf_dir):
     return sent.select("frame_id", F.size("detections").cast("long").alias("n_sent"), F.array_join(show, " ").alias("sent"))
 
 
-@query("SELECT frame_id, number, session, 'frame_' || lpad(CAST(number AS VARCHAR), 6, '0') || '.png' AS file FROM (SELECT o_orderkey AS frame_id, o_custkey % 50 AS session, CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS INT) AS number FROM orders) WHERE number % 30 = 0")
+@query("SELECT frame_id, number, session, 'frame_' || lpad(CAST(number AS VARCHAR), 6, '0') || '.png' AS file FROM (SELECT o_orderkey AS frame_id, o_custkey % 50 AS session, CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) AS INT) AS number FROM orders) WHERE number % 30 = 0")
 def nth_frame(spark, sf_dir):
     rows = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), F.pmod("o_custkey", F.lit(50)).alias("session"))
     return frames.every_nth(rows, 30, partition=F.col("session")).select("frame_id", "session", "number", "file")
@@ -219,12 +219,19 @@ def distance_codec(spark, sf_dir):
     )
 
 
-@query(f"{_D} SELECT frame_id, det_id FROM det WHERE least(200.5 - x1, 150.5 - y1, x2 - 200.5, y2 - 150.5) > 1e-9")
+@query(
+    f"""{_D}, pt AS (SELECT o_orderkey AS frame_id, o_custkey * 7 % 640 + 0.5::DOUBLE AS px, o_custkey * 13 % 480 + 0.5::DOUBLE AS py FROM orders)
+  SELECT det.frame_id, det_id FROM pt JOIN det ON pt.frame_id = det.frame_id WHERE least(px - x1, py - y1, x2 - px, y2 - py) > 1e-9"""
+)
 def point_in_box(spark, sf_dir):
-    return X.detections(spark, sf_dir).where(G.inside(F.lit(200.5), F.lit(150.5), G.box())).select("frame_id", "det_id")
+    at = lambda k, most: F.pmod(F.col("o_custkey") * k, F.lit(most)) + F.lit(0.5)
+    points = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"), at(7, 640).alias("px"), at(13, 480).alias("py"))
+    return G.points_in_boxes(points, X.detections(spark, sf_dir)).select("frame_id", "det_id")
 
 
-_KNOTS = "[" + ", ".join(repr(v) for v in G.knots(32, 0.5, 4.0)) + "]::DOUBLE[]"
+# the knots by rule: +-2 b at the ends, b = 0.5 * 4, and between them (b + 1) ^ (2 i / 30) - 1 on both sides of 0
+_KNOTS = """(SELECT list_concat(list_concat(list_concat([-4.0::DOUBLE], list_transform(range(15, 0, -1), lambda i: 1 - pow(3.0::DOUBLE, 2.0 * i / 30))), [0.0::DOUBLE]),
+  list_concat(list_transform(range(1, 16), lambda i: pow(3.0::DOUBLE, 2.0 * i / 30) - 1), [4.0::DOUBLE])))"""
 
 
 @query(
@@ -246,19 +253,15 @@ def knot_binning(spark, sf_dir):
   SELECT lvl, gx, gy, side > 0.01 AND side < 0.99 AND cx > 0.01 AND cx < 0.99 AND cy > 0.01 AND cy < 0.99 AS valid, round(ln(cx / (1 - cx)), 6) AS logit_x, round(ln(side / (1 - side)), 6) AS logit_side FROM g"""
 )
 def anchor_grid(spark, sf_dir):
-    levels = spark.createDataFrame([(0, 80), (1, 40), (2, 20)], "lvl int, n int")
-    side = lambda c: F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(c)
-    grid = levels.select("lvl", "n", side("gx")).select("lvl", "n", "gx", side("gy"))
-    grid = grid.select("lvl", "gx", "gy", ((F.col("gx") + 0.5) / F.col("n")).alias("cx"), ((F.col("gy") + 0.5) / F.col("n")).alias("cy"), (F.lit(0.05) * F.pow(F.lit(2.0), "lvl")).alias("side"))
+    levels = spark.createDataFrame([(0, 80, 80), (1, 40, 40), (2, 20, 20)], "lvl int, nx int, ny int")
     logit = lambda c: F.ln(F.col(c) / (1 - F.col(c)))
-    within = F.forall(F.array("cx", "cy", "side"), lambda v: (v > 0.01) & (v < 0.99))
-    return grid.select("lvl", "gx", "gy", within.alias("valid"), r6(logit("cx"), "logit_x"), r6(logit("side"), "logit_side"))
+    return G.anchor_grid(levels).select("lvl", "gx", "gy", "valid", r6(logit("cx"), "logit_x"), r6(logit("w"), "logit_side"))
 
 
 @query("SELECT l_orderkey AS mask_id, CAST(min(l_partkey % 640) AS INT) AS x1, CAST(min(l_suppkey % 480) AS INT) AS y1, CAST(max(l_partkey % 640) AS INT) AS x2, CAST(max(l_suppkey % 480) AS INT) AS y2 FROM lineitem GROUP BY l_orderkey")
 def mask_boxes(spark, sf_dir):
     x, y = F.pmod("l_partkey", F.lit(640)).cast("int"), F.pmod("l_suppkey", F.lit(480)).cast("int")
-    return X.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("mask_id")).agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
+    return G.mask_boxes(X.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("mask_id"), x.alias("x"), y.alias("y")))
 
 
 @query(
@@ -270,16 +273,17 @@ def label_remap(spark, sf_dir):
     return X.detections(spark, sf_dir).join(F.broadcast(table), "class_id").select("frame_id", "det_id", "category")
 
 
-@query(f"{_D} SELECT frame_id, det_id, 'head' AS part FROM det WHERE det_id = 1 UNION ALL SELECT frame_id, det_id, 'tail' AS part FROM det WHERE det_id > 5")
+@query(f"{_D} SELECT frame_id, det_id, 'fine' AS part FROM det WHERE class_id = 0 UNION ALL SELECT frame_id, det_id, 'middle' FROM det WHERE class_id = 1 UNION ALL SELECT frame_id, det_id, 'coarse' FROM det WHERE class_id = 2")
 def concat_levels(spark, sf_dir):
-    det = X.detections(spark, sf_dir).select("frame_id", "det_id")
-    return det.where("det_id = 1").withColumn("part", F.lit("head")).unionByName(det.where("det_id > 5").withColumn("part", F.lit("tail")))
+    det = X.detections(spark, sf_dir)
+    level = lambda k, name: det.where(F.col("class_id") == k).select("frame_id", "det_id", F.lit(name).alias("part"))
+    return level(0, "fine").unionByName(level(1, "middle")).unionByName(level(2, "coarse"))
 
 
 def _normalised(spark, sf_dir, odd: bool):
     det = X.detections(spark, sf_dir).where(F.pmod("det_id", F.lit(2)) == int(odd))
     box = [c.alias(n) for c, n in zip(G.scale(G.corners_to_centre(G.box()), F.lit(1.0) / _W, F.lit(1.0) / _H), ("cx", "cy", "w", "h"), strict=True)]
-    return det.select("frame_id", F.col("det_id").cast("long").alias("det_id"), "score", *box)
+    return det.select("frame_id", "det_id", "score", *box)
 
 
 def costs(spark, sf_dir):
@@ -289,36 +293,99 @@ def costs(spark, sf_dir):
     return p.select("frame_id", "a_det_id", "b_det_id", match.cost(probability, G.box("a_", names), G.box("b_", names)).alias("cost"))
 
 
-@query(
-    f"""{_D}, n AS (SELECT *, (x1 + x2) / 2 / {_W} AS cx, (y1 + y2) / 2 / {_H} AS cy, (x2 - x1) / {_W} AS w, (y2 - y1) / {_H} AS h FROM det),
-  q AS (SELECT a.frame_id, CAST(a.det_id AS BIGINT) AS a_det_id, CAST(b.det_id AS BIGINT) AS b_det_id, 0.05 + 0.9 * a.score AS p,
+_COSTS = f"""n AS (SELECT *, (x1 + x2) / 2 / {_W} AS cx, (y1 + y2) / 2 / {_H} AS cy, (x2 - x1) / {_W} AS w, (y2 - y1) / {_H} AS h FROM det),
+  q AS (SELECT a.frame_id, a.det_id AS a_det_id, b.det_id AS b_det_id, 0.05 + 0.9 * a.score AS p,
     abs(a.cx - b.cx) + abs(a.cy - b.cy) + abs(a.w - b.w) + abs(a.h - b.h) AS l1,
     greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1), 0) * greatest(least(a.y2, b.y2) - greatest(a.y1, b.y1), 0) AS inter,
     (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS areas,
     (greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)) AS hull
-    FROM n a JOIN n b ON a.frame_id = b.frame_id AND a.det_id % 2 = 0 AND b.det_id % 2 = 1)
-  SELECT frame_id, a_det_id, b_det_id, round(5 * l1 + 2 * (0.25 * (1 - p) * (1 - p) * -ln(p + 1e-8) - 0.75 * p * p * -ln(1 - p + 1e-8))
-    - 2 * (inter / nullif(areas - inter, 0) - (hull - (areas - inter)) / nullif(hull, 0)), 5) AS cost FROM q"""
-)
+    FROM n a JOIN n b ON a.frame_id = b.frame_id AND a.det_id % 2 = 0 AND b.det_id % 2 = 1),
+  c AS (SELECT frame_id, a_det_id, b_det_id, 5 * l1 + 2 * (0.25 * (1 - p) * (1 - p) * -ln(p + 1e-8) - 0.75 * p * p * -ln(1 - p + 1e-8))
+    - 2 * (inter / nullif(areas - inter, 0) - (hull - (areas - inter)) / nullif(hull, 0)) AS cost FROM q)"""
+
+
+@query(f"{_D}, {_COSTS} SELECT frame_id, a_det_id, b_det_id, round(cost, 5) AS cost FROM c")
 def match_cost(spark, sf_dir):
     return costs(spark, sf_dir).withColumn("cost", F.round("cost", 5))
 
 
-@query()
+# all ways to assign the shorter side, by the columns taken so far: the cheapest per set of columns goes on
+@query(
+    f"""WITH RECURSIVE {X.DETECTIONS_SQL}, {_COSTS},
+  r AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY a_det_id) - 1 AS i, dense_rank() OVER (PARTITION BY frame_id ORDER BY b_det_id) - 1 AS j FROM c),
+  z AS (SELECT frame_id, max(i) <= max(j) AS rows_first, least(max(i), max(j)) + 1 AS k FROM r GROUP BY frame_id),
+  e AS (SELECT r.frame_id, CASE WHEN rows_first THEN i ELSE j END AS own, CASE WHEN rows_first THEN j ELSE i END AS taken, a_det_id, b_det_id, cost FROM r JOIN z ON r.frame_id = z.frame_id),
+  s AS (SELECT frame_id, 0::BIGINT AS i, 0::BIGINT AS mask, 0.0::DOUBLE AS total, []::STRUCT(a BIGINT, b BIGINT, cost DOUBLE)[] AS path FROM z
+    UNION ALL
+    SELECT s.frame_id, s.i + 1, s.mask | (1::BIGINT << e.taken), min(s.total + e.cost), arg_min(list_append(s.path, {{'a': e.a_det_id, 'b': e.b_det_id, 'cost': e.cost}}), s.total + e.cost)
+    FROM s JOIN e ON s.frame_id = e.frame_id AND e.own = s.i WHERE s.mask & (1::BIGINT << e.taken) = 0 GROUP BY s.frame_id, s.i + 1, s.mask | (1::BIGINT << e.taken)),
+  best AS (SELECT s.frame_id, arg_min(path, total) AS path FROM s JOIN z ON s.frame_id = z.frame_id AND s.i = z.k GROUP BY s.frame_id)
+  SELECT frame_id, p.a AS a_det_id, p.b AS b_det_id, round(p.cost, 5) AS cost FROM (SELECT frame_id, unnest(path) AS p FROM best)"""
+)
 def hungarian_match(spark, sf_dir):
     return match.hungarian(costs(spark, sf_dir)).withColumn("cost", F.round("cost", 5))
 
 
 @query()
+def repeated_match(spark, sf_dir):
+    return match.hungarian(costs(spark, sf_dir), rounds=3).withColumn("cost", F.round("cost", 5))
+
+
+_OVER = "greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
+
+
+@query(
+    f"""WITH RECURSIVE {X.DETECTIONS_SQL},
+  o AS (SELECT *, (x2 - x1) * (y2 - y1) AS area, row_number() OVER (PARTITION BY frame_id, class_id ORDER BY score DESC, det_id) AS i,
+    count(*) OVER (PARTITION BY frame_id, class_id) AS n FROM det WHERE score > 0.1),
+  s AS (SELECT frame_id, class_id, n, 1::BIGINT AS i, [{{'det_id': det_id, 'score': score, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'area': area}}] AS kept FROM o WHERE i = 1
+    UNION ALL
+    SELECT s.frame_id, s.class_id, s.n, s.i + 1, CASE WHEN len(list_filter(s.kept, lambda k: {_OVER.format(a="k", b="o")} > 0.7 * (k.area + o.area - {_OVER.format(a="k", b="o")}))) = 0
+      THEN list_append(s.kept, {{'det_id': o.det_id, 'score': o.score, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'area': o.area}}) ELSE s.kept END
+    FROM s JOIN o ON s.frame_id = o.frame_id AND s.class_id = o.class_id AND o.i = s.i + 1),
+  k AS (SELECT frame_id, CAST(class_id AS BIGINT) AS class_id, unnest(kept) AS k FROM s WHERE i = n),
+  t AS (SELECT frame_id, k.det_id AS det_id, class_id, k.score AS score, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY k.score DESC, k.det_id) AS INT) AS rank FROM k)
+  SELECT * FROM t WHERE rank <= 100"""
+)
 def nms_greedy(spark, sf_dir):
     return detect.suppress(X.detections(spark, sf_dir), 0.7).select("frame_id", "det_id", "class_id", "score", "rank")
 
 
-@query()
-def average_precision(spark, sf_dir):
+def _scored_and_truths(spark, sf_dir):
+    """Fixture: the detections as truths, and two thirds of them, widened, as what a detector found."""
     det = X.detections(spark, sf_dir)
-    wide = det.withColumns({"x1": F.col("x1") - 15, "x2": F.col("x2") + 15}).where(F.pmod("det_id", F.lit(3)) > 0)
-    return detect.average_precision(wide.withColumn("det_id", F.col("det_id").cast("long")), det.withColumn("det_id", F.col("det_id").cast("long")))
+    return det.withColumns({"x1": F.col("x1") - 15, "x2": F.col("x2") + 15}).where(F.pmod("det_id", F.lit(3)) > 0), det
+
+
+def _precision_sql(threshold: str, area: str = "true") -> str:
+    """Greedy matching by recursion over a frame and class's detections, then the 101 points."""
+    return f"""{X.DETECTIONS_SQL},
+  tr AS (SELECT *, (x2 - x1) * (y2 - y1) AS area FROM det), pr AS (SELECT frame_id, det_id, class_id, score, x1 - 15 AS x1, y1, x2 + 15 AS x2, y2, (x2 + 15 - (x1 - 15)) * (y2 - y1) AS area FROM det WHERE det_id % 3 > 0),
+  o AS (SELECT p.frame_id, p.class_id, p.det_id, p.score, p.area, list({{'id': t.det_id, 'q': coalesce({_OVER.format(a="p", b="t")} / nullif(p.area + t.area - {_OVER.format(a="p", b="t")}, 0), 0), 'spare': NOT ({area.format("t.area")})}}
+      ORDER BY NOT ({area.format("t.area")}), coalesce({_OVER.format(a="p", b="t")} / nullif(p.area + t.area - {_OVER.format(a="p", b="t")}, 0), 0) DESC, t.det_id) AS options
+    FROM pr p JOIN tr t ON p.frame_id = t.frame_id AND p.class_id = t.class_id GROUP BY ALL),
+  i AS (SELECT *, row_number() OVER (PARTITION BY frame_id, class_id ORDER BY score DESC, det_id) AS i FROM o),
+  s AS (SELECT frame_id, class_id, 0::BIGINT AS i, []::BIGINT[] AS used, NULL::DOUBLE AS score, NULL::BIGINT AS det_id, false AS hit, false AS ignored FROM i WHERE i = 1
+    UNION ALL
+    SELECT frame_id, class_id, n, CASE WHEN c IS NULL THEN used ELSE list_append(used, c.id) END, score, det_id, c IS NOT NULL AND NOT c.spare, CASE WHEN c IS NULL THEN outside ELSE c.spare END FROM (
+      SELECT s.frame_id, s.class_id, i.i AS n, s.used, i.score, i.det_id, NOT ({area.format("i.area")}) AS outside, list_filter(i.options, lambda x: x.q >= {threshold} AND NOT list_contains(s.used, x.id))[1] AS c
+      FROM s JOIN i ON s.frame_id = i.frame_id AND s.class_id = i.class_id AND i.i = s.i + 1)),
+  m AS (SELECT *, sum(CAST(hit AS INT)) OVER w AS tp, row_number() OVER w AS n FROM s WHERE i > 0 AND NOT ignored WINDOW w AS (PARTITION BY class_id ORDER BY score DESC, frame_id, det_id)),
+  pos AS (SELECT class_id, count(*) AS positives FROM tr WHERE {area.format("area")} GROUP BY class_id),
+  u AS (SELECT pos.class_id, CAST(floor(tp / positives::DOUBLE * 100 + 1e-9) AS INT) AS reach, max(tp / n::DOUBLE) AS p FROM m JOIN pos ON m.class_id = pos.class_id GROUP BY ALL),
+  pts AS (SELECT u.class_id, r.range AS point, max(p) AS best FROM u, range(101) r WHERE r.range <= u.reach GROUP BY ALL),
+  ap AS (SELECT class_id, sum(best) / 101 AS ap FROM pts GROUP BY class_id)"""
+
+
+@query(f"WITH RECURSIVE {_precision_sql('0.5')} SELECT CAST(pos.class_id AS BIGINT) AS class_id, round(coalesce(ap, 0), 6) AS ap, positives FROM pos LEFT JOIN ap ON pos.class_id = ap.class_id")
+def average_precision(spark, sf_dir):
+    return detect.average_precision(*_scored_and_truths(spark, sf_dir)).withColumn("ap", F.round("ap", 6))
+
+
+@query(f"WITH RECURSIVE {_precision_sql('0.75', '{} BETWEEN 1024 AND 9216')} SELECT CAST(pos.class_id AS BIGINT) AS class_id, round(coalesce(ap, 0), 6) AS ap, positives, 0.75::DOUBLE AS threshold FROM pos LEFT JOIN ap ON pos.class_id = ap.class_id")
+def average_precision_medium(spark, sf_dir):
+    found = detect.average_precision(*_scored_and_truths(spark, sf_dir), threshold=(0.5, 0.75), area="medium")
+    return found.where("threshold = 0.75").withColumn("ap", F.round("ap", 6))
 
 
 @query("SELECT user_id, event_type, votes FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY votes DESC, event_type) AS r FROM (SELECT user_id, event_type, count(*) AS votes FROM events GROUP BY ALL)) WHERE r = 1")
@@ -338,16 +405,41 @@ def num_boxes(spark, sf_dir):
     return X.table(spark, sf_dir, "lineitem").agg(F.greatest(F.count("*") / F.lit(8.0), F.lit(1.0)).alias("num_boxes"))
 
 
+_GROUPS = """d AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY det_id) - 1 AS place, count(*) OVER (PARTITION BY frame_id) AS n FROM det),
+  g AS (SELECT d.*, CAST(r.range AS INT) AS grp, CAST(r.range * n + place AS BIGINT) AS query FROM d, range(101) r WHERE r.range < greatest(CAST(floor(100 / n) AS INT), 1))"""
+
+
+@query(f"{_D}, {_GROUPS} SELECT frame_id, det_id, grp, query FROM g")
+def denoising_index(spark, sf_dir):
+    return match.denoising_queries(X.detections(spark, sf_dir)).select("frame_id", "det_id", "grp", "query")
+
+
+_DRAW = "CAST(CAST('0x' || substr(md5('5:{k}:' || CAST(frame_id AS VARCHAR) || ':' || CAST(query AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+_MOVED = "least(greatest({corner} + CASE WHEN {sign} < 0.5 THEN -1.0 ELSE 1.0 END * ({far} + {u}) * {side} / 2, 0.0), 1.0)"
+
+
+def _moved(k: int, corner: str, side: str) -> str:
+    return _MOVED.format(corner=corner, side=side, sign=_DRAW.format(k=2 + k), u=_DRAW.format(k=6 + k), far="CASE WHEN grp % 2 = 1 THEN 1.0 ELSE 0.0 END")
+
+
 @query(
-    f"""{_D}, c AS (SELECT frame_id, count(*) AS n FROM det GROUP BY frame_id), g AS (SELECT frame_id, n, greatest(CAST(floor(100 / n) AS INT), 1) AS groups FROM c WHERE frame_id % 20 = 0)
-  SELECT g.frame_id, CAST(d.det_id AS INT) AS det_id, CAST(r.range AS INT) AS grp, CAST(r.range * n + d.det_id - 1 AS BIGINT) AS query FROM g JOIN det d ON g.frame_id = d.frame_id, range(101) r WHERE r.range < groups"""
+    f"""{_D}, {_GROUPS.replace("range(101)", "range(9)").replace("100 / n", "8 / n")}, n AS (SELECT *, (x1 + x2) / 2 / {_W} AS cx, (y1 + y2) / 2 / {_H} AS cy, (x2 - x1) / {_W} AS w, (y2 - y1) / {_H} AS h FROM g),
+  m AS (SELECT frame_id, query, CASE WHEN {_DRAW.format(k=0)} < 0.25 THEN CAST(floor({_DRAW.format(k=1)} * 80) AS INT) ELSE class_id END AS label,
+    {_moved(0, "cx - greatest(w, 0) / 2", "w")} AS a, {_moved(1, "cy - greatest(h, 0) / 2", "h")} AS b, {_moved(2, "cx + greatest(w, 0) / 2", "w")} AS c, {_moved(3, "cy + greatest(h, 0) / 2", "h")} AS d FROM n)
+  SELECT frame_id, query, label, round(abs((a + c) / 2), 6) AS cx, round(abs((b + d) / 2), 6) AS cy, round(abs(c - a), 6) AS w, round(abs(d - b), 6) AS h FROM m"""
 )
-def denoising_index(spark, sf_dir):
-    det = X.detections(spark, sf_dir)
-    n = F.count("*").over(Window.partitionBy("frame_id"))
-    groups = F.greatest(F.floor(F.lit(100) / F.col("n")).cast("int"), F.lit(1))
-    out = det.withColumn("n", n).select("frame_id", "det_id", "n", F.explode(F.sequence(F.lit(0), groups - 1)).alias("grp"))
-    return out.select("frame_id", "det_id", "grp", (F.col("grp") * F.col("n") + F.col("det_id") - 1).alias("query"))
+def denoising_noise(spark, sf_dir):
+    box = {n: c for n, c in zip(("cx", "cy", "w", "h"), G.scale(G.corners_to_centre(G.box()), F.lit(1.0) / _W, F.lit(1.0) / _H), strict=True)}
+    det = X.detections(spark, sf_dir).select("frame_id", "det_id", F.col("class_id").alias("label"), *[c.alias(n) for n, c in box.items()])
+    noisy = match.noised(match.denoising_queries(det, 8), 80, 5, ["frame_id", "query"], negative=F.col("grp") % 2 == 1)
+    return noisy.select("frame_id", "query", "label", *[r6(F.col(c), c) for c in ("cx", "cy", "w", "h")])
+
+
+@query(f"{_D}, {_COSTS}, m AS (SELECT frame_id, a_det_id AS query, arg_min(b_det_id, cost) AS target FROM c GROUP BY ALL) SELECT m.frame_id, m.query, det.class_id, det.x1 FROM m JOIN det ON m.frame_id = det.frame_id AND m.target = det.det_id")
+def gathered_targets(spark, sf_dir):
+    nearest = costs(spark, sf_dir).groupBy("frame_id", F.col("a_det_id").alias("query")).agg(F.min_by("b_det_id", "cost").alias("target"))
+    targets = X.detections(spark, sf_dir).select("frame_id", F.col("det_id").alias("target"), "class_id", "x1")
+    return match.matched_targets(nearest, targets, "frame_id").select("frame_id", "query", "class_id", "x1")
 
 
 @query("WITH q AS (SELECT CAST(range AS INT) AS i FROM range(60)) SELECT a.i AS query, b.i AS key, b.i < 40 AND NOT (a.i < 40 AND a.i // 8 = b.i // 8) AS masked FROM q a, q b")

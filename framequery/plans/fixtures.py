@@ -6,20 +6,26 @@ queries and their reference SQL start from equal rows.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import images as images_of
+from .runtime import delete_on_exit, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Regions found in frames of 640 x 480 (one frame per order).
+#: Regions found in frames of 640 x 480 (one frame per order). The id is made of the row itself, so no
+#: row is numbered by a window and filters reach the scan.
 DETECTIONS_SQL = """det AS (
  SELECT frame_id, det_id, class_id, score, x1, y1, x1 + w AS x2, y1 + h AS y2 FROM (
   SELECT l_orderkey AS frame_id,
-   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
-        l_quantity, l_extendedprice, l_shipdate) AS INT) AS det_id,
+   l_linenumber + 8 * ((l_partkey * 7919 + l_suppkey * 104729 + CAST(l_quantity AS BIGINT) * 1299709) % 1099511627689) AS det_id,
    CAST(l_linenumber % 3 AS INT) AS class_id,
    CAST((l_partkey*37 + l_suppkey*11 + l_linenumber*7) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS score,
    CAST((l_partkey*13 + l_linenumber*101) % 680 AS DOUBLE) - CAST(20 AS DOUBLE) + l_tax AS x1,
@@ -59,9 +65,43 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("crop_id"), F.col("vec_id").alias("t"), F.col("embedding").alias("probs"))
 
 
-METRICS_SQL = "metrics AS (SELECT event_type AS name, event_id AS step, value, user_id FROM events)"
+METRICS_SQL = "metrics AS (SELECT event_type AS name, event_id AS step, value, CAST(value AS DECIMAL(18, 2)) AS exact, user_id FROM events)"
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, step, value, user_id: a metric series per event type."""
-    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), "value", "user_id")
+    """name, step, value, user_id: a metric series per event type. ``exact``: the values, which have two places, as decimals."""
+    exact = F.col("value").cast("decimal(18,2)").alias("exact")
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("step"), "value", exact, "user_id")
+
+
+def exact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics(spark, sf_dir).withColumn("value", F.col("exact"))
+
+
+#: Small images, one per nation: a grey box on a dark ground.
+PICTURES_SQL = """pic AS (SELECT n_nationkey AS k, 'img' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS stem,
+  CASE WHEN n_nationkey % 2 = 0 THEN '.png' ELSE '.PNG' END AS suffix,
+  60 + n_nationkey AS width, 40 + n_nationkey % 7 AS height, 2 + n_nationkey % 5 AS x1, 24 + n_nationkey % 4 AS y1,
+  2 + n_nationkey % 5 + 6 + n_nationkey % 6 AS x2, 24 + n_nationkey % 4 + 5 + n_nationkey % 3 AS y2 FROM nation)"""
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file by Spark's file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(place, True)
+    out.write(bytearray(content))
+    out.close()
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the nations' pictures, with one file that is broken and one that is no image."""
+    folder = f"{shared_dir(spark).rstrip('/')}/pictures-{uuid.uuid4().hex}"
+    delete_on_exit(spark, folder)
+    for (k,) in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
+        img = np.full((40 + k % 7, 60 + k, 3), 10, np.uint8)
+        x, y = 2 + k % 5, 24 + k % 4
+        img[y : y + 5 + k % 3, x : x + 6 + k % 6] = 100
+        put(spark, f"{folder}/img{k:02d}{'.PNG' if k % 2 else '.png'}", images_of.encode_png(img))
+    put(spark, f"{folder}/broken.png", b"nothing")
+    put(spark, f"{folder}/notes.txt", b"no image")
+    return folder

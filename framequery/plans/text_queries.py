@@ -108,7 +108,7 @@ def distill_cosine(spark, sf_dir):
     return e.join(other, "vec_id").select("vec_id", r6(M.cosine(F.col("embedding"), F.col("teacher")), "cosine"))
 
 
-_QUERIES = "q AS (SELECT label AS image_id, vec_id AS query_id, embedding[1:8] AS logits FROM embeddings)"
+_QUERIES = "q AS (SELECT label AS image_id, vec_id AS query_id, embedding AS logits FROM embeddings)"
 
 
 def _queries(spark, sf_dir):
@@ -116,7 +116,7 @@ def _queries(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_QUERIES}, f AS (SELECT image_id, query_id, CAST(i.range AS INT) AS label, logits[i.range + 1] AS logit FROM q, range(8) i),
+    f"""WITH {_QUERIES}, f AS (SELECT image_id, query_id, CAST(i.range AS INT) AS label, logits[i.range + 1] AS logit FROM q, range(64) i),
   s AS (SELECT image_id, query_id, label, 1 / (1 + exp(-CAST(logit AS DOUBLE))) AS score FROM f),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, query_id, label) AS INT) AS rank FROM s)
   SELECT image_id, query_id, label, rank, round(score, 6) AS score FROM r WHERE rank <= 30"""
@@ -129,7 +129,7 @@ def flat_topk(spark, sf_dir):
 
 @query(
     f"""WITH {_QUERIES}, e AS (SELECT image_id, query_id, list_transform(logits, lambda v: exp(CAST(v AS DOUBLE))) AS e FROM q),
-  s AS (SELECT image_id, query_id, CAST(list_position(e[1:7], list_max(e[1:7])) AS INT) - 1 AS label, round(list_max(e[1:7]) / list_sum(e), 9) AS score FROM e),
+  s AS (SELECT image_id, query_id, CAST(list_position(e[1:63], list_max(e[1:63])) AS INT) - 1 AS label, list_max(e[1:63]) / list_sum(e) AS score FROM e),
   r AS (SELECT *, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, query_id) AS INT) AS rank FROM s)
   SELECT image_id, query_id, label, rank FROM r WHERE rank <= 10"""
 )
@@ -144,7 +144,7 @@ def best_class_topk(spark, sf_dir):
   CAST(row_number() OVER (PARTITION BY image_id ORDER BY logits[1] DESC, query_id) AS INT) AS by_first FROM q)
   SELECT image_id, query_id, 'default' AS method, by_class AS rank FROM r WHERE by_class <= 10
   UNION ALL SELECT image_id, query_id, 'agnostic', by_first FROM r WHERE by_first <= 10
-  UNION ALL SELECT image_id, query_id, 'one2many', rank FROM (SELECT image_id, query_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY logits[i.range + 1] DESC, query_id, i.range) AS INT) AS rank FROM q, range(8) i) WHERE rank <= 10"""
+  UNION ALL SELECT image_id, query_id, 'one2many', rank FROM (SELECT image_id, query_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY logits[i.range + 1] DESC, query_id, i.range) AS INT) AS rank FROM q, range(64) i) WHERE rank <= 10"""
 )
 def query_select(spark, sf_dir):
     from functools import reduce

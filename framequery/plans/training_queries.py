@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from ..operators import match, metrics
+from ..operators import detect, frames, match, metrics
 from . import fixtures as X
 from .catalog import query
 from .detection_queries import r6
@@ -14,20 +14,31 @@ from .detection_queries import r6
 _M = "WITH " + X.METRICS_SQL
 
 
+def _doubles(df):
+    return df.select(*[F.col(c).cast("double").alias(c) if c in ("value", "median", "largest") else c for c in df.columns])
+
+
+# means of exact decimal sums, divided once, are equal to the last bit: nothing is rounded
 @query(
-    f"""{_M} SELECT name, step, value, quantile_disc(value, 0.5) OVER w AS median, round(avg(value) OVER w + 1e-9, 6) AS average, max(value) OVER w AS largest
+    f"""{_M} SELECT name, step, value, quantile_disc(value, 0.5) OVER w AS median, CAST(sum(exact) OVER w AS DOUBLE) / count(*) OVER w AS average, max(value) OVER w AS largest
   FROM metrics WINDOW w AS (PARTITION BY name ORDER BY step ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""
 )
 def meter_rolling(spark, sf_dir):
-    return metrics.rolling(X.metrics(spark, sf_dir)).withColumn("average", F.round(F.col("average") + 1e-9, 6))
+    return _doubles(metrics.rolling(X.exact_metrics(spark, sf_dir)))
+
+
+@query(f"{_M} SELECT name, step, value, value AS median, CAST(exact AS DOUBLE) AS average, value AS largest FROM metrics")
+def meter_last(spark, sf_dir):
+    return _doubles(metrics.rolling(X.exact_metrics(spark, sf_dir), 1))
 
 
 @query(
-    f"""{_M} SELECT name, step, round(avg(value) OVER w + 1e-8, 5) AS global_avg, round(avg(value) OVER w * (count(*) OVER (PARTITION BY name) - row_number() OVER (PARTITION BY name ORDER BY step)) + 1e-5, 2) AS eta
+    f"""{_M} SELECT name, step, CAST(sum(exact) OVER w AS DOUBLE) / count(*) OVER w AS global_avg,
+    CAST(sum(exact) OVER w AS DOUBLE) / count(*) OVER w * (count(*) OVER (PARTITION BY name) - row_number() OVER (PARTITION BY name ORDER BY step)) AS eta
   FROM metrics WINDOW w AS (PARTITION BY name ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 )
 def meter_running(spark, sf_dir):
-    return metrics.running(X.metrics(spark, sf_dir)).select("name", "step", F.round(F.col("global_avg") + 1e-8, 5).alias("global_avg"), F.round(F.col("eta") + 1e-5, 2).alias("eta"))
+    return metrics.running(X.exact_metrics(spark, sf_dir))
 
 
 @query(f"{_M} SELECT name, round(sum(value * (1 + user_id % 4)) / sum(1 + user_id % 4), 5) AS weighted FROM metrics GROUP BY name")
@@ -36,17 +47,31 @@ def meter_weighted_avg(spark, sf_dir):
     return X.metrics(spark, sf_dir).groupBy("name").agg(F.round(metrics.weighted_average(F.col("value"), n), 5).alias("weighted"))
 
 
-@query(f"{_M}, r AS (SELECT name, user_id % 8 AS worker, sum(value) AS v FROM metrics GROUP BY ALL) SELECT name, round(sum(v) / 8 + 1e-7, 4) AS reduced FROM r GROUP BY name")
+@query(f"{_M}, r AS (SELECT name, user_id % 8 AS worker, sum(exact) AS v FROM metrics GROUP BY ALL) SELECT name, CAST(sum(v) AS DOUBLE) / 8 AS reduced FROM r GROUP BY name")
 def distributed_mean(spark, sf_dir):
-    per = X.metrics(spark, sf_dir).groupBy("name", F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.sum("value").alias("v"))
-    return per.groupBy("name").agg(F.round(F.sum("v") / 8 + 1e-7, 4).alias("reduced"))
+    per = X.exact_metrics(spark, sf_dir).groupBy("name", F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.sum("value").alias("v"))
+    return per.groupBy("name").agg((F.sum("v").cast("double") / 8).alias("reduced"))
+
 
+@query(f"{_M}, r AS (SELECT name, user_id % 8 AS worker, max(exact) AS v FROM metrics GROUP BY ALL) SELECT name, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY worker) AS gathered FROM r GROUP BY name")
+def gathered_values(spark, sf_dir):
+    per = X.exact_metrics(spark, sf_dir).groupBy("name", F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.max("value").alias("v"))
+    texts = F.transform(metrics.gather(F.col("v"), F.col("worker")), lambda v: v.cast("string"))
+    return per.groupBy("name").agg(F.array_join(texts, " ").alias("gathered"))
 
+
+@query(f"{_M} SELECT name, coalesce(round(avg(exact) FILTER (WHERE step % 7 = 0 AND step < 50), 6), 0) AS share FROM metrics GROUP BY name")
+def epoch_share(spark, sf_dir):
+    kept = F.when((F.pmod("step", F.lit(7)) == 0) & (F.col("step") < 50), F.col("value"))
+    return X.metrics(spark, sf_dir).groupBy("name").agg(r6(metrics.share_mean(kept), "share"))
+
+
+# the fold as a weighted sum: x_n counts (1 - d(n)) d(n + 1) ... d(N), the product as a difference of sums of logarithms
 @query(
-    """WITH RECURSIVE s AS (SELECT event_type AS name, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events WHERE event_id % 10 = 0),
-  f AS (SELECT name, 0::BIGINT AS n, 0.0::DOUBLE AS v FROM (SELECT DISTINCT name FROM s)
-    UNION ALL SELECT f.name, s.n, f.v * (0.999 * (1 - exp(-s.n / 100.0::DOUBLE))) + (1 - 0.999 * (1 - exp(-s.n / 100.0::DOUBLE))) * s.value FROM f JOIN s ON f.name = s.name AND s.n = f.n + 1)
-  SELECT name, round(arg_max(v, n), 5) AS ema FROM f GROUP BY name"""
+    f"""{_M}, s AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY step) AS n FROM metrics),
+  d AS (SELECT *, 0.999::DOUBLE * (1 - exp(-n / 100.0::DOUBLE)) AS d FROM s),
+  l AS (SELECT *, sum(ln(d)) OVER (PARTITION BY name ORDER BY n) AS log, sum(ln(d)) OVER (PARTITION BY name) AS all_log FROM d)
+  SELECT name, round(sum(value * (1 - d) * exp(all_log - log)), 5) AS ema FROM l GROUP BY name"""
 )
 def ema_fold(spark, sf_dir):
     return metrics.ema(X.metrics(spark, sf_dir), 0.999, 100).withColumn("ema", F.round("ema", 5))
@@ -86,19 +111,24 @@ def best_epoch(spark, sf_dir):
     return metrics.best_so_far(X.metrics(spark, sf_dir), F.floor(F.col("step") / 2000))
 
 
-@query(
-    "SELECT l_orderkey, round(100 * sum(CASE WHEN l_returnflag = 'R' THEN abs(l_tax) ELSE 0 END) / nullif(sum(abs(l_tax)), 0), 5) AS share FROM lineitem GROUP BY l_orderkey HAVING sum(abs(l_tax)) > 0"
-)
+@query("SELECT l_orderkey, coalesce(round(100 * sum(CASE WHEN l_returnflag = 'R' THEN abs(l_tax) ELSE 0 END) / nullif(sum(abs(l_tax)), 0), 5), 0) AS share FROM lineitem GROUP BY l_orderkey")
 def grad_share(spark, sf_dir):
     size = F.abs("l_tax")
-    part = X.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", size).otherwise(0.0)).alias("own"), F.sum(size).alias("all")).where("all > 0")
-    return part.select("l_orderkey", F.round(100 * F.col("own") / F.col("all"), 5).alias("share"))
+    part = X.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", size).otherwise(0.0)).alias("own"), F.sum(size).alias("all"))
+    return part.select("l_orderkey", F.round(M.gradient_share(F.col("own"), F.col("all")), 5).alias("share"))
 
 
-@query("SELECT event_type, count(*) FILTER (WHERE value > 99) AS n_bad, round(avg(CASE WHEN value > 99 THEN 0 ELSE value END), 5) AS mean_kept FROM events GROUP BY event_type")
+@query(
+    """SELECT event_type, count(*) FILTER (WHERE value > 99 OR value < 2) AS n_bad, count(*) FILTER (WHERE value > 150) AS n_huge,
+  round(avg(CASE WHEN value > 99 OR value < 2 THEN 0 ELSE value END), 5) AS mean_kept FROM events GROUP BY event_type"""
+)
 def nonfinite_guard(spark, sf_dir):
-    v = F.when(F.col("value") > 99, F.lit(float("nan"))).otherwise(F.col("value"))
-    return X.table(spark, sf_dir, "events").withColumn("v", v).groupBy("event_type").agg(F.count(F.when(F.isnan("v"), 1)).alias("n_bad"), F.round(F.avg(F.nanvl("v", F.lit(0.0))), 5).alias("mean_kept"))
+    v = F.col("value")
+    odd = F.when(v > 150, F.lit(float("inf"))).when(v > 99, F.lit(float("nan"))).when(v < 2, F.lit(float("-inf"))).otherwise(v)
+    e = X.table(spark, sf_dir, "events").withColumn("v", odd)
+    kept = F.when(M.is_finite(F.col("v")), F.col("v")).otherwise(0.0)
+    huge = M.finite_number(F.col("v")) >= M.FLOAT_MAX
+    return e.groupBy("event_type").agg(F.count(F.when(~M.is_finite(F.col("v")), 1)).alias("n_bad"), F.count(F.when(huge, 1)).alias("n_huge"), F.round(F.avg(kept), 5).alias("mean_kept"))
 
 
 _LOGITS = """t AS (SELECT frame_id, det_id, class_id = 1 AS hit, CAST(class_id = 1 AS DOUBLE) AS y, score * 4 - 2 AS z, CAST(det_id % 5 AS DOUBLE) / 5 AS quality, 1 / (1 + exp(-(score * 4 - 2))) AS p FROM det)"""
@@ -120,16 +150,14 @@ def label_losses(spark, sf_dir):
 
 @query(
     f"""WITH {X.DETECTIONS_SQL}, p AS (SELECT a.x1 AS ax1, a.y1 AS ay1, a.x2 AS ax2, a.y2 AS ay2, b.x1 AS bx1, b.y1 AS by1, b.x2 AS bx2, b.y2 AS by2
-    FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.det_id + 1 = b.det_id),
+    FROM det a JOIN det b ON a.frame_id = b.frame_id AND a.class_id = b.class_id AND a.det_id < b.det_id),
   q AS (SELECT *, greatest(least(ax2, bx2) - greatest(ax1, bx1), 0) * greatest(least(ay2, by2) - greatest(ay1, by1), 0) AS inter,
     (ax2 - ax1) * (ay2 - ay1) + (bx2 - bx1) * (by2 - by1) AS areas, (greatest(ax2, bx2) - least(ax1, bx1)) * (greatest(ay2, by2) - least(ay1, by1)) AS hull FROM p)
   SELECT round(sum(abs(ax1 - bx1) + abs(ay1 - by1) + abs(ax2 - bx2) + abs(ay2 - by2)) / count(*), 4) AS l1,
     round(sum(1 - (inter / nullif(areas - inter, 0) - (hull - (areas - inter)) / nullif(hull, 0))) / count(*), 5) AS giou FROM q"""
 )
 def box_losses(spark, sf_dir):
-    det = X.detections(spark, sf_dir).drop("class_id", "score")
-    rename = lambda p, shift: det.select("frame_id", (F.col("det_id") - shift).alias("det_id"), *[F.col(c).alias(p + c) for c in ("x1", "y1", "x2", "y2")])
-    p = rename("a_", 0).join(rename("b_", 1), ["frame_id", "det_id"])
+    p = detect.pairs(X.detections(spark, sf_dir)).where("a_class_id = b_class_id")
     a, b = G.box("a_"), G.box("b_")
     l1 = G.total(F.abs(x - y) for x, y in zip(a, b, strict=True))
     return p.agg(F.round(F.sum(l1) / F.count("*"), 4).alias("l1"), F.round(F.sum(1 - G.giou(a, b)) / F.count("*"), 5).alias("giou"))
@@ -201,3 +229,84 @@ def train_log(spark, sf_dir):
     epoch = F.floor(F.col("user_id") / 100).alias("epoch")
     per = X.table(spark, sf_dir, "events").groupBy(epoch).agg(F.count("*").alias("n"), F.floor(F.max("value")).alias("largest"))
     return per.select("epoch", F.to_json(F.struct("epoch", "n", "largest")).alias("line"))
+
+
+_PAIRS = """d AS (SELECT a.vec_id, list_transform(a.embedding, lambda v: CAST(v AS DOUBLE) * 4) AS s, list_transform(b.embedding, lambda v: CAST(v AS DOUBLE) * 4) AS t
+    FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id)"""
+
+
+@query(
+    f"""WITH {_PAIRS}, e AS (SELECT vec_id, list_transform(s, lambda v: v / 5) AS s, list_transform(t, lambda v: v / 5) AS t FROM d),
+  l AS (SELECT vec_id, list_transform(s, lambda v: v - ln(list_sum(list_transform(s, lambda u: exp(u))))) AS s, list_transform(t, lambda v: v - ln(list_sum(list_transform(t, lambda u: exp(u))))) AS t FROM e),
+  k AS (SELECT vec_id, 25 * list_sum(list_transform(list_zip(t, s), lambda z: exp(z[1]) * (z[1] - z[2]))) AS loss, CASE WHEN vec_id % 3 = 0 THEN 0.75 ELSE 0.25 END AS w, vec_id % 3 = 0 AS matched FROM l)
+  SELECT round((avg(w * loss) FILTER (WHERE matched) * sqrt(count(*) FILTER (WHERE matched)) + avg(w * loss) FILTER (WHERE NOT matched) * sqrt(count(*) FILTER (WHERE NOT matched)))
+    / (sqrt(count(*) FILTER (WHERE matched)) + sqrt(count(*) FILTER (WHERE NOT matched))), 6) AS loss FROM k"""
+)
+def decoupled_loss(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 4).alias("student"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("student").alias("teacher"))
+    matched = F.pmod("vec_id", F.lit(3)) == 0
+    rows = e.join(other, "vec_id").select(M.distillation_divergence(F.col("student"), F.col("teacher")).alias("loss"), F.when(matched, 0.75).otherwise(0.25).alias("w"), matched.alias("matched"))
+    return rows.agg(r6(M.decoupled_loss(F.col("loss"), F.col("w"), F.col("matched")), "loss"))
+
+
+@query(f"WITH {_PAIRS} SELECT vec_id, round(list_sum(list_transform(list_zip(s, t), lambda z: CASE WHEN z[1] > 0 OR z[2] > 0 THEN (z[1] - z[2]) * (z[1] - z[2]) ELSE 0 END)), 6) AS loss FROM d")
+def masked_feature_loss(spark, sf_dir):
+    e = X.table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double") * 4).alias("f"))
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("t"))
+    return e.join(other, "vec_id").select("vec_id", r6(M.add_up(F.zip_with("f", "t", M.masked_square)), "loss"))
+
+
+@query("SELECT p_partkey, CAST(ceil(p_size / 8.0::DOUBLE) * 8 AS BIGINT) AS divisible, p_size // 2 AS padding, round(p_retailprice * (p_size + 1) / sqrt(p_partkey + 1 + 0.00001::DOUBLE), 6) AS weight, round(0.5 - 2 * (p_size + 1) / sqrt(p_partkey + 1 + 0.00001::DOUBLE), 6) AS bias FROM part")
+def layer_algebra(spark, sf_dir):
+    size = F.col("p_size")
+    weight, bias = M.folded_norm(F.col("p_retailprice"), size + F.lit(1.0), F.lit(0.5), F.lit(2.0), F.col("p_partkey") + F.lit(1.0))
+    return X.table(spark, sf_dir, "part").select("p_partkey", M.divisible(size, 8).cast("long").alias("divisible"), M.same_padding(size).alias("padding"), r6(weight, "weight"), r6(bias, "bias"))
+
+
+@query("SELECT CAST(n_nationkey AS INT) AS layer, round(0.5 + n_nationkey * 0.5 / 24, 9) AS weight, 42 + n_nationkey AS seed FROM nation")
+def gradual_steps(spark, sf_dir):
+    n = X.table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("layer"), F.round(M.gradual_step(F.col("n_nationkey"), 25), 9).alias("weight"), frames.worker_seed(42, F.col("n_nationkey")).alias("seed"))
+
+
+@query(
+    """WITH c AS (SELECT CAST(x.range AS INT) AS x, CAST(y.range AS INT) AS y FROM range(20) x, range(15) y), k AS (SELECT CAST(range AS INT) AS k FROM range(16))
+  SELECT x, y, k AS place, round(CASE WHEN k // 4 = 0 THEN sin(x / pow(10000.0::DOUBLE, (k % 4) / 4.0::DOUBLE)) WHEN k // 4 = 1 THEN cos(x / pow(10000.0::DOUBLE, (k % 4) / 4.0::DOUBLE))
+    WHEN k // 4 = 2 THEN sin(y / pow(10000.0::DOUBLE, (k % 4) / 4.0::DOUBLE)) ELSE cos(y / pow(10000.0::DOUBLE, (k % 4) / 4.0::DOUBLE)) END, 6) + 0.0 AS value FROM c, k"""
+)
+def position_table(spark, sf_dir):
+    table = G.position_table(spark.createDataFrame([(20, 15)], "w int, h int"), 16)
+    return table.select("x", "y", F.posexplode("position").alias("place", "value")).select("x", "y", "place", (F.round("value", 6) + F.lit(0.0)).alias("value"))
+
+
+@query(f"{_M} SELECT name, step, value FROM metrics WHERE step % 10 = 0")
+def log_scalars(spark, sf_dir):
+    return metrics.scalars(X.metrics(spark, sf_dir)).select("name", "step", "value")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS epoch, max(value) AS v, max(max(value)) OVER (PARTITION BY user_id >= 60 ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events GROUP BY user_id)
+  SELECT epoch, 'last' AS file FROM e WHERE epoch < 60 UNION ALL SELECT epoch, 'checkpoint' || lpad(CAST(epoch AS VARCHAR), 4, '0') FROM e WHERE epoch < 60 AND (epoch + 1) % 12 = 0
+  UNION ALL SELECT epoch, CASE WHEN epoch < 60 THEN 'best_stg1' ELSE 'best_stg2' END FROM e WHERE before IS NULL OR v > before"""
+)
+def checkpoint_files(spark, sf_dir):
+    epochs = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("step")).agg(F.max("value").alias("value")).withColumn("name", F.lit("top1"))
+    best = metrics.best_so_far(epochs, F.col("step") >= 60)
+    return metrics.checkpoints(best.withColumnRenamed("step", "epoch"), 12, 60)
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS k, round(-ln((1 - (n_nationkey + 1) / 100.0::DOUBLE) / ((n_nationkey + 1) / 100.0::DOUBLE)), 6) AS bias FROM nation")
+def prior_bias(spark, sf_dir):
+    return spark.createDataFrame([(k, round(M.prior_bias((k + 1) / 100), 6)) for k in range(25)], "k long, bias double")
+
+
+@query(
+    """SELECT o_orderkey, worker, CAST(floor(i / 16) AS BIGINT) AS batch FROM (SELECT o_orderkey, o_custkey % 8 AS worker,
+  row_number() OVER (PARTITION BY o_custkey % 8 ORDER BY md5('3:1:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey % 8) AS n FROM orders)
+  WHERE (floor(i / 16) + 1) * 16 <= n"""
+)
+def shuffled_batches(spark, sf_dir):
+    rows = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    order = [frames.shuffled("o_orderkey", 3, 1), F.col("o_orderkey")]
+    return frames.batch_numbers(rows, 128, 8, order, F.pmod("o_custkey", F.lit(8))).select("o_orderkey", "worker", "batch")

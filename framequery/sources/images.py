@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import geometry as G
+from ..functions import images
+
 # The file suffixes taken as images.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff", "tif", "webp")
+#: OpenCV's type number of three unsigned 8-bit channels, which Spark's image schema uses.
+BGR_MODE = 16
 IMAGE = T.StructType(
     [T.StructField(n, t) for n, t in (("origin", T.StringType()), ("height", T.IntegerType()), ("width", T.IntegerType()), ("nChannels", T.IntegerType()), ("mode", T.IntegerType()), ("data", T.BinaryType()))]
 )
@@ -36,13 +44,38 @@ def collect_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """(frames, rejected): decoded BGR images, and the paths of files that can't be decoded."""
-    read = spark.read.format("image").load(folder).select("image.*")
+    """(frames, rejected): the folder's image files by Spark's reader, as BGR, and those that can't be decoded.
+
+    For the formats that Java reads; ``decode_images`` takes bytes from anywhere, streams included.
+    """
+    read = spark.read.format("image").load(folder).select("image.*").where(is_image(F.col("origin")))
     return read.where("width > 0"), read.where("width <= 0").select(F.col("origin").alias("path"), F.lit("not decodable").alias("error"))
 
 
+def decode_images(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Frames of encoded images in a column, batch or stream: the image columns, the other columns, and ``error``.
+
+    An image that can't be decoded has an error and null pixels; it never stops a run.
+    """
+    kept = [c for c in files.columns if c not in (path, content)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # a frame at a time: pixels are much larger than files
+                try:
+                    img = images.decode(batch.column(1)[row].as_py())
+                    values = (img.shape[0], img.shape[1], 3, BGR_MODE, img.tobytes(), None)
+                except ValueError as e:
+                    values = (None, None, None, None, None, str(e))
+                columns = [pa.array([v], t) for v, t in zip(values, (*[pa.int32()] * 4, pa.binary(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), *columns, *[batch.column(2 + k).slice(row, 1) for k in range(len(kept))]], names=[*[f.name for f in IMAGE], "error", *kept])
+
+    schema = T.StructType([*IMAGE, T.StructField("error", T.StringType()), *[files.schema[c] for c in kept]])
+    return files.select(F.col(path).cast("string"), content, *kept).mapInArrow(run, schema)
+
+
 def stream_images(spark: SparkSession, folder: str, files_per_trigger: int = 10) -> DataFrame:
-    """Frames as a stream of a folder's files; the file time is the event time.
+    """Encoded frames as a stream of a folder's files; the file time is the event time.
 
     The trigger limit throttles; unlike a bounded queue it drops nothing.
     """
@@ -83,6 +116,14 @@ def coco_truths(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def training_boxes(truths: DataFrame, side: int = 640) -> DataFrame:
+    """Truths as a training step sees them: corners in the image resized to a square, and normalised centre boxes."""
+    sx, sy = F.lit(float(side)) / F.col("width"), F.lit(float(side)) / F.col("height")
+    resized = G.scale(G.box(), sx, sy)
+    centre = G.scale(G.corners_to_centre(resized), F.lit(1.0) / side, F.lit(1.0) / side)
+    return truths.withColumns({n: c for n, c in zip(("x1", "y1", "x2", "y2", "cx", "cy", "w", "h"), (*resized, *centre), strict=True)})
+
+
 def alphabet(spark: SparkSession, path: str) -> DataFrame:
     """(idx, ch) of a recognizer: the blank, the dictionary's entries in order, a space at the end.
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import images, pixels
+from ..functions.text import succeeded
+
 
 def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
     """One JSON line per frame, empty frames included."""
@@ -28,3 +36,45 @@ def write_log(epochs: DataFrame, path: str) -> None:
 def split_errors(scored: DataFrame, result: str = "result", error: str = "error") -> tuple[DataFrame, DataFrame]:
     """(good, quarantined) rows of a scoring step that returns a result or an error."""
     return scored.where(F.col(error).isNull()).drop(error), scored.where(F.col(error).isNotNull()).drop(result)
+
+
+def annotated(frames: DataFrame, results: DataFrame, fallback: str = "text") -> DataFrame:
+    """(origin, name, content): every frame as PNG with its boxes and texts drawn, under its input's name.
+
+    ``results``: origin, x1..y2 and text; where recognition failed, ``fallback`` is the label.
+    """
+    label = F.when(succeeded(F.col("text")), F.col("text")).otherwise(F.lit(fallback)).alias("text")
+    lists = results.groupBy(F.col("origin").alias("_origin")).agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2", label))).alias("boxes"))
+    joined = frames.select("origin", "height", "width", "nChannels", "data").join(lists, F.col("origin") == F.col("_origin"), "left").drop("_origin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                origin, h, w, c, data, boxes = (batch.column(i)[row].as_py() for i in range(6))
+                img = pixels.annotate(pixels.image(data, h, w, c), [tuple(b.values()) for b in boxes or ()])
+                name = posixpath.splitext(posixpath.basename(origin))[0] + ".png"
+                yield pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([name]), pa.array([images.encode_png(img)], pa.binary())], names=["origin", "name", "content"])
+
+    return joined.mapInArrow(run, "origin string, name string, content binary")
+
+
+def write_files(files: DataFrame, uri: str) -> int:
+    """Write (name, content) rows as files under a URI that driver and executors share; returns how many.
+
+    A file is written under a name of its own and then moved, so a task that runs again replaces whole files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(uri)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = f"{root}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content)
+                store.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
