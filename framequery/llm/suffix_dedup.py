@@ -10,11 +10,12 @@ corpus. Strings never cross documents.
 2. Contexts. An anchor that occurs again sends the bytes of the strings it stands for,
    aligned at the anchor. Equal contexts are counted once. Contexts of one anchor meet
    in one partition.
-3. Merge. The contexts of a partition are dealt into shards. Each shard's BWT is built
-   over the aligned contexts: for each column, the bytes before the sorted suffixes.
-   The shards are merged by refining their interleave column by column with stable
-   bucket passes over the BWT bytes; suffixes are never sorted again. The passes also
-   carry the common prefixes of neighbours, and where these reach ``length`` the
+3. Merge. The contexts of a partition, those of exact copies included, are dealt into
+   shards. Each shard's BWT is built over the aligned contexts: for each column, the
+   bytes before the sorted suffixes, and the order of the shard's rows. The shards are
+   merged by refining their interleave column by column with stable bucket passes over
+   the BWT bytes; suffixes are never sorted again, and rows are not moved. The passes
+   also refine the common prefixes of neighbours, and where these reach ``length`` the
    neighbours form a repeated interval.
 4. Spans come back to their documents, are united, and cut out.
 
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import small_batches, spill
+from ..plans.runtime import spill
 from .textbytes import PIECE, U64, mix64, row_groups, text_buffers
 
 GRAM = 32
@@ -157,16 +158,18 @@ def _contexts(held: DataFrame, length: int, whole: bool) -> DataFrame:
 
 
 class ShardBwt:
-    """The positional BWT of a shard: per column, the bytes that precede its sorted suffixes."""
+    """The positional BWT of a shard: per column the bytes that precede its sorted suffixes, and the order of its rows."""
 
     def __init__(self, matrix: np.ndarray):
-        self.columns = np.empty((matrix.shape[1], matrix.shape[0]), np.uint8)
-        order = np.arange(matrix.shape[0])
+        n, width = matrix.shape
+        self.columns, self.orders = np.empty((width, n), np.uint8), np.empty((width, n), np.uint16)
+        order = np.arange(n)
         by_column = np.ascontiguousarray(matrix.T)
-        for j in range(matrix.shape[1] - 1, -1, -1):
+        for j in range(width - 1, -1, -1):
             before = by_column[j][order]
             self.columns[j] = before
             order = order[np.argsort(before, kind="stable")]
+            self.orders[j] = order
 
 
 def _common(prefix: np.ndarray, symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -186,22 +189,29 @@ def _common(prefix: np.ndarray, symbols: np.ndarray, order: np.ndarray) -> np.nd
 def merge_shards(shards: list[ShardBwt], length: int, width: int, weight: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each context (rows of the shards in turn) the least and greatest start of a repeated string.
 
-    ``first`` and ``last`` bound the starts a context stands for; -1, -1 where none repeats.
+    ``first`` and ``last`` bound the starts a context stands for; -1, -1 where none repeats. Only the
+    interleave (which shard each merged suffix comes from) and the common prefixes are refined;
+    which row a merged suffix is of, its own shard's order tells.
     """
-    n = sum(s.columns.shape[1] for s in shards)
-    source = np.concatenate([np.full(s.columns.shape[1], i, np.uint16) for i, s in enumerate(shards)])
-    row = np.arange(n)
+    sizes = [s.columns.shape[1] for s in shards]
+    n = sum(sizes)
+    source = np.repeat(np.arange(len(shards), dtype=np.uint16), sizes)
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    slots = np.arange(n)  # merged places of the shards' suffixes, shard by shard
     prefix = np.zeros(n, np.int16)
     low, high = np.full(n, -1), np.full(n, -1)
     for j in range(width - 1, -1, -1):
-        # the interleave tells from which shard each merged row takes its next BWT byte
         symbols = np.empty(n, np.uint8)
-        symbols[np.argsort(source, kind="stable")] = np.concatenate([s.columns[j] for s in shards])
+        symbols[slots] = np.concatenate([s.columns[j] for s in shards])
         order = np.argsort(symbols, kind="stable")
         prefix = np.minimum(_common(prefix, symbols, order), np.int16(16000))
-        source, row = source[order], row[order]
+        if len(shards) > 1:
+            source = source[order]
+            slots = np.argsort(source, kind="stable")
         if j + length > width:
             continue
+        row = np.empty(n, np.int64)
+        row[slots] = np.concatenate([s.orders[j] + b for s, b in zip(shards, begin, strict=True)])
         valid = (first[row] <= j) & (j <= last[row])
         interval = np.cumsum(prefix < length) - 1
         many = np.bincount(interval, np.where(valid, weight[row], 0)) >= 2
@@ -216,21 +226,15 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     wide = length - GRAM
 
     def solve(rows: list[list]) -> pa.RecordBatch:
-        """rows: [context, before, bytes, n, alone] in order of anchors."""
-        out = []
-        for context, before, text, n, alone in rows:
-            if alone and n >= 2:
-                out.append((context, before, len(text) - before))
-        many = [r for r in rows if not r[4]]
-        if many:
-            matrix = np.zeros((len(many), wide + length), np.uint8)
-            first = np.array([wide - r[1] for r in many])
-            last = first + np.array([len(r[2]) for r in many]) - length
-            for i, r in enumerate(many):
-                matrix[i, first[i] : first[i] + len(r[2])] = np.frombuffer(r[2], np.uint8)
-            shards = [ShardBwt(matrix[i : i + SHARD]) for i in range(0, len(many), SHARD)]
-            low, high = merge_shards(shards, length, wide + length, np.array([r[3] for r in many]), first, last)
-            out += [(many[i][0], int(wide - low[i]), int(high[i] + length - wide)) for i in np.flatnonzero(low >= 0)]
+        """rows: [context, before, bytes, n] in order of anchors."""
+        matrix = np.zeros((len(rows), wide + length), np.uint8)
+        first = np.array([wide - r[1] for r in rows])
+        last = first + np.array([len(r[2]) for r in rows]) - length
+        for i, r in enumerate(rows):
+            matrix[i, first[i] : first[i] + len(r[2])] = np.frombuffer(r[2], np.uint8)
+        shards = [ShardBwt(matrix[i : i + SHARD]) for i in range(0, len(rows), SHARD)]
+        low, high = merge_shards(shards, length, wide + length, np.array([r[3] for r in rows]), first, last)
+        out = [(rows[i][0], int(wide - low[i]), int(high[i] + length - wide)) for i in np.flatnonzero(low >= 0)]
         c = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["context", "back", "ahead"])
 
@@ -241,7 +245,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for a, context, before, text, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if a != anchor:
-                    block += close(group)
+                    block += group
                     group, anchor = [], a
                     if len(block) >= BLOCK:
                         yield solve(block)
@@ -249,27 +253,22 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
                 if group and group[-1][0] == context:
                     group[-1][3] += n
                 else:
-                    group.append([context, before, text, n, False])
-        block += close(group)
+                    group.append([context, before, text, n])
+        block += group
         if block:
             yield solve(block)
 
-    def close(group: list[list]) -> list[list]:
-        if len(group) == 1:
-            group[0][4] = True
-        return group
-
     dealt = contexts.repartition("anchor").sortWithinPartitions("anchor", "context")
     return dealt.mapInArrow(run, "context binary, back long, ahead long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False) -> DataFrame:
     """A row per document: doc_id, n_bytes, spans (removed, start and end), kept_sha256 and, if asked, kept."""
-    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = _anchor_rows(source, length)
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # dealt anew, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
+    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor").repartition("anchor")
     places = found.join(again, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
     p = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "places")
     held = source.join(p, source["doc_id"].eqNullSafe(p["_id"]) & (source["mark"] == p["_mark"]), "left").select(

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, delete_on_exit, shared_dir, small_batches
+from ..plans.runtime import cut, delete_on_exit, shared_dir
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -56,18 +56,18 @@ def classify(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     them, so that payloads stay where they are, else by a shuffle that AQE can split.
     """
     rows = pages.select("page_id", "url", F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    rows = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
     groups = cut(
-        rows.where(F.octet_length("payload") >= min_bytes)
-        .groupBy("digest")
+        rows.where(F.col("size") >= min_bytes)
+        .groupBy("digest", "size")
         .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "keeper")
+        .select("digest", "size", "keeper")
     )
     if groups.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
         groups = F.broadcast(groups)
     revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
-    return rows.join(groups, "digest", "left").select(
+    return rows.join(groups, ["digest", "size"], "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("keeper")).alias("refers_to")
     )
 
@@ -114,7 +114,9 @@ def train_dictionary(pages: DataFrame) -> bytes:
 
 def write_archives(classified: DataFrame, dictionary: bytes, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one archive per partition of ``classified`` under ``path``."""
-    small_batches(classified.sparkSession)
+    raw = F.unhex(F.lit("00FF80FEC328"))
+    if not classified.sparkSession.range(1).select(raw.cast("string").cast("binary") == raw).first()[0]:
+        raise RuntimeError("archives go through the text writer, which needs bytes to pass a cast to string as they are")
     held = classified.sparkSession.sparkContext.broadcast(dictionary)
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

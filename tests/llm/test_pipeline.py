@@ -70,11 +70,31 @@ def test_stages_match_plain_versions(spark, folder):
     assert len(out) == len({(r["doc_id"], r["mix_copy"]) for r in out})
 
 
+#: Names that operators give to columns of their own.
+CLASHES = ["n_lines", "n_removed", "_kept", "toxicity", "mix_size", "mix_copies", "mix_copy", "mix_source", "hit_spans", "n_words", "row_key", "cls", "token", "part", "component", "mark", "_turn", "pos"]
+
+
 def test_stages_keep_the_columns(spark, folder):
+    """Columns of the stages on an empty table, and on one whose own columns have the operators' names."""
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet")
+    named = docs.where("doc_id < 40 OR doc_id >= 300").select("*", *[F.concat(F.lit(f"{c} "), F.col("doc_id").cast("string")).alias(c) for c in CLASHES])
     assert len(corpus_pipeline.STAGES) == 5
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        if name != "ngram_jaccard_join":
-            assert stage(spark, docs.limit(0), path).columns == docs.columns, name
-    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), path).select(F.count("*")).head()[0] == 0
+    for name, stage in corpus_pipeline.STAGES:
+        last = name == corpus_pipeline.STAGES[-1][0]
+        assert stage(spark, docs.limit(0), path).count() == 0
+        for rows in (docs.limit(0), named):
+            out = stage(spark, rows, path)
+            assert out.columns[: len(rows.columns)] == rows.columns and len(out.columns) == len(rows.columns) + last, name
+        got = out.select("doc_id", *CLASHES).collect()
+        assert got and all(r[c] == f"{c} {r['doc_id']}" for r in got for c in CLASHES), name
+
+
+def test_near_copies_by_row(spark, folder):
+    """Repeated and null ids: a text goes only where a copy of it stays."""
+    path, _ = folder
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(3, t), (5, "a text of its own with an id that is used twice"), (5, t), (None, "two rows of this one and no id"), (None, "two rows of this one and no id"), (None, t)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_turn", F.lit("mine"))
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, path).collect()]
+    assert sorted(kept, key=str) == sorted([(3, t, "mine"), (5, rows[1][1], "mine"), (None, rows[3][1], "mine")], key=str)
