@@ -29,9 +29,14 @@ def add_up(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(a: Column) -> Column:
-    e = F.transform(doubles(a), lambda v: F.exp(v - F.array_max(doubles(a))))
-    return F.transform(e, lambda v: v / add_up(e))
+    shifted = lambda z: let(F.array_max(z), lambda top: F.transform(z, lambda v: F.exp(v - top)))
+    return let(let(doubles(a), shifted), lambda e: let(add_up(e), lambda total: F.transform(e, lambda v: v / total)))
 
 
 def expectation(p: Column, weights: Column) -> Column:
@@ -99,10 +104,9 @@ def distribution_loss(probabilities: Column, k: Column, right: Column, left: Col
 
 def softened(logits: Column, temperature: float) -> Column:
     """Log-softmax of an array at a temperature."""
-    z = F.transform(doubles(logits), lambda v: v / temperature)
-    top = F.array_max(z)
-    total = F.ln(add_up(F.transform(z, lambda v: F.exp(v - top))))
-    return F.transform(z, lambda v: v - top - total)
+    log_sum = lambda z, top: top + F.ln(add_up(F.transform(z, lambda v: F.exp(v - top))))
+    below = lambda z: let(let(F.array_max(z), lambda top: log_sum(z, top)), lambda total: F.transform(z, lambda v: v - total))
+    return let(F.transform(doubles(logits), lambda v: v / temperature), below)
 
 
 def distillation_divergence(student: Column, teacher: Column, temperature: float = 5.0) -> Column:

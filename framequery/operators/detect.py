@@ -56,11 +56,10 @@ def flat_topk(queries: DataFrame, k: int, logits: str = "logits") -> DataFrame:
 
 def best_class_topk(queries: DataFrame, k: int, logits: str = "logits") -> DataFrame:
     """Softmax over classes, the last being background: each query's best class, then the k best queries."""
-    front = F.slice(M.doubles(F.col(logits)), F.lit(1), F.size(logits) - 1)
-    largest = F.array_max(M.doubles(F.col(logits)))
+    best = lambda z, front: F.struct(M.argmax(front).alias("label"), M.let(F.array_max(z), lambda top: F.exp(F.array_max(front) - top) / M.add_up(F.transform(z, lambda v: F.exp(v - top)))).alias("score"))
     # of the softmax only its largest term is needed, and one sum
-    share = F.exp(F.array_max(front) - largest) / M.add_up(F.transform(M.doubles(F.col(logits)), lambda v: F.exp(v - largest)))
-    scored = queries.select("image_id", "query_id", M.argmax(front).alias("label"), share.alias("score"))
+    picked = M.let(M.doubles(F.col(logits)), lambda z: M.let(F.slice(z, F.lit(1), F.size(z) - 1), lambda front: best(z, front)))
+    scored = queries.select("image_id", "query_id", picked.alias("best")).select("image_id", "query_id", "best.label", "best.score")
     return topk(scored, k, "image_id", "query_id")
 
 

@@ -14,7 +14,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def delete_on_exit(spark: SparkSession, path: str) -> None:
@@ -67,16 +66,6 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch that goes to Python, where rows hold whole texts.
-
-    Lowers the session's setting and never raises it: plans read it when they run, so it
-    has to stay as it is until the caller has used the result.
-    """
-    if int(spark.conf.get(_BATCH)) > rows or int(spark.conf.get(_BATCH)) <= 0:
-        spark.conf.set(_BATCH, str(rows))
-
-
 def free_name(base: str, taken) -> str:
     """``base``, or ``base`` with a suffix, so that no column of ``taken`` clashes."""
     lowered = {c.lower() for c in taken}
