@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from ..operators import detect, frames, match, metrics
+from ..operators import augment, detect, frames, match, metrics
 from . import fixtures as X
 from .catalog import query
 
@@ -449,3 +449,32 @@ def denoising_mask(spark, sf_dir):
     noisy = lambda c: F.col(c) < 40
     same = F.floor(F.col("query") / 8) == F.floor(F.col("key") / 8)
     return q.withColumn("masked", noisy("key") & ~(noisy("query") & same))
+
+
+def _drawn(name: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5('9:{name}:' || CAST(frame_id AS VARCHAR)), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0"
+
+
+def _truths(spark, sf_dir):
+    return X.detections(spark, sf_dir).withColumns({"width": F.lit(_W), "height": F.lit(_H)})
+
+
+@query(
+    f"""{_D}, f AS (SELECT *, {_drawn("flip")} < 0.5 AS flip, CASE WHEN {_drawn("zoom")} < 0.5 THEN 1 + {_drawn("ratio")} * 3 ELSE 1.0 END AS zoom FROM det),
+  z AS (SELECT *, CAST(floor({_W} * zoom) AS INT) AS width, CAST(floor({_H} * zoom) AS INT) AS height FROM f),
+  o AS (SELECT *, CAST(floor({_drawn("left")} * (width - {_W} + 1)) AS INT) AS l, CAST(floor({_drawn("top")} * (height - {_H} + 1)) AS INT) AS t FROM z)
+  SELECT frame_id, det_id, flip, width, height, round(CASE WHEN flip THEN {_W} - x2 ELSE x1 END + l, 6) AS x1, round(CASE WHEN flip THEN {_W} - x1 ELSE x2 END + l, 6) AS x2, round(y1 + t, 6) AS y1 FROM o"""
+)
+def augmented_boxes(spark, sf_dir):
+    out = augment.zoomed_out(augment.flipped(_truths(spark, sf_dir), 9, "frame_id"), 9, "frame_id")
+    return out.select("frame_id", "det_id", "flip", "width", "height", *[r6(F.col(c), c) for c in ("x1", "x2", "y1")])
+
+
+@query(
+    f"""{_D}, p AS (SELECT o_orderkey AS frame_id, row_number() OVER (ORDER BY {_drawn("mosaic").replace("frame_id", "o_orderkey")}, o_orderkey) - 1 AS n, count(*) OVER () AS c FROM orders)
+  SELECT det.frame_id, det_id, n // 4 AS mosaic, CAST(n % 4 AS INT) AS quarter, round(x1 * 0.5 + (n % 4) % 2 * 320, 6) AS x1, round(y2 * (320 / 480.0::DOUBLE) + (n % 4) // 2 * 320, 6) AS y2
+  FROM det JOIN p ON det.frame_id = p.frame_id WHERE n // 4 * 4 + 4 <= c"""
+)
+def mosaic_boxes(spark, sf_dir):
+    out = augment.mosaic(_truths(spark, sf_dir), X.frames(spark, sf_dir), 9, 640, "frame_id")
+    return out.select("frame_id", "det_id", "mosaic", "quarter", r6(F.col("x1"), "x1"), r6(F.col("y2"), "y2"))

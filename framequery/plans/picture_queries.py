@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import pixels
 from ..functions import text as T
 from ..operators import detect, frames, metrics, scoring
 from ..sources import images, sinks
@@ -152,6 +155,30 @@ def annotated_frames(spark, sf_dir):
     return back.select(_name("origin"), "height", "width", pixel(x - 1, y).alias("corner"), pixel(F.lit(0), F.col("height") - 1).alias("ground"))
 
 
+@query(
+    f"""{_P}, lb AS (SELECT *, least(64.0::DOUBLE / width, 64.0::DOUBLE / height) AS ratio FROM pic)
+  SELECT stem || suffix AS name, 4096 - CAST(trunc(width * ratio) AS INT) * CAST(trunc(height * ratio) AS INT) AS padding, round(114 / 255.0::DOUBLE, 6) AS largest,
+    least(CAST(trunc(48 * greatest(320.0::DOUBLE / 48, width / height::DOUBLE)) AS INT), 3200) AS read_width, 255 * 3 * (x2 - x1) * (y2 - y1) AS light, 4 * 3 * (10 * (width * height - (x2 - x1) * (y2 - y1)) + 100 * (x2 - x1) * (y2 - y1)) AS doubled FROM lb"""
+)
+def prepared_frames(spark, sf_dir):
+    """What goes into the models: padded squares, recognizer inputs, equalised grey, enlarged images, as figures of their pixels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in range(batch.num_rows):
+                origin, h, w, data = (batch.column(i)[row].as_py() for i in range(4))
+                img = pixels.image(data, h, w)
+                square = pixels.letterbox(img, 64)[0]
+                rows.append((origin, int((square == pixels.PAD_VALUE).all(axis=2).sum()), round(float(pixels.detector_input(square).max()), 6), pixels.recognizer_input(img).shape[2], int(pixels.equalized_gray(img, 960).sum()), int(pixels.nearest(img, 2).sum())))
+            kinds = (pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["origin", "padding", "largest", "read_width", "light", "doubled"])
+
+    good = _decoded(spark, sf_dir).where("error IS NULL").select("origin", "height", "width", "data")
+    out = good.mapInArrow(run, "origin string, padding int, largest double, read_width int, light int, doubled int")
+    return out.select(_name("origin"), "padding", F.round("largest", 6).alias("largest"), "read_width", "light", "doubled")
+
+
 @query("SELECT 'broken.png' AS name, 'not an image of a known format' AS error")
 def quarantined(spark, sf_dir):
     _, bad = sinks.split_errors(_decoded(spark, sf_dir), "data")
