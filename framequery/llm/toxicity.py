@@ -36,7 +36,7 @@ from .textbytes import row_groups, text_buffers
 ORDERS = (3, 4, 5)
 BITS = 20
 #: Bound on the labelled documents of each class that training reads.
-PER_CLASS = 2000
+PER_CLASS = 1000
 #: Code points hashed at once.
 SLICE = 1 << 18
 #: Folds whose unseen examples set the scale of the scores.
@@ -166,17 +166,17 @@ def train(x: list[np.ndarray], y: np.ndarray, r: np.ndarray, penalty: float = 1.
     ends when no example's share of the solution moves by more than ``close``.
     """
     w, b = np.zeros(len(r)), 0.0
-    values = [r[row].astype(np.float32) for row in x]
-    norm = [(float(v @ v) + 1) / penalty for v in values]
+    norm = [(float(r[row] @ r[row]) + 1) / penalty for row in x]
     share, sign = [0.5] * len(x), np.where(y == 1, 1.0, -1.0).tolist()
-    for row, v, s in zip(x, values, sign, strict=True):
-        w[row] += 0.5 * s / penalty * v
+    for row, s in zip(x, sign, strict=True):
+        w[row] += 0.5 * s / penalty * r[row]
         b += 0.5 * s / penalty
     rng = np.random.Generator(np.random.PCG64(17))
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)).tolist():
-            row, v, s, a0, q = x[i], values[i], sign[i], share[i], norm[i]
+            row, s, a0, q = x[i], sign[i], share[i], norm[i]
+            v = r[row]
             m = s * (float(w[row] @ v) + b)
             a = _step(a0, q, m)
             if a != a0:
