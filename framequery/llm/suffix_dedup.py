@@ -267,8 +267,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
     found = _anchor_rows(source, length)
-    # dealt anew, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
-    again = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor").repartition("anchor")
+    # written, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
+    again = spill(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     places = found.join(again, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
     p = places.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "places")
     held = source.join(p, source["doc_id"].eqNullSafe(p["_id"]) & (source["mark"] == p["_mark"]), "left").select(
