@@ -9,7 +9,9 @@ components hold nothing else. Shingles are compared by 64-bit hashes, equal sets
    gives the global rare-first order: (frequency level, hash).
 3. Each class sends the rarest n - ceil(t n) + 1 shingles of its set, each with its
    position and a signature of the suffix after it (counts over 8 ranges of the hash).
-   Shingles met in one class only are dropped. Shingles far more frequent than the mean
+   Shingles met in one class only are dropped. Where a bucket turns out to be large all the
+   same (on large inputs many shingles share a counter), its shingle is counted among the
+   most frequent ones, and prefixes are taken once more. Shingles far more frequent than the mean
    are dealt into parts, so no task sorts a bucket that grows with a third of all rows.
 4. Within a bucket every member meets the one of smallest position, which has the fewest
    shingles of its own: in a group of near copies that is the text nearest to all. A pair
@@ -46,6 +48,8 @@ _WORD = bytes(b for b in range(256) if b not in b"\x20\x09\x0a\x0b\x0c\x0d")
 SLOT_BITS, CHUNK = 21, 1 << 16
 #: Rows of a part of a frequent shingle's bucket, and how often a counter has to exceed the mean for that.
 BUCKET, FREQUENT = 1 << 16, 64
+#: Bound on the shingles (8 bytes each) that are counted as frequent by the size of their buckets.
+COMMON = 1 << 20
 #: Pairs left per open row up to which no further stars are tried.
 STARS_ABOVE = 64
 #: Members of a star that meet their pivot in one block.
@@ -160,15 +164,19 @@ def _suffixes(s: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.minimum(left, 255).astype(np.uint8).view(np.int64).ravel()
 
 
-def _postings(source: DataFrame, levels: np.ndarray, k: int, percent: int, seed: int, bits: int) -> DataFrame:
-    """(token, part, cls, n, pos, suffix) of the rarest shingles, once per class and task."""
+def _postings(source: DataFrame, levels: np.ndarray, common: np.ndarray, k: int, percent: int, seed: int, bits: int) -> DataFrame:
+    """(token, part, cls, n, pos, suffix) of the rarest shingles, once per class and task.
+
+    ``common``: sorted shingles that come after all others, whatever their counter says.
+    """
     counts = np.exp2(np.arange(256) / 4)
     mean = max(1.0, float(counts[levels[levels > 0]].mean())) if levels.any() else 1.0
     parts = np.where(counts > max(BUCKET, FREQUENT * mean), np.ceil(counts / BUCKET), 1)  # by level
-    held = source.sparkSession.sparkContext.broadcast((levels, np.minimum(parts, 1 << 30).astype(np.int64)))
+    parts[255] = 64  # the common ones, whose buckets are known to be large
+    held = source.sparkSession.sparkContext.broadcast((np.minimum(levels, 254), common, np.minimum(parts, 1 << 30).astype(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, (level, parts), sent = Shingler(k, seed), held.value, set()
+        shingler, (level, last, parts), sent = Shingler(k, seed), held.value, set()
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
             for a, b in row_groups(offsets):
@@ -177,7 +185,10 @@ def _postings(source: DataFrame, levels: np.ndarray, k: int, percent: int, seed:
                     if not len(s) or (cls := identity(s, bits)[0]) in sent:
                         continue
                     sent.add(cls)
-                    rank = (level[(s >> U64(64 - SLOT_BITS)).astype(np.int64)].astype(U64) << U64(56)) | (s >> U64(8))
+                    order = level[(s >> U64(64 - SLOT_BITS)).astype(np.int64)]
+                    if len(last):
+                        order[last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s] = 255
+                    rank = (order.astype(U64) << U64(56)) | (s >> U64(8))
                     p = prefix_length(len(s), percent)
                     first = np.argpartition(rank, p - 1)[:p] if p < len(s) else np.arange(len(s))
                     first = first[np.lexsort((s[first], rank[first]))]
@@ -323,7 +334,15 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int =
             break
         seed, bits = seed + 1, 64  # two sets met in one class id: hash anew
     levels = _levels(profile.where("part is not null"))
-    shared = spill(_shared(_postings(source, levels, words, percent, seed, bits), percent), "postings")
+    common = np.zeros(0, U64)
+    for _ in range(2):
+        shared = spill(_shared(_postings(source, levels, common, words, percent, seed, bits), percent), "postings")
+        large = max(BUCKET, shared.count() // COMMON)
+        sizes = shared.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > large).select("token")
+        found = [r["token"] for r in sizes.collect()]  # at most COMMON of them
+        if not found or len(common):
+            break
+        common = np.sort(np.array(found, np.int64).view(U64))
 
     verify = lambda pairs: _verify(pairs, classes, source, words, percent, seed)
     tried = cut(shared.where("near").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
