@@ -41,7 +41,8 @@ def _large_star(pairs: DataFrame) -> DataFrame:
     """Each neighbour larger than a node is tied to the smallest around the node."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # pairs that coincide become one in the small step, so the shuffle for that is made once a round
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
