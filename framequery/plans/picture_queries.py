@@ -140,6 +140,23 @@ def stream_totals(spark, sf_dir):
     return result[0]
 
 
+@query(f"{_P} SELECT count(*) AS frames, CAST(sum(2 + k % 3) AS BIGINT) AS detections, CAST(sum(width) AS DOUBLE) / 64 AS det_s FROM pic")
+def stream_counters(spark, sf_dir):
+    """Counters of a stream's whole life, kept by Spark's state and written anew after each batch."""
+    out = _folder(spark, "counters")
+    files = images.stream_images(spark, X.pictures(spark, sf_dir), 9).drop("length")
+    decoded = images.decode_images(files).where("error IS NULL")
+    k = F.substring(T.base_name(F.col("origin")), 4, 2).cast("int")
+    counted = stream.running_totals(decoded.select((2 + F.pmod(k, F.lit(3))).cast("long").alias("det_count"), (F.col("width").cast("double") / 64).alias("det_s")), ["det_s"])
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    writer = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", _folder(spark, "progress"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query(f"{_P} SELECT stem || '.png' AS name, height, width, '00FF00' AS corner, '0A0A0A' AS ground FROM pic")
 def annotated_frames(spark, sf_dir):
     good = _decoded(spark, sf_dir).where("error IS NULL").drop("error")
