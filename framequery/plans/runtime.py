@@ -10,6 +10,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +49,30 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Settings for the time of a step that is materialised: its shuffle files go as soon as it has ended, since nothing
+#: reads them again, and Python workers get whole texts in batches of bounded size.
+_STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+@contextmanager
+def _step(spark: SparkSession) -> Iterator[None]:
+    """The session as it was, but for the settings of a step; they are put back at its end."""
+    before = {key: spark.conf.get(key, None) for key in _STEP}
+    try:
+        for key, value in _STEP.items():
+            if not (key.endswith("maxRecordsPerBatch") and 0 < int(before[key] or 0) < int(value)):
+                spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with ``checkpoint()``: for small or medium results."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _step(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
@@ -61,7 +83,8 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _step(spark):
+        df.write.parquet(path)
     delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
