@@ -27,10 +27,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.runtime import free_name, spill
-from .textbytes import row_groups, text_buffers
+from .textbytes import text_buffers
 
 _WORD = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD else 32 for b in range(256))
@@ -170,34 +169,29 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _pass(docs: DataFrame, held, window: int, text: str, kept: list[str], names: tuple[str, str, str]) -> DataFrame:
-    n_words, spans, hits = names
-    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType(
-        [docs.schema[c] for c in kept]
-        + [T.StructField(n_words, T.LongType()), T.StructField(spans, T.ArrayType(span)), T.StructField(hits, T.ArrayType(T.StringType()))]
-    )
+    """One block's search. Only texts go to Python; words, spans and items come back."""
     tables = uuid.uuid4().hex
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if tables not in _TABLES:  # a worker that runs many tasks makes them once
             _TABLES.clear()
             _TABLES[tables] = Matcher(held.value, window)
         matcher = _TABLES[tables]
-        for batch in batches:
-            offsets, data = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            for lo, hi in row_groups(offsets):
-                rows = [matcher.scan(data[a:b].tobytes()) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(batch.schema.get_field_index(c)).slice(lo, hi - lo) for c in kept]
-                    + [
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], _SPANS),
-                        pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
-                    ],
-                    names=[*kept, n_words, spans, hits],
-                )
-
-    return docs.mapInArrow(search, schema)
+        for column in columns:
+            offsets, data = text_buffers(column)
+            rows = [matcher.scan(data[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], _SPANS),
+                    pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string())),
+                ],
+                names=["n", "spans", "items"],
+            )
+
+    found = F.arrow_udf(search, "n long, spans array<struct<start:long,end:long>>, items array<string>", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    own = free_name("found", [*docs.columns, *names])
+    return docs.withColumn(own, found(F.col(text).cast("string"))).select(*kept, *[F.col(own)[f].alias(c) for f, c in zip(("n", "spans", "items"), names, strict=True)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text") -> DataFrame:

@@ -28,10 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.runtime import cut, free_name
-from .textbytes import row_groups, text_buffers
+from .textbytes import text_buffers
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -208,22 +207,18 @@ def _step(a0: float, q: float, m: float) -> float:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, name: str = "toxicity") -> DataFrame:
-    """``docs`` (or its ``keep`` columns) with the score of every whole text."""
-    kept = docs.columns if keep is None else keep
+    """``docs`` (or its ``keep`` columns) with the score of every whole text. Only texts go to Python, only scores come back."""
     name = free_name(name, docs.columns)
     held = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = Model(*held.value)
-        for batch in batches:
-            offsets, data = text_buffers(batch.column(batch.schema.get_field_index(text)))
-            for lo, hi in row_groups(offsets):
-                scores = [m.score(str(data[a:b], "utf-8", "replace")) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
-                part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in kept] + [pa.array(scores, pa.float64())], names=[*kept, name])
-
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(name, T.DoubleType())])
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+        for column in columns:
+            offsets, data = text_buffers(column)
+            yield pa.array([m.score(str(data[a:b], "utf-8", "replace")) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.float64())
+
+    scored = F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()(F.col(text).cast("string"))
+    return docs.select(*(docs.columns if keep is None else keep), scored.alias(name))
 
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
