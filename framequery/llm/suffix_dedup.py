@@ -266,7 +266,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, keep_bytes: bool = False)
     """A row per document: doc_id, n_bytes, spans (removed, start and end), kept_sha256 and, if asked, kept."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = _anchor_rows(source, length)
+    found = spill(_anchor_rows(source, length), "anchors-found")
     # written, so that both sides of the join are plain shuffles and a hot anchor's rows can be split
     again = spill(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     places = found.join(again, "anchor").groupBy("doc_id", "mark").agg(F.collect_set("place").alias("places"))
