@@ -321,7 +321,7 @@ def _open(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int = 0, bits: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups): rows has doc_id, cls, n of every document; groups has cls and component (smallest doc_id)."""
+    """(rows, groups): rows has doc_id, cls, n of every document; groups has cls, class_id and component (smallest doc_ids)."""
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"))
     while True:
@@ -380,19 +380,19 @@ def _pivots(open_: DataFrame) -> DataFrame:
 
 
 def _named(classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(cls, component): the smallest doc_id of each class's component."""
+    """(cls, class_id, component): the smallest doc_id of each class, and of its component."""
     member = classes.select("cls", F.col("first.doc_id").alias("doc_id")).join(groups.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     smallest = member.groupBy("component").agg(F.min("doc_id").alias("first_id"))
-    return cut(member.join(smallest, "component").select("cls", F.col("first_id").alias("component")))
+    return cut(member.join(smallest, "component").select("cls", F.col("doc_id").alias("class_id"), F.col("first_id").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """A row per document: doc_id, n_shingles, class_id, component_id."""
+    """A row per document: doc_id, n_shingles, class_id (the smallest id of an equal set) and component_id."""
     rows, groups = link_classes(docs, words, percent)
     return rows.join(groups, "cls", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("cls")).alias("class_id"),
+        "class_id",
         F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 

@@ -137,6 +137,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_decontamination"] = op3_decontamination
 
+#: Plain form: windows of each length as joined words; hit words as distinct places.
+_OP3_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(10, len(w)) AS m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS words FROM (SELECT item, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+dw AS (SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS words FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+hit AS (SELECT doc_id, i, dw.m, item FROM dw JOIN bw ON dw.m = bw.m AND dw.words = bw.words),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS place FROM (SELECT DISTINCT doc_id, i, m FROM hit)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
+"""
+
+ORACLES["op3_decontamination"] = _OP3_SQL
+
 
 def _fold(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
@@ -170,6 +185,18 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_warc"] = op7_warc
 
+#: Plain form: payloads equal byte for byte; base 32 as groups of 20 bits.
+_OP7_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, 5 * CAST(i // 4 AS INT) + 1, 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN keeper IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN keeper IS DISTINCT FROM page_id THEN keeper END AS refers_to
+FROM d
+"""
+
+ORACLES["op7_warc"] = _OP7_SQL
+
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
@@ -180,6 +207,23 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op9_ngram_join"] = op9_ngram_join
 
+#: Plain form: all pairs of classes that share a shingle; components by reachability.
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+c AS (SELECT min(doc_id) AS class_id, s, CAST(len(s) AS BIGINT) AS n FROM s WHERE len(s) > 0 GROUP BY s),
+g AS (SELECT class_id, n, unnest(s) AS g FROM c),
+k AS (SELECT a.class_id AS a, b.class_id AS b, a.n AS n, b.n AS m, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.class_id < b.class_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY ALL),
+l AS (SELECT a, b FROM k WHERE 100 * common >= 80 * (n + m - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT class_id, class_id AS seen FROM c UNION SELECT r.class_id, e.b FROM r JOIN e ON r.seen = e.a),
+t AS (SELECT class_id, min(seen) AS component_id FROM r GROUP BY class_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(t.component_id, s.doc_id) AS component_id, c.class_id
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN t ON c.class_id = t.class_id
+"""
+
+ORACLES["op9_ngram_join"] = _OP9_SQL
+
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
@@ -191,6 +235,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op10_suffix_dedup"] = op10_suffix_dedup
 
+#: Plain form: every 200-byte string, as hex.
+_OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS d_row, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT d_row, p, hash(substr(h, 2 * p + 1, 400)) AS k, md5(substr(h, 2 * p + 1, 400)) AS k2 FROM (SELECT d_row, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)),
+r AS (SELECT d_row, p FROM (SELECT d_row, p, count(*) OVER (PARTITION BY k, k2) AS n FROM s) WHERE n > 1),
+o AS (SELECT d_row, p, max(p + 200) OVER (PARTITION BY d_row ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+g AS (SELECT d_row, p, sum(CASE WHEN reach IS NULL OR p > reach THEN 1 ELSE 0 END) OVER (PARTITION BY d_row ORDER BY p) AS span FROM o),
+x AS (SELECT d_row, span, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY ALL),
+y AS (SELECT d_row, a, b, coalesce(lag(b) OVER (PARTITION BY d_row ORDER BY a), 0) AS free FROM x),
+z AS (SELECT y.d_row, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS kept FROM y JOIN d ON y.d_row = d.d_row GROUP BY y.d_row)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN z ON d.d_row = z.d_row
+"""
+
+ORACLES["op10_suffix_dedup"] = _OP10_SQL
+
 #: Not a secret: the query must give equal results everywhere. Real runs pass a key of their own.
 DEMO_KEY = b"framequery demonstration key"
 
