@@ -108,14 +108,22 @@ def _profile(docs: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
         from pyspark import TaskContext
 
         shingler, counts = Shingler(k, seed), np.zeros(1 << SLOT_BITS, np.int64)
+        waiting: list[np.ndarray] = []  # counted in turns of many, since a turn costs a pass over all counters
+
+        def count(least: int) -> None:
+            if waiting and sum(map(len, waiting)) >= least:
+                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << SLOT_BITS), out=counts)
+                waiting.clear()
+
         for batch in batches:
             offsets, data = text_buffers(batch.column(2))
             for a, b in row_groups(offsets):
                 sets = shingler.sets(offsets[a : b + 1], data)
-                everything = np.concatenate(sets) if sets else np.zeros(0, U64)
-                counts += np.bincount((everything >> U64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+                waiting += [(s >> U64(64 - SLOT_BITS)).astype(np.int32) for s in sets]
+                count(1 << 19)
                 cls, alt = zip(*(identity(s, bits) for s in sets), strict=True)
                 yield pack(b - a, doc_id=batch.column(0).slice(a, b - a), mark=batch.column(1).slice(a, b - a), cls=pa.array(cls, pa.int64()), alt=pa.array(alt, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
+        count(0)
         if counts.any():
             low = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, CHUNK)
             for chunk, row in enumerate(low):

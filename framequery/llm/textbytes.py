@@ -9,8 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Bytes worked on at once; a single longer text is cut at a word end where possible.
-PIECE = 1 << 20
+#: Bytes worked on at once, so that the arrays of a step stay in the processor's cache; a single longer text is cut at a
+#: word end where possible.
+PIECE = 1 << 17
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
