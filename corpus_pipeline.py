@@ -15,8 +15,20 @@ from framequery.llm.queries import MIN_SITES, toxicity_model
 from framequery.plans.runtime import spill
 
 
+#: Rows of an Arrow batch: whole texts go to Python, and back into its batches.
+BATCH_ROWS = 1000
+
+
+def _whole_texts(spark: SparkSession) -> None:
+    """The pipeline is the application and sets its session: Arrow batches of few rows. Operators leave it alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more go."""
+    _whole_texts(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity_model(docs, labels))
 
@@ -34,11 +46,13 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents that share 80 % of their five-word shingles, one stays."""
+    _whole_texts(spark)
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a ten-word window of a benchmark item go."""
+    _whole_texts(spark)
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
 
 
