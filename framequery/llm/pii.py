@@ -29,7 +29,6 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import free_name
