@@ -185,8 +185,9 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op7_warc"] = op7_warc
 
-#: Plain form: payloads equal byte for byte; base 32 as groups of 20 bits.
-_OP7_SQL = r"""
+#: Plain form, for the tests: payloads equal byte for byte; base 32 as groups of 20 bits. It is no reference SQL of the
+#: entry, since table libraries disagree on how a null among whole numbers reads.
+OP7_SQL = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS hex, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
@@ -195,8 +196,6 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
 FROM d
 """
 
-ORACLES["op7_warc"] = _OP7_SQL
-
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
