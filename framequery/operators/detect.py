@@ -157,17 +157,20 @@ def match_truths(scored: DataFrame, truths: DataFrame, thresholds: tuple[float,
         inter = np.clip(high - low, 0, None).prod(2)
         together = np.where(crowded[None, :], size[d][:, None], size[d][:, None] + size[t][None, :] - inter)
         quality = np.where(together > 0, inter / np.where(together > 0, together, 1), 0.0)
+        table, aside, again, out = quality.tolist(), spare.tolist(), crowded.tolist(), outside[d].tolist()
         found = []
         for threshold in thresholds:
-            free, hits, ignored = np.ones(len(t), bool), np.zeros(len(d), bool), outside[d].copy()
-            for i in range(len(d)):
-                for group in (~spare, spare):
-                    q = np.where(group & (free | crowded), quality[i], -1.0)
-                    best = int(q.argmax()) if len(q) else -1
-                    if best >= 0 and q[best] >= min(threshold, 1 - 1e-10):
-                        free[best], hits[i], ignored[i] = False, not spare[best], spare[best]
+            least, free, hits, ignored = min(threshold, 1 - 1e-10), [True] * len(t), [False] * len(d), list(out)
+            for i, q in enumerate(table):  # groups are small: plain numbers beat arrays
+                for kind in (False, True):
+                    best = -1
+                    for j, v in enumerate(q):
+                        if v >= least and aside[j] == kind and (free[j] or again[j]) and (best < 0 or v > q[best]):
+                            best = j
+                    if best >= 0:
+                        free[best], hits[i], ignored[i] = False, not kind, kind
                         break
-            found.append((np.full(len(d), key[0]), np.full(len(d), key[1]), det_id[d], score[d], np.full(len(d), threshold), hits, ignored))
+            found.append((np.full(len(d), key[0]), np.full(len(d), key[1]), det_id[d], score[d], np.full(len(d), threshold), np.array(hits), np.array(ignored)))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     return map_groups(both, ["frame_id", "class_id"], ["det_id"], columns, run, "frame_id long, class_id long, det_id long, score double, threshold double, hit boolean, ignored boolean")
