@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.runtime import cut, free_name
+from ..plans.runtime import cut, free_name, is_scan
 
 #: Places of one key that one task works on.
 BLOCK = 1 << 16
@@ -20,8 +20,10 @@ BLOCK = 1 << 16
 def numbered(df: DataFrame, keys: list[str], order: list[Column], place: str = "n", total: str | None = None) -> DataFrame:
     """``df`` with the 0-based ``place`` of each row in its key's order and, if named, the key's ``total`` rows.
 
-    Null keys form a group; rows that tie in ``order`` are numbered in any order.
+    Null keys form a group; rows that tie in ``order`` are numbered in any order. The bounds of the ranges are
+    sampled from ``df``, which is materialised first where it is more than a scan, so that it runs once.
     """
+    df = df if is_scan(df) else cut(df)
     at, part, first, moved = (free_name(x, df.columns) for x in ("_at", "_part", "_first", "_moved"))
     ours = [free_name(f"_key{i}", df.columns) for i in range(len(keys))]
     by = [F.col(k) for k in keys] + order

@@ -89,6 +89,14 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether ``df`` only reads files, or rows kept by ``cut``, with filters and JVM expressions: cheap to run twice."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.getClass().getSimpleName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() in ("LogicalRelation", "LogicalRDD", "DataSourceV2ScanRelation")
+
+
 def free_name(base: str, taken) -> str:
     """``base``, or ``base`` with a suffix, so that no column of ``taken`` clashes."""
     lowered = {c.lower() for c in taken}

@@ -87,3 +87,20 @@ def test_precision_with_crowds_and_areas(spark):
     assert got == {(0, 0.5): (1.0, 2), (0, 0.75): (round(51 / 101, 4), 2), (1, 0.5): (0.0, 1), (1, 0.75): (0.0, 1)}
     small = {r["class_id"]: (round(r["ap"], 4), r["positives"]) for r in detect.average_precision(d, t, area="small").collect()}
     assert small == {0: (1.0, 1), 1: (0.0, 1)}
+
+
+def test_numbered_runs_its_child_once(spark):
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    passed = spark.sparkContext.accumulator(0)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(1000).select((-F.col("id")).alias("id")).mapInArrow(counted, "id long")
+    assert [r["id"] for r in ordered.numbered(rows, [], [F.col("id")]).orderBy("n").collect()] == list(range(-999, 1))
+    assert passed.value == 1000
