@@ -273,3 +273,69 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_ann"] = op5_ann
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    placed = sharding.place(_read(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+QUERIES["op12_sharding"] = op12_sharding
+
+#: CRC-32 byte by byte, with its table made from the polynomial.
+_CRC_SQL = r"""
+bits0 AS (SELECT i, CAST(i AS BIGINT) AS v, 0 AS k FROM range(256) r(i)
+  UNION ALL SELECT i, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits0 WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS t FROM bits0 WHERE k = 8)"""
+
+
+def _crc_of(hex_text: str) -> str:
+    """SQL of the CRC-32 of bytes given in hex, beside a column t of the table."""
+    return f"xor(list_reduce(list_transform(range(0, length({hex_text}) // 2), lambda b: CAST(CAST('0x' || substr({hex_text}, CAST(2 * b + 1 AS INT), 2) AS INT) AS BIGINT)), lambda c, b: xor(c >> 8, t[CAST(xor(c & 255, b) + 1 AS INT)]), 4294967295::BIGINT), 4294967295)"
+
+
+_OP12_SQL = f"""
+WITH RECURSIVE {_CRC_SQL},
+d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 16) AS key FROM documents),
+j AS (SELECT r, CAST('0x' || key AS UBIGINT)::HUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM d
+  UNION ALL
+  SELECT r, k2, j, CAST(floor((j + 1) * (2147483648.0::DOUBLE / CAST((k2 // 8589934592) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT r, j, (k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS k2 FROM j WHERE j < 41)),
+s AS (SELECT r, CAST(max(j) FILTER (WHERE j < 40) AS INT) AS shard, CAST(max(j) FILTER (WHERE j < 41) AS INT) AS grown_shard FROM j GROUP BY r),
+x AS (SELECT doc_id, CAST(length(h) // 2 + 16 AS BIGINT) AS size, CAST({_crc_of("h")} AS BIGINT) AS text_crc32, 'key' AS law, shard, grown_shard, key FROM d JOIN s ON d.r = s.r, crc_table)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM x
+"""
+
+ORACLES["op12_sharding"] = _OP12_SQL
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import resampling
+
+    docs, target = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target, percent=10, buckets=10000, runs=(1, 1), least_words=20, seed="2024")
+
+
+QUERIES["op13_resampling"] = op13_resampling
+
+_OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_SQL},
+w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT r, unnest(w) AS word FROM w),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+v AS (SELECT word, CAST({_crc_of("h")} % 10000 AS INT) AS bucket FROM (SELECT DISTINCT word, hex(encode(word)) AS h FROM (SELECT word FROM e UNION SELECT word FROM b)), crc_table),
+s AS (SELECT bucket, count(*) AS n FROM e JOIN v USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN v USING (word) GROUP BY bucket),
+g AS (SELECT i AS bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM range(10000) x(i) LEFT JOIN s ON s.bucket = i LEFT JOIN t ON t.bucket = i),
+f AS (SELECT r, CAST(count(*) AS BIGINT) AS n, CAST(sum(gain) AS BIGINT) AS total FROM e JOIN v USING (word) JOIN g USING (bucket) GROUP BY r),
+m AS (SELECT w.r, doc_id, coalesce(n, 0) AS n_features, CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+  CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN f ON w.r = f.r),
+c AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM m),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS place, count(*) OVER () AS eligible FROM c WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN place <= 10 * eligible // 100 THEN place END AS rank FROM c LEFT JOIN k ON c.r = k.r
+"""
+
+ORACLES["op13_resampling"] = _OP13_SQL
