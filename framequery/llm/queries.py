@@ -339,3 +339,30 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
 """
 
 ORACLES["op13_resampling"] = _OP13_SQL
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import collocations
+
+    return collocations.collocations(_read(spark, sf_dir, "documents"), support=30, most=4, top=2000, share=80, scale=2_000_000)
+
+
+QUERIES["op11_collocations"] = op11_collocations
+
+#: Plain form: every phrase of every piece counted.
+_OP11_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) v(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.phrase, a, k, fl.f AS l, fr.f AS r, CAST(2000000::HUGEINT * a // (fl.f + fr.f) AS BIGINT) AS score FROM k JOIN f fl ON k.lang = fl.lang AND k.x = fl.phrase JOIN f fr ON k.lang = fr.lang AND k.y = fr.phrase),
+b AS (SELECT DISTINCT ON (lang, phrase) * FROM s ORDER BY lang, phrase, score, k),
+i AS (SELECT lang, array_to_string(ws[j:j + q - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest(range(1, m - q + 2)) AS j FROM (SELECT *, unnest(range(2, m)) AS q FROM c WHERE m > 2)) GROUP BY ALL),
+z AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN i ON b.lang = i.lang AND b.phrase = i.phrase WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT z.lang, rank, z.phrase, a, l, r, n, score FROM z JOIN n ON z.lang = n.lang WHERE rank <= 2000
+"""
+
+ORACLES["op11_collocations"] = _OP11_SQL

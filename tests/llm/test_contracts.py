@@ -36,10 +36,11 @@ def _types(frame):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, duck, name):
-    a = entry.queries()[name](spark, DATA).toPandas().astype(object)
-    b = duck.execute(entry.oracle_sql()[name]).df().astype(object)
-    rows = lambda d: sorted(map(repr, d[sorted(d.columns)].itertuples(index=False, name=None)))
-    assert sorted(a.columns) == sorted(b.columns) and rows(a) == rows(b)
+    frame, found = entry.queries()[name](spark, DATA), duck.execute(entry.oracle_sql()[name])
+    places = sorted(range(len(found.description)), key=lambda i: found.description[i][0])
+    columns = sorted(frame.columns)
+    assert columns == [found.description[i][0] for i in places]
+    assert sorted(repr(tuple(r[c] for c in columns)) for r in frame.collect()) == sorted(repr(tuple(r[i] for i in places)) for r in found.fetchall())
 
 
 def test_op3(spark, duck):
