@@ -189,18 +189,23 @@ def linear_warmup(step: Column, duration: int) -> Column:
     return F.least(F.lit(1.0), (step + 1) / F.lit(float(duration)))
 
 
-def adapted_weight(share: Column, weight: Column, rho: float, delta: float, default: float, late: Column) -> Column:
-    """Next loss weight from its share (%) of the gradient: back into rho +- delta, at most tenfold."""
+#: Shares and weights up to so much count as nothing; a divisor under the second leaves a weight as it is.
+NOTHING, NO_DIVISOR = 1e-6, 1e-9
+
+
+def weight_factor(share: Column, rho: float, delta: float) -> Column:
+    """What brings a weight's share (%) of the gradient back into rho +- delta, from a tenth to tenfold; 1 inside and for null."""
     low, high = rho - delta, rho + delta
     goal = F.when(share < low, F.lit(high)).otherwise(F.lit(low)) / 100
     p = share / 100
     change = goal * (1 - p) / F.nullif(p * (1 - goal), F.lit(0.0))
-    moved = F.least(F.greatest(weight * F.greatest(change, F.lit(0.1)), weight / 10), weight * 10)
-    return (
-        F.when((share < 1e-6) | late, F.lit(default))
-        .when(share.between(low, high) | (weight <= 1e-6) | (F.abs(p * (1 - goal)) < 1e-9), weight)
-        .otherwise(moved)
-    )
+    return F.when(share.isNull() | share.between(low, high) | (F.abs(p * (1 - goal)) < NO_DIVISOR), F.lit(1.0)).otherwise(F.least(F.greatest(change, F.lit(0.1)), F.lit(10.0)))
+
+
+def adapted_weight(share: Column, weight: Column, rho: float, delta: float, default: float, late: Column) -> Column:
+    """Next loss weight from its share (%) of the gradient: back into rho +- delta, at most tenfold."""
+    moved = weight * weight_factor(share, rho, delta)
+    return F.when((share < NOTHING) | late, F.lit(default)).when(weight <= NOTHING, weight).otherwise(moved)
 
 
 def rate(seconds: Column, zero) -> Column:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import maths
+from ..plans.runtime import free_name
 from . import ordered
 
 WINDOW = 20
@@ -119,3 +121,26 @@ def ema(series: DataFrame, decay: float, warmups: int, start: int = 0) -> DataFr
     far = lambda n: F.greatest(n - still, F.lit(0)).cast("double") * math.log(decay)
     later = F.col("end_log") + far(F.col("all")) - F.col("own_log") - far(F.col("n"))
     return rows.groupBy("name").agg(F.sum(F.col("value") * (1 - F.col("rate")) * F.exp(later)).alias("ema"))
+
+
+def controlled_weights(series: DataFrame, keys: list[str], step: str, share: str, late: str, rho: float, delta: float, default: float, start: float) -> DataFrame:
+    """``series`` with ``weight``: the loss weight after each step, worked out from the one before it.
+
+    Each step sets the weight to ``default`` (share nothing, or late), leaves it (share in rho +- delta, or the weight is
+    nothing by now) or multiplies it by a factor of the share alone. So a series falls apart at its resets, which forget
+    what came before; between them the weight is a running product, up to the first place where it comes to nothing and stays.
+    Resets, products and first places are running values over blocks: a long series is many tasks' work,
+    and no task folds it row by row. Steps must differ within a key; a null share leaves the weight alone.
+    """
+    names = [free_name(n, series.columns) for n in ("_place", "_run", "_product", "_end")]
+    place, run, product, end = names
+    reset = F.coalesce((F.col(share) < maths.NOTHING) | F.col(late), F.lit(False))
+    placed = ordered.running(ordered.numbered(series, keys, [F.col(step)], place), keys, place, {run: reset.cast("long")}, {run: "sum"})
+    factor = F.when(reset, F.lit(1.0)).otherwise(maths.weight_factor(F.col(share), rho, delta))
+    grown = ordered.running(placed, [*keys, run], place, {product: factor}, {product: "product"})
+    first = F.when(F.col(run) > 0, F.lit(float(default))).otherwise(F.lit(float(start)))
+    free = grown.withColumn(product, F.when(first <= maths.NOTHING, first).otherwise(first * F.col(product)))
+    spent = F.when(F.col(product) <= maths.NOTHING, F.struct(place, product))
+    ended = ordered.running(free, [*keys, run], place, {end: spent}, {end: "min"})
+    weight = F.coalesce(F.col(f"{end}.{product}"), F.col(product))
+    return ended.withColumn(free_name("weight", series.columns), weight).drop(*names)

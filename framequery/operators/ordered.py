@@ -43,11 +43,11 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], place: str = "
 
 
 def running(df: DataFrame, keys: list[str], place: str, values: dict[str, Column], combine: dict[str, str], before: bool = False) -> DataFrame:
-    """``df`` with running values by ``place``: each of ``values`` under its name, combined by sum, max or min.
+    """``df`` with running values by ``place``: each of ``values`` under its name, combined by sum, product, max or min.
 
     With ``before`` a row's own value is left out, and the first row of a key has null.
     """
-    two = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "max": F.greatest, "min": F.least}
+    two = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "product": lambda a, b: F.coalesce(a * b, a, b), "max": F.greatest, "min": F.least}
     block, earlier = free_name("_block", df.columns), {name: free_name(f"_before_{name}", df.columns) for name in values}
     ours = [free_name(f"_key{i}", df.columns) for i in range(len(keys))]
     blocked = df.withColumn(block, F.floor(F.col(place) / BLOCK))

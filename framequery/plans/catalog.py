@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import config_queries, detection_queries, picture_queries, text_queries, training_queries  # noqa: E402, F401
+from . import config_queries, detection_queries, picture_queries, stream_queries, text_queries, training_queries  # noqa: E402, F401

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from ..operators import augment, detect, frames, match, metrics
+from ..operators import augment, detect, frames, match, metrics, spatial
 from . import fixtures as X
 from .catalog import query
 
@@ -478,3 +478,28 @@ def augmented_boxes(spark, sf_dir):
 def mosaic_boxes(spark, sf_dir):
     out = augment.mosaic(_truths(spark, sf_dir), X.frames(spark, sf_dir), 9, 640, "frame_id")
     return out.select("frame_id", "det_id", "mosaic", "quarter", r6(F.col("x1"), "x1"), r6(F.col("y2"), "y2"))
+
+
+_CROWD_PAIRS = f"""WITH {X.CROWD_SQL}, p AS (SELECT a.frame_id, a.det_id AS a_det_id, b.det_id AS b_det_id, (a.x2 - a.x1) * (a.y2 - a.y1) AS s, (b.x2 - b.x1) * (b.y2 - b.y1) AS t,
+    (least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i, (greatest(a.x2, b.x2) - least(a.x1, b.x1)) * (greatest(a.y2, b.y2) - least(a.y1, b.y1)) AS o
+  FROM crowd a JOIN crowd b ON a.frame_id = b.frame_id AND a.det_id < b.det_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2)"""
+
+
+@query(f"{_CROWD_PAIRS} SELECT frame_id, a_det_id, b_det_id, round(i / (s + t - i), 6) AS iou, round(i / (s + t - i) - (o - (s + t - i)) / o, 6) AS giou FROM p")
+def crowd_pairs(spark, sf_dir):
+    """All pairs that overlap on crowded frames, by tiles."""
+    pairs = spatial.overlapping(X.crowd(spark, sf_dir))
+    iou, _, giou = spatial.overlap_figures(pairs)
+    return pairs.select("frame_id", "a_det_id", "b_det_id", r6(iou, "iou"), r6(giou, "giou"))
+
+
+@query(
+    f"""WITH {X.CROWD_SQL}, pt AS (SELECT o_orderkey AS point_id, o_custkey % 16 AS frame_id, CAST((o_orderkey * 37 + o_custkey * 11) % 20000 AS DOUBLE) AS x, CAST(o_orderkey * 91 % 20000 AS DOUBLE) AS y FROM orders)
+  SELECT point_id, det_id FROM pt JOIN crowd ON pt.frame_id = crowd.frame_id AND x BETWEEN x1 AND x2 AND y BETWEEN y1 AND y2"""
+)
+def points_in_crowd(spark, sf_dir):
+    """Many points against the boxes of crowded frames."""
+    o = X.table(spark, sf_dir, "orders")
+    place = lambda e: F.pmod(e, F.lit(20000)).cast("double")
+    points = o.select(F.col("o_orderkey").alias("point_id"), F.pmod("o_custkey", F.lit(16)).alias("frame_id"), place(F.col("o_orderkey") * 37 + F.col("o_custkey") * 11).alias("x"), place(F.col("o_orderkey") * 91).alias("y"))
+    return spatial.containing(points, X.crowd(spark, sf_dir)).select(F.col("p_point_id").alias("point_id"), F.col("b_det_id").alias("det_id"))

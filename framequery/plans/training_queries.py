@@ -310,3 +310,20 @@ def shuffled_batches(spark, sf_dir):
     rows = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     order = [frames.shuffled("o_orderkey", 3, 1), F.col("o_orderkey")]
     return frames.batch_numbers(rows, 128, 8, order, F.pmod("o_custkey", F.lit(8))).select("o_orderkey", "worker", "batch")
+
+
+_EPOCHS = f"""WITH RECURSIVE {X.METRICS_SQL}, e AS (SELECT name, step // 50 AS epoch, CASE WHEN step // 50 % 41 = 7 THEN 0::DOUBLE ELSE CAST(sum(exact) AS DOUBLE) / count(*) * 0.4::DOUBLE END AS share FROM metrics GROUP BY name, step // 50),
+  n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY epoch) AS nth, epoch % 60 = 59 AS late FROM e),
+  g AS (SELECT *, CASE WHEN share < 15 THEN 0.25::DOUBLE ELSE 0.15::DOUBLE END AS goal, share / 100 AS p FROM n),
+  r AS (SELECT name, 0::BIGINT AS nth, NULL::BIGINT AS epoch, 1::DOUBLE AS weight FROM (SELECT DISTINCT name FROM n)
+    UNION ALL SELECT g.name, g.nth, g.epoch, CASE WHEN share < 1e-6 OR late THEN 5::DOUBLE WHEN share BETWEEN 15 AND 25 OR weight <= 1e-6 OR abs(p * (1 - goal)) < 1e-9 THEN weight
+      ELSE least(greatest(weight * greatest(goal * (1 - p) / nullif(p * (1 - goal), 0), 0.1::DOUBLE), weight / 10), weight * 10) END FROM r JOIN g ON r.name = g.name AND g.nth = r.nth + 1)"""
+
+
+@query(f"{_EPOCHS} SELECT name, epoch, round(log10(weight), 6) AS log_weight FROM r WHERE nth > 0")
+def weight_controller(spark, sf_dir):
+    """The distillation weight through the epochs of each series: an epoch's weight is made of the one before it."""
+    epochs = X.metrics(spark, sf_dir).groupBy("name", F.floor(F.col("step") / 50).alias("epoch")).agg((F.sum("exact").cast("double") / F.count("*") * F.lit(0.4)).alias("mean"))
+    shares = epochs.select("name", "epoch", F.when(F.pmod("epoch", F.lit(41)) == 7, F.lit(0.0)).otherwise(F.col("mean")).alias("share"), (F.pmod("epoch", F.lit(60)) == 59).alias("late"))
+    weighted = metrics.controlled_weights(shares, ["name"], "epoch", "share", "late", rho=20.0, delta=5.0, default=5.0, start=1.0)
+    return weighted.select("name", "epoch", r6(F.log10("weight"), "log_weight"))

@@ -66,8 +66,9 @@ def running_totals(stream: DataFrame, seconds: list[str]) -> DataFrame:
 class Numbers:
     """Numbers of a stream's frames, counted on over micro-batches (from 1).
 
-    Each batch's count is kept as a file of its own under ``path`` (a shared folder), so a
-    batch that runs again gets the same numbers.
+    Each batch leaves the number of frames up to its end in a file of its own under ``path`` (a shared
+    folder): a batch reads the file of the one before, however long the stream has lived, and a batch that runs again
+    gets the same numbers.
     """
 
     def __init__(self, path: str, order: str):
@@ -75,7 +76,6 @@ class Numbers:
 
     def __call__(self, batch: DataFrame, number: int) -> DataFrame:
         spark, rows = batch.sparkSession, batch.count()
-        spark.createDataFrame([(number, rows)], "batch long, rows long").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
-        kept = spark.read.parquet(*[f"{self.path}/batch={k}" for k in range(number + 1)])
-        before = kept.where(F.col("batch") < number).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+        before = spark.read.schema("frames long").parquet(f"{self.path}/batch={number - 1}").first()[0] if number else 0
+        spark.range(1).select(F.lit(before + rows).alias("frames")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
         return ordered.numbered(batch, [], [F.col(self.order)], "number").withColumn("number", F.col("number") + before + 1)
