@@ -10,8 +10,9 @@ corpus. Strings never cross documents.
 2. Contexts. An anchor that occurs again sends the bytes of the strings it stands for,
    aligned at the anchor. Equal contexts are counted once. Contexts of one anchor meet
    in one partition.
-3. Merge. The contexts of a partition, those of exact copies included, are dealt into
-   shards. Each shard's BWT is built over the aligned contexts: for each column, the
+3. Merge. The contexts of a block, those of exact copies included, are dealt into two
+   shards or more, one after the other in turn, so that contexts of one anchor lie in different shards and meet
+   only in the merge. Each shard's BWT is built over the aligned contexts: for each column, the
    bytes before the sorted suffixes, and the order of the shard's rows. The shards are
    merged by refining their interleave column by column with stable bucket passes over
    the BWT bytes; suffixes are never sorted again, and rows are not moved. The passes
@@ -42,6 +43,7 @@ from ..plans.runtime import spill
 from .textbytes import PIECE, U64, mix64, row_groups, text_buffers
 
 GRAM = 32
+#: Contexts of a shard at most, and of a block, which ends with the anchor that fills it.
 SHARD, BLOCK = 8192, 32768
 _RNG = np.random.Generator(np.random.PCG64(2718))
 _VALUE = _RNG.integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
@@ -221,21 +223,32 @@ def merge_shards(shards: list[ShardBwt], length: int, width: int, weight: np.nda
     return low, high
 
 
+def shards_of(n: int) -> list[np.ndarray]:
+    """The contexts of each shard of a block of ``n``: dealt in turn, to two shards or more unless there is one context."""
+    k = max(2, -(-n // SHARD)) if n > 1 else 1
+    return [np.arange(i, n, k) for i in range(k)]
+
+
+def solve_block(rows: list[list], length: int) -> list[tuple[bytes, int, int]]:
+    """(context, back, ahead) of the contexts that hold a repeated string; rows: [context, before, bytes, n]."""
+    wide = length - GRAM
+    matrix = np.zeros((len(rows), wide + length), np.uint8)
+    first = np.array([wide - r[1] for r in rows])
+    last = first + np.array([len(r[2]) for r in rows]) - length
+    for i, r in enumerate(rows):
+        matrix[i, first[i] : first[i] + len(r[2])] = np.frombuffer(r[2], np.uint8)
+    dealt = shards_of(len(rows))
+    at = np.concatenate(dealt)
+    low, high = merge_shards([ShardBwt(matrix[d]) for d in dealt], length, wide + length, np.array([r[3] for r in rows])[at], first[at], last[at])
+    return [(rows[at[i]][0], int(wide - low[i]), int(high[i] + length - wide)) for i in np.flatnonzero(low >= 0)]
+
+
 def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     """(context, back, ahead): repeated strings reach from ``back`` before the anchor to ``ahead`` after it."""
-    wide = length - GRAM
 
     def solve(rows: list[list]) -> pa.RecordBatch:
-        """rows: [context, before, bytes, n] in order of anchors."""
-        matrix = np.zeros((len(rows), wide + length), np.uint8)
-        first = np.array([wide - r[1] for r in rows])
-        last = first + np.array([len(r[2]) for r in rows]) - length
-        for i, r in enumerate(rows):
-            matrix[i, first[i] : first[i] + len(r[2])] = np.frombuffer(r[2], np.uint8)
-        shards = [ShardBwt(matrix[i : i + SHARD]) for i in range(0, len(rows), SHARD)]
-        low, high = merge_shards(shards, length, wide + length, np.array([r[3] for r in rows]), first, last)
-        out = [(rows[i][0], int(wide - low[i]), int(high[i] + length - wide)) for i in np.flatnonzero(low >= 0)]
-        c = list(zip(*out, strict=True)) or [(), (), ()]
+        """rows in order of anchors."""
+        c = list(zip(*solve_block(rows, length), strict=True)) or [(), (), ()]
         return pa.RecordBatch.from_arrays([pa.array(c[0], pa.binary()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["context", "back", "ahead"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
