@@ -29,6 +29,24 @@ def score_filter(det: DataFrame, threshold: float, backend: str) -> DataFrame:
     return score_at_least(score_above(det, threshold) if backend in STRICT_BACKENDS else det, threshold)
 
 
+def kept_boxes(boxes: Column, threshold: float, backend: str, width: Column, height: Column, mode: str = "batch") -> Column:
+    """What ``score_filter`` and ``clip`` leave of a frame's array of boxes: (det_id, class_id, score, corners), det_id counted from 0.
+
+    For rows that keep their pixels: nothing is exploded or joined back.
+    """
+    score = lambda b: b["score"].cast("double") >= F.lit(float(threshold))
+    strict = lambda b: b["score"].cast("float") > F.lit(threshold).cast("float")
+    enough = (lambda b: strict(b) & score(b)) if backend in STRICT_BACKENDS else score
+
+    def clipped(b: Column) -> Column:
+        corners = G.clip_to_image(tuple(b[c] for c in ("x1", "y1", "x2", "y2")), width, height)
+        return F.struct(b["det_id"], b["class_id"], b["score"], *[c.alias(n) for c, n in zip(corners, ("x1", "y1", "x2", "y2"), strict=True)])
+
+    numbered = F.transform(boxes, lambda b, i: F.struct(i.alias("det_id"), *[b[c].alias(c) for c in ("class_id", "score", "x1", "y1", "x2", "y2")]))
+    inside = F.transform(F.filter(numbered, enough), clipped)
+    return F.filter(inside, lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"])) if mode == "batch" else inside
+
+
 def clip(det: DataFrame, width, height, mode: str = "batch") -> DataFrame:
     """Integer boxes within the image. Batch mode drops empty boxes; stream mode keeps them."""
     x1, y1, x2, y2 = G.clip_to_image(G.box(), width, height)

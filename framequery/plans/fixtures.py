@@ -7,12 +7,15 @@ queries and their reference SQL start from equal rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import images as images_of
+from ..sources import sinks
 from .runtime import delete_on_exit, shared_dir
 
 
@@ -92,11 +95,11 @@ def exact_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics(spark, sf_dir).withColumn("value", F.col("exact"))
 
 
-#: Small images, one per nation: a grey box on a dark ground.
-PICTURES_SQL = """pic AS (SELECT n_nationkey AS k, 'img' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS stem,
-  CASE WHEN n_nationkey % 2 = 0 THEN '.png' ELSE '.PNG' END AS suffix,
-  60 + n_nationkey AS width, 40 + n_nationkey % 7 AS height, 2 + n_nationkey % 5 AS x1, 24 + n_nationkey % 4 AS y1,
-  2 + n_nationkey % 5 + 6 + n_nationkey % 6 AS x2, 24 + n_nationkey % 4 + 5 + n_nationkey % 3 AS y2 FROM nation)"""
+#: Small images, one per supplier: a grey box on a dark ground.
+PICTURES_SQL = """pic AS (SELECT s_suppkey AS k, 'img' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS stem,
+  CASE WHEN s_suppkey % 2 = 0 THEN '.png' ELSE '.PNG' END AS suffix,
+  60 + s_suppkey % 25 AS width, 40 + s_suppkey % 7 AS height, 2 + s_suppkey % 5 AS x1, 24 + s_suppkey % 4 AS y1,
+  2 + s_suppkey % 5 + 6 + s_suppkey % 6 AS x2, 24 + s_suppkey % 4 + 5 + s_suppkey % 3 AS y2 FROM supplier)"""
 
 
 def put(spark: SparkSession, path: str, content: bytes) -> None:
@@ -108,14 +111,22 @@ def put(spark: SparkSession, path: str, content: bytes) -> None:
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> str:
-    """The folder of the nations' pictures, with one file that is broken and one that is no image."""
+    """The folder of the suppliers' pictures, with one file that is broken and one that is no image; executors make them."""
     folder = f"{shared_dir(spark).rstrip('/')}/pictures-{uuid.uuid4().hex}"
     delete_on_exit(spark, folder)
-    for (k,) in table(spark, sf_dir, "nation").select("n_nationkey").collect():  # 25 rows
-        img = np.full((40 + k % 7, 60 + k, 3), 10, np.uint8)
-        x, y = 2 + k % 5, 24 + k % 4
-        img[y : y + 5 + k % 3, x : x + 6 + k % 6] = 100
-        put(spark, f"{folder}/img{k:02d}{'.PNG' if k % 2 else '.png'}", images_of.encode_png(img))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, files = [], []
+            for k in batch.column(0).to_pylist():
+                img = np.full((40 + k % 7, 60 + k % 25, 3), 10, np.uint8)
+                x, y = 2 + k % 5, 24 + k % 4
+                img[y : y + 5 + k % 3, x : x + 6 + k % 6] = 100
+                names.append(f"img{k:09d}{'.PNG' if k % 2 else '.png'}")
+                files.append(images_of.encode_png(img))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(files, pa.binary())], names=["name", "content"])
+
+    sinks.write_files(table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(run, "name string, content binary"), folder)
     put(spark, f"{folder}/broken.png", b"nothing")
     put(spark, f"{folder}/notes.txt", b"no image")
     return folder

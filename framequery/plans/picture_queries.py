@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..functions import text as T
-from ..operators import detect, frames, metrics, scoring
+from ..operators import frames, metrics, scoring
 from ..sources import images, sinks
 from ..streaming import frames as stream
 from . import fixtures as X
@@ -32,6 +32,12 @@ def box_finder(**_):
     return run
 
 
+def stray_finder(**_):
+    """As ``box_finder``, and a box beyond the image's right border in place of the weak one."""
+    find = box_finder()
+    return lambda img: [*find(img)[:1], [3, 0.8, img.shape[1] + 4, 2, img.shape[1] + 9, 8]]
+
+
 def size_reader(**_):
     """Names the size of a crop; none of 9 wide."""
 
@@ -44,6 +50,7 @@ def size_reader(**_):
 
 
 scoring.register("detector", "box finder", f"{__name__}:box_finder")
+scoring.register("detector", "stray finder", f"{__name__}:stray_finder")
 scoring.register("recognizer", "size reader", f"{__name__}:size_reader")
 
 
@@ -85,14 +92,14 @@ _FOUND = """found AS (SELECT stem || suffix AS name, x1, y1, x2, y2, CASE x2 - x
   FROM (SELECT stem, suffix, x1, y1, x2 + 1 AS x2, y2 + 1 AS y2 FROM (SELECT stem, suffix, CAST(trunc(x1 - 0.5) AS INT) AS x1, CAST(trunc(y1 - 0.5) AS INT) AS y1, CAST(trunc(x2 - 0.5) AS INT) AS x2, CAST(trunc(y2 - 0.5) AS INT) AS y2 FROM pic)))"""
 
 
+def _read(decoded: DataFrame, detector: str = "box finder", mode: str = "batch") -> DataFrame:
+    """Frames to texts in one pass; pixels stay in their rows."""
+    return scoring.read_frames(decoded.where("error IS NULL").drop("error"), detector, "size reader", mode=mode)
+
+
 def read_frames(decoded: DataFrame) -> DataFrame:
-    """Frames to texts: score, filter, clip, crop, recognize."""
-    good = decoded.where("error IS NULL").drop("error")
-    found = scoring.detections(scoring.score_frames(good, "box finder"))
-    sized = detect.score_filter(found, 0.5, "onnx").join(good.select("origin", "width", "height"), "origin")
-    boxes = detect.clip(sized, F.col("width"), F.col("height"))
-    texts = scoring.recognize(scoring.crop_boxes(good, boxes), "size reader").select("origin", "det_id", "text")
-    return boxes.join(texts, ["origin", "det_id"])
+    """A row per text: score, filter, clip, crop, recognize."""
+    return scoring.texts(_read(decoded))
 
 
 @query(f"{_P}, {_FOUND} SELECT * FROM found")
@@ -100,10 +107,17 @@ def image_texts(spark, sf_dir):
     return read_frames(_decoded(spark, sf_dir)).select(_name("origin"), "x1", "y1", "x2", "y2", "text")
 
 
+@query(f"{_P}, {_FOUND} SELECT name, 0 AS det_id, text FROM found UNION ALL SELECT name, 1, 'empty_crop' FROM found")
+def empty_crops(spark, sf_dir):
+    """A stream's frames keep boxes that lie outside the image: their crops are empty and say so."""
+    read = scoring.texts(_read(_decoded(spark, sf_dir), "stray finder", "stream"))
+    return read.select(_name("origin"), "det_id", "text")
+
+
 @query(f"{_P}, {_FOUND} SELECT *, true AS stamped FROM found")
 def image_stream(spark, sf_dir):
     out, again = _folder(spark, "texts"), _folder(spark, "progress")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 9).drop("length")
+    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -113,11 +127,11 @@ def image_stream(spark, sf_dir):
     return read.select(_name("origin"), "x1", "y1", "x2", "y2", "text", F.col("event_time").isNotNull().alias("stamped"))
 
 
-@query(f"{_P} SELECT count(*) AS frames, 25 AS detections, 9::BIGINT AS saved, 1 AS failed FROM pic")
+@query(f"{_P} SELECT count(*) AS frames, CAST(count(*) AS INT) AS detections, least(count(*), 10) - 1 AS saved, 1 AS failed FROM pic")
 def stream_totals(spark, sf_dir):
     """Running counts of a stream, its numbered frames, and a sink that may fail, flushed at the end."""
     out, again, counts = _folder(spark, "totals"), _folder(spark, "progress"), stream.Numbers(_folder(spark, "numbers"), "origin")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 9).drop("length")
+    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
     told: list[int] = []
 
     def count(decoded: DataFrame) -> DataFrame:
@@ -144,9 +158,9 @@ def stream_totals(spark, sf_dir):
 def stream_counters(spark, sf_dir):
     """Counters of a stream's whole life, kept by Spark's state and written anew after each batch."""
     out = _folder(spark, "counters")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 9).drop("length")
+    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
     decoded = images.decode_images(files).where("error IS NULL")
-    k = F.substring(T.base_name(F.col("origin")), 4, 2).cast("int")
+    k = F.substring(T.base_name(F.col("origin")), 4, 9).cast("int")
     counted = stream.running_totals(decoded.select((2 + F.pmod(k, F.lit(3))).cast("long").alias("det_count"), (F.col("width").cast("double") / 64).alias("det_s")), ["det_s"])
 
     def write(batch: DataFrame, number: int) -> None:
@@ -159,19 +173,38 @@ def stream_counters(spark, sf_dir):
 
 @query(f"{_P} SELECT stem || '.png' AS name, height, width, '00FF00' AS corner, '0A0A0A' AS ground FROM pic")
 def annotated_frames(spark, sf_dir):
-    good = _decoded(spark, sf_dir).where("error IS NULL").drop("error")
     out = _folder(spark, "annotated")
-    results = read_frames(_decoded(spark, sf_dir))
-    results = results.withColumn("origin", T.base_name(F.col("origin")))
-    good = good.withColumn("origin", T.base_name(F.col("origin")))
-    sinks.write_files(sinks.annotated(good, results), out)
+    sinks.write_files(sinks.annotated_rows(_read(_decoded(spark, sf_dir))), out)
     back = images.decode_images(images.image_files(spark, out, with_content=True))
-    k = F.substring(_name("origin"), 4, 2).cast("int")
+    k = F.substring(_name("origin"), 4, 9).cast("int")
     x, y = 2 + F.pmod(k, F.lit(5)), 24 + F.pmod(k, F.lit(4))
     pixel = lambda px, py: F.hex(F.substring("data", (3 * (py * F.col("width") + px) + 1).cast("int"), F.lit(3)))
     return back.select(_name("origin"), "height", "width", pixel(x - 1, y).alias("corner"), pixel(F.lit(0), F.col("height") - 1).alias("ground"))
 
 
+@query(f"{_P} SELECT stem || '.png' AS name, true AS drawn, 1 AS failed FROM pic")
+def annotated_stream(spark, sf_dir):
+    """Annotated frames as a stream's own sink, beside one that fails: the results are written all the same."""
+    out, drawn = _folder(spark, "texts"), _folder(spark, "drawn")
+    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
+    told: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        scoring.texts(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def draw(batch: DataFrame, number: int) -> None:
+        sinks.write_files(sinks.annotated_rows(batch), drawn)
+
+    def broken(batch: DataFrame, number: int) -> None:
+        raise OSError("no display")
+
+    started = stream.run(images.decode_images(files), _read, [write], _folder(spark, "progress"), once=True, optional=[draw, broken], failed=lambda n, e: told.append(n))
+    stream.finish(started, lambda: None)
+    texts = spark.read.parquet(out).select(F.regexp_replace(T.base_name(F.col("origin")), r"\.(png|PNG)$", ".png").alias("name")).distinct()
+    found = images.collect_images(spark, drawn).select(_name("path"), F.lit(True).alias("drawn"))
+    return texts.join(found, "name", "left").select("name", F.coalesce("drawn", F.lit(False)).alias("drawn"), F.lit(int(bool(told))).alias("failed"))
+
+
 @query(
     f"""{_P}, lb AS (SELECT *, least(64.0::DOUBLE / width, 64.0::DOUBLE / height) AS ratio FROM pic)
   SELECT stem || suffix AS name, 4096 - CAST(trunc(width * ratio) AS INT) * CAST(trunc(height * ratio) AS INT) AS padding, round(114 / 255.0::DOUBLE, 6) AS largest,
@@ -202,7 +235,7 @@ def quarantined(spark, sf_dir):
     return bad.select(_name("origin"), "error")
 
 
-@query(f"{_P} SELECT count(*) AS frames, 50 AS detections, CAST(sum(width) AS DOUBLE) / 64 AS det_s, round(count(*) / (CAST(sum(width) AS DOUBLE) / 64), 9) AS det_s_rate FROM pic")
+@query(f"{_P} SELECT count(*) AS frames, CAST(2 * count(*) AS INT) AS detections, CAST(sum(width) AS DOUBLE) / 64 AS det_s, round(count(*) / (CAST(sum(width) AS DOUBLE) / 64), 9) AS det_s_rate FROM pic")
 def run_report(spark, sf_dir):
     out = _folder(spark, "report")
     per = _decoded(spark, sf_dir).where("error IS NULL").select((F.col("width").cast("double") / 64).alias("det_s"), F.lit(2).alias("det_count"))

@@ -43,19 +43,24 @@ def annotated(frames: DataFrame, results: DataFrame, fallback: str = "text") ->
 
     ``results``: origin, x1..y2 and text; where recognition failed, ``fallback`` is the label.
     """
-    label = F.when(succeeded(F.col("text")), F.col("text")).otherwise(F.lit(fallback)).alias("text")
-    lists = results.groupBy(F.col("origin").alias("_origin")).agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2", label))).alias("boxes"))
-    joined = frames.select("origin", "height", "width", "nChannels", "data").join(lists, F.col("origin") == F.col("_origin"), "left").drop("_origin")
+    lists = results.groupBy(F.col("origin").alias("_origin")).agg(F.array_sort(F.collect_list(F.struct("x1", "y1", "x2", "y2", "text"))).alias("results"))
+    return annotated_rows(frames.join(lists, F.col("origin") == F.col("_origin"), "left"), fallback)
+
+
+def annotated_rows(read: DataFrame, fallback: str = "text") -> DataFrame:
+    """As ``annotated``, of frames that have their results as an array in the same row: no join, pixels stay where they are."""
+    label = lambda b: F.when(succeeded(b["text"]), b["text"]).otherwise(F.lit(fallback)).alias("text")
+    boxes = F.array_sort(F.transform("results", lambda b: F.struct(*[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")], label(b))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                origin, h, w, c, data, boxes = (batch.column(i)[row].as_py() for i in range(6))
-                img = pixels.annotate(pixels.image(data, h, w, c), [tuple(b.values()) for b in boxes or ()])
+                origin, h, w, c, data, found = (batch.column(i)[row].as_py() for i in range(6))
+                img = pixels.annotate(pixels.image(data, h, w, c), [tuple(b.values()) for b in found or ()])
                 name = posixpath.splitext(posixpath.basename(origin))[0] + ".png"
                 yield pa.RecordBatch.from_arrays([pa.array([origin]), pa.array([name]), pa.array([images.encode_png(img)], pa.binary())], names=["origin", "name", "content"])
 
-    return joined.mapInArrow(run, "origin string, name string, content binary")
+    return read.select("origin", "height", "width", "nChannels", "data", boxes.alias("boxes")).mapInArrow(run, "origin string, name string, content binary")
 
 
 def write_files(files: DataFrame, uri: str) -> int:
