@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from ..operators import augment, detect, frames, match, metrics, spatial
+from ..operators import augment, detect, frames, match, metrics, sampling, spatial
 from . import fixtures as X
 from .catalog import query
 
@@ -503,3 +503,77 @@ def points_in_crowd(spark, sf_dir):
     place = lambda e: F.pmod(e, F.lit(20000)).cast("double")
     points = o.select(F.col("o_orderkey").alias("point_id"), F.pmod("o_custkey", F.lit(16)).alias("frame_id"), place(F.col("o_orderkey") * 37 + F.col("o_custkey") * 11).alias("x"), place(F.col("o_orderkey") * 91).alias("y"))
     return spatial.containing(points, X.crowd(spark, sf_dir)).select(F.col("p_point_id").alias("point_id"), F.col("b_det_id").alias("det_id"))
+
+
+_PLACES = """pl AS (SELECT l_orderkey AS query_id, l_linenumber AS point, l_partkey % 500 AS map, ((l_linenumber * 37 + l_suppkey * 7) % 120)::DOUBLE / 100 - 0.1::DOUBLE AS x, ((l_partkey * 13 + l_linenumber * 29) % 120)::DOUBLE / 100 - 0.1::DOUBLE AS y, l_quantity / 50 AS weight FROM lineitem),
+  px AS (SELECT vec_id AS map, (i - 1) // 8 AS y, (i - 1) % 8 AS x, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))"""
+
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda e: F.pmod(e, F.lit(120)).cast("double") / 100 - 0.1
+    line = X.table(spark, sf_dir, "lineitem")
+    n, p, s = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    return line.select(F.col("l_orderkey").alias("query_id"), n.alias("point"), F.pmod(p, F.lit(500)).alias("map"), part(n * 37 + s * 7).alias("x"), part(p * 13 + n * 29).alias("y"), (F.col("l_quantity") / 50).alias("weight"))
+
+
+@query(
+    f"""WITH {_PLACES}, t AS (SELECT query_id, map, weight, floor(x * 8 - 0.5) + dx AS tx, floor(y * 8 - 0.5) + dy AS ty,
+    CASE WHEN dx = 0 THEN 1 - (x * 8 - 0.5 - floor(x * 8 - 0.5)) ELSE x * 8 - 0.5 - floor(x * 8 - 0.5) END * CASE WHEN dy = 0 THEN 1 - (y * 8 - 0.5 - floor(y * 8 - 0.5)) ELSE y * 8 - 0.5 - floor(y * 8 - 0.5) END AS share
+    FROM pl, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) d(dx, dy))
+  SELECT query_id, round(coalesce(sum(weight * share * value), 0), 6) AS value FROM t LEFT JOIN px ON t.map = px.map AND tx = px.x AND ty = px.y GROUP BY query_id"""
+)
+def deformable_sampling(spark, sf_dir):
+    """Attention over sampled places: the embeddings as maps of 8 x 8, sampled between their pixels."""
+    pixels = sampling.as_pixels(X.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    out = sampling.sampled(_places(spark, sf_dir), pixels, ["query_id"], 8, 8, weight="weight")
+    return out.select("query_id", r6(F.col("value"), "value"))
+
+
+@query(
+    f"""WITH {_PLACES} SELECT query_id, point, round(coalesce(sum(value), 0), 6) AS value
+  FROM pl LEFT JOIN px ON pl.map = px.map AND px.x = least(greatest(CAST(trunc(pl.x * 8 + 0.5) AS INT), 0), 7) AND px.y = least(greatest(CAST(trunc(pl.y * 8 + 0.5) AS INT), 0), 7) GROUP BY query_id, point"""
+)
+def discrete_sampling(spark, sf_dir):
+    pixels = sampling.as_pixels(X.table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8)
+    out = sampling.sampled(_places(spark, sf_dir), pixels, ["query_id", "point"], 8, 8, "discrete")
+    return out.select("query_id", "point", r6(F.col("value"), "value"))
+
+
+def _drawn_trial(name: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('9:{name}:' || frame_id || ':' || t), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"
+
+
+@query(
+    f"""{_D}, i AS (SELECT frame_id, CASE WHEN {_drawn("crop")} < 0.8 THEN [0, 0.1, 0.3, 0.5, 0.7, 0.9, 1.0][CAST(floor({_drawn("overlap")} * 7) AS INT) + 1]::DOUBLE ELSE 1 END AS least FROM det GROUP BY frame_id),
+  s AS (SELECT *, CAST(floor({_W} * (0.3::DOUBLE + 0.7::DOUBLE * {_drawn_trial("crop-w")})) AS INT) AS w, CAST(floor({_H} * (0.3::DOUBLE + 0.7::DOUBLE * {_drawn_trial("crop-h")})) AS INT) AS h FROM i, range(40) r(t) WHERE least < 1),
+  c AS (SELECT *, CAST(floor(({_W} - w) * {_drawn_trial("crop-x")}) AS INT) AS l, CAST(floor(({_H} - h) * {_drawn_trial("crop-y")}) AS INT) AS o FROM s WHERE w::DOUBLE / h BETWEEN 0.5 AND 2),
+  b AS (SELECT c.frame_id, t, c.w, h, l, o, least, greatest(least(x2, l + c.w) - greatest(x1, l), 0) * greatest(least(y2, o + h) - greatest(y1, o), 0) AS inter, (x2 - x1) * (y2 - y1) AS area
+    FROM c JOIN det ON c.frame_id = det.frame_id WHERE (x1 + x2) / 2 > l AND (x1 + x2) / 2 < l + c.w AND (y1 + y2) / 2 > o AND (y1 + y2) / 2 < o + h),
+  f AS (SELECT DISTINCT ON (frame_id) frame_id, t, w, h, l, o FROM b WHERE coalesce(inter / nullif(area + w * h - inter, 0), 0) >= least ORDER BY frame_id, t)
+  SELECT det.frame_id, det_id, CAST(coalesce(t, -1) AS INT) AS trial, coalesce(w, {_W}) AS width, round(CASE WHEN t IS NULL THEN x1 ELSE least(greatest(x1, l), l + w) - l END, 6) AS x1, round(CASE WHEN t IS NULL THEN y2 ELSE least(greatest(y2, o), o + h) - o END, 6) AS y2
+  FROM det LEFT JOIN f ON det.frame_id = f.frame_id WHERE t IS NULL OR ((x1 + x2) / 2 > l AND (x1 + x2) / 2 < l + w AND (y1 + y2) / 2 > o AND (y1 + y2) / 2 < o + h)"""
+)
+def cropped_boxes(spark, sf_dir):
+    """Random windows that a box overlaps enough; trial is -1 for images left alone."""
+    out = augment.overlap_cropped(_truths(spark, sf_dir), 9, "frame_id")
+    return out.select("frame_id", "det_id", F.coalesce("trial", F.lit(-1)).alias("trial"), "width", r6(F.col("x1"), "x1"), r6(F.col("y2"), "y2"))
+
+
+def _turn(p: str) -> str:
+    """SQL of one walk of ``augment.Permutation`` with seed 9, digits of radix a and b."""
+    h = lambda turn, d: f"CAST('0x' || substr(md5('9:{turn}:' || {d}), 1, 8) AS BIGINT)"
+    return f"""(SELECT l2 * b + (r1 + {h(3, 'l2')}) % b FROM (SELECT (l1 + {h(2, 'r1')}) % a AS l2, r1 FROM (SELECT l1, (r0 + {h(1, 'l1')}) % b AS r1 FROM (SELECT (l0 + {h(0, 'r0')}) % a AS l1, r0 FROM (SELECT {p} // b AS l0, {p} % b AS r0)))))"""
+
+
+@query(
+    f"""WITH RECURSIVE {X.DETECTIONS_SQL}, p AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS place, count(*) OVER () AS n FROM orders),
+  ab AS (SELECT b, (n + b - 1) // b AS a FROM (SELECT max(n) AS n, CAST(floor(sqrt(max(n))) AS BIGINT) AS root FROM p), range(64) r(d), LATERAL (SELECT root + d AS b) ORDER BY (n + b - 1) // b * b, b LIMIT 1),
+  w AS (SELECT id, n, a, b, {_turn("place")} AS v FROM p, ab UNION ALL SELECT id, n, a, b, {_turn("v")} FROM w WHERE v >= n),
+  q AS (SELECT id, n, v FROM w WHERE v < n),
+  m AS (SELECT x.id AS base, y.id AS partner, 0.45::DOUBLE + 0.1::DOUBLE * (CAST(CAST('0x' || substr(md5('9:blend:' || x.id), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496) AS share FROM q x JOIN q y ON (x.v + 1) % x.n = y.v),
+  e AS (SELECT base, base AS id, share AS weight FROM m UNION ALL SELECT base, partner, 1 - share FROM m)
+  SELECT base, frame_id, det_id, round(weight, 9) AS weight FROM e JOIN det ON e.id = det.frame_id"""
+)
+def mixup_boxes(spark, sf_dir):
+    out = augment.mixed_up(_truths(spark, sf_dir), X.frames(spark, sf_dir), 9, "frame_id")
+    return out.select("base", "frame_id", "det_id", F.round("weight", 9).alias("weight"))
