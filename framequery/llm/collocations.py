@@ -30,9 +30,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ordered
 from ..plans.runtime import spill
 from .textbytes import U64, mix64, row_groups, text_buffers
 from .wordspans import Words
@@ -349,7 +350,7 @@ def collocations(docs: DataFrame, support: int = 30, most: int = 4, top: int = 2
     kept = best.join(inside, ["lang", "phrase"], "left")
     wide = lambda c, by: F.col(c).cast("decimal(19,0)") * F.lit(by).cast("decimal(9,0)")
     kept = kept.where(F.col("longer").isNull() | (wide("longer", 100) < wide("a", share)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    flat = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    ranked = flat.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
+    # a language's phrases are ranked by ranges of their scores, so that one language is many tasks' work
+    ranked = ordered.numbered(kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score"), ["lang"], [F.desc("score"), F.desc("a"), F.asc("phrase")], "place")
+    ranked = ranked.where(F.col("place") < top).withColumn("rank", F.col("place") + 1)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
