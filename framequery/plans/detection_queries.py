@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -331,6 +331,33 @@ def repeated_match(spark, sf_dir):
     return match.hungarian(costs(spark, sf_dir), rounds=3).withColumn("cost", F.round("cost", 5))
 
 
+def _round_sql(k: int) -> str:
+    """SQL of round ``k`` of repeated matching: as ``hungarian_match``, over costs in which pairs of earlier rounds are dear."""
+    before = " UNION ALL ".join(f"SELECT frame_id, a, b FROM pairs{i}" for i in range(k)) or "SELECT frame_id, a_det_id AS a, b_det_id AS b FROM c WHERE false"
+    return f"""
+  c{k} AS (SELECT c.frame_id, a_det_id, b_det_id, CASE WHEN t.a IS NULL THEN cost ELSE 1e6::DOUBLE END AS cost FROM c LEFT JOIN (SELECT DISTINCT * FROM ({before})) t ON c.frame_id = t.frame_id AND a_det_id = t.a AND b_det_id = t.b),
+  r{k} AS (SELECT *, dense_rank() OVER (PARTITION BY frame_id ORDER BY a_det_id) - 1 AS i, dense_rank() OVER (PARTITION BY frame_id ORDER BY b_det_id) - 1 AS j FROM c{k}),
+  z{k} AS (SELECT frame_id, max(i) <= max(j) AS rows_first, least(max(i), max(j)) + 1 AS k FROM r{k} GROUP BY frame_id),
+  e{k} AS (SELECT r.frame_id, CASE WHEN rows_first THEN i ELSE j END AS own, CASE WHEN rows_first THEN j ELSE i END AS taken, a_det_id, b_det_id, cost FROM r{k} r JOIN z{k} z ON r.frame_id = z.frame_id),
+  s{k} AS (SELECT frame_id, 0::BIGINT AS i, 0::BIGINT AS mask, 0.0::DOUBLE AS total, []::STRUCT(a BIGINT, b BIGINT, cost DOUBLE)[] AS path FROM z{k}
+    UNION ALL
+    SELECT s.frame_id, s.i + 1, s.mask | (1::BIGINT << e.taken), min(s.total + e.cost), arg_min(list_append(s.path, {{'a': e.a_det_id, 'b': e.b_det_id, 'cost': e.cost}}), s.total + e.cost)
+    FROM s{k} s JOIN e{k} e ON s.frame_id = e.frame_id AND e.own = s.i WHERE s.mask & (1::BIGINT << e.taken) = 0 GROUP BY s.frame_id, s.i + 1, s.mask | (1::BIGINT << e.taken)),
+  pairs{k} AS (SELECT frame_id, p.a AS a, p.b AS b, p.cost AS cost FROM (SELECT s.frame_id, unnest(arg_min(path, total)) AS p FROM s{k} s JOIN z{k} z ON s.frame_id = z.frame_id AND s.i = z.k GROUP BY s.frame_id))"""
+
+
+@query(
+    f"WITH RECURSIVE {X.DETECTIONS_SQL}, {_COSTS}, {','.join(map(_round_sql, range(3)))} "
+    + " UNION ALL ".join(f"SELECT frame_id, {k}::BIGINT AS round, count(*) AS pairs, round(sum(cost), 4) AS total FROM pairs{k} GROUP BY frame_id" for k in range(3))
+)
+def repeated_match_totals(spark, sf_dir):
+    """What each round of repeated matching costs, a pair of an earlier round counting 1e6: the least there is, whichever of equal choices was made."""
+    found = match.hungarian(costs(spark, sf_dir), rounds=3)
+    first = F.min("round").over(Window.partitionBy("frame_id", "a_det_id", "b_det_id"))
+    paid = found.withColumn("paid", F.when(first < F.col("round"), F.lit(1e6)).otherwise(F.coalesce("cost", F.lit(1.0))))
+    return paid.groupBy("frame_id", "round").agg(F.count("*").alias("pairs"), F.round(F.sum("paid"), 4).alias("total"))
+
+
 _OVER = "greatest(least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1), 0) * greatest(least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1), 0)"
 
 

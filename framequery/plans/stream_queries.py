@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import topics
+from ..sources import event_files, topics
 from ..streaming import frames as stream
-from ..streaming import sessions
+from ..streaming import progress, sessions
 from . import fixtures as X
 from .catalog import query
 from .runtime import delete_on_exit, shared_dir
@@ -93,3 +93,43 @@ def session_frames(spark, sf_dir):
 def session_ends(spark, sf_dir):
     """The totals that a session's timer sends when it has been silent for 200 days."""
     return _sessions(spark, sf_dir).where("kind = 'end'").select(F.col("session").alias("customer"), "frames", "detections", "det_us", "first_us", "last_us")
+
+
+@query(
+    f"""WITH e AS (SELECT epoch_us(ts) AS at_us FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL), t AS (SELECT (at_us - (SELECT min(at_us) FROM e)) // {10 * _DAY} AS step FROM e)
+  SELECT 'whole' AS run, count(*) AS frames, count(DISTINCT step) AS batches, true AS timed, false AS failed FROM t UNION ALL SELECT 'broken', count(*) FILTER (WHERE step = 0), 1, true, true FROM t"""
+)
+def listened_totals(spark, sf_dir):
+    """A run's totals as Spark's progress tells them: of a stream that ends well, and of one whose sink fails in its second batch."""
+    e = X.table(spark, sf_dir, "events")
+    log = _folder(spark, "topics")
+    topics.write_log(e.select(_us("ts").alias(topics.STAMP), F.col("event_type").alias("topic"), "event_id"), log, "topic", "event_id")
+    last = spark.read.parquet(log).agg(F.max(topics.STAMP)).first()[0] + 1
+    told: list[tuple] = []
+
+    def breaks(batch: DataFrame, number: int) -> None:
+        if number == 1:
+            raise OSError("no room")
+
+    for run, sinks in (("whole", [_keep(_folder(spark, "taken"))]), ("broken", [_keep(_folder(spark, "taken")), breaks])):
+        name = f"{run}-{uuid.uuid4().hex}"
+        listener = progress.watch(spark, name, lambda t, run=run: told.append((run, t.rows, t.batches, t.milliseconds.get("triggerExecution", 0) > 0, t.error is not None)))
+        live = topics.open_topics(spark, log, "topic", "event_id", every=10 * _DAY, queue=0, group=run)
+        started = stream.run(live, lambda batch: batch, sinks, _folder(spark, "progress"), name=name)
+        try:
+            topics.drain(started, last)
+        except Exception as error:
+            if run == "whole" or "no room" not in str(error):
+                raise
+        progress.settle(spark, listener)
+    return spark.createDataFrame(told, "run string, frames long, batches long, timed boolean, failed boolean")  # two rows
+
+
+@query(f"WITH {X.METRICS_SQL} SELECT name AS tag, step, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM metrics WHERE step % 10 = 0")
+def event_file_scalars(spark, sf_dir):
+    """The training log's scalars through event files: written by tasks, committed by the driver, read back with all checksums tried."""
+    from ..operators import metrics
+
+    out = _folder(spark, "event-files")
+    event_files.write_events(metrics.scalars(X.metrics(spark, sf_dir)).select(F.col("name").alias("tag"), "step", "value"), out)
+    return event_files.read_events(spark, out).select("tag", "step", F.col("value").cast("double").alias("value"))

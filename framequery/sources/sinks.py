@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import images, pixels
 from ..functions.text import succeeded
+from .stores import store
 
 
 def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
@@ -70,16 +71,14 @@ def write_files(files: DataFrame, uri: str) -> int:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(uri)
-        store.create_dir(root, recursive=True)
+        system, root = store(uri)
+        system.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = f"{root}/.{name}-{uuid.uuid4().hex}"
-                with store.open_output_stream(part) as out:
+                with system.open_output_stream(part) as out:
                     out.write(content)
-                store.move(part, f"{root}/{name}")
+                system.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return files.select("name", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.streaming import StreamingQuery
 
+from .stores import store
+
 #: Times of messages, in microseconds, and the flag of a dropped message.
 STAMP, DROPPED = "at_us", "dropped"
 
@@ -82,10 +84,6 @@ class Topics(DataSource):
         return TopicsReader({**self.options}, schema)
 
 
-def _system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class TopicsReader(DataSourceStreamReader):
     def __init__(self, options: dict[str, str], schema):
         whole = lambda k: int(options[k])
@@ -111,19 +109,19 @@ class TopicsReader(DataSourceStreamReader):
         return [Step(start["at"], end["at"], part) for part in range(self.tasks)]
 
     def commit(self, end: dict) -> None:
-        system, path = _system(self.path)
+        system, path = store(self.path)
         with system.open_output_stream(f"{path}/{self.position}") as out:
             out.write(json.dumps(end).encode())
 
     def _kept(self) -> int:
-        system, path = _system(self.path)
+        system, path = store(self.path)
         if system.get_file_info(f"{path}/{self.position}").type == fs.FileType.NotFound:
             return self.first
         with system.open_input_stream(f"{path}/{self.position}") as kept:
             return json.loads(kept.read())["at"]
 
     def read(self, partition: Step) -> Iterator[pa.RecordBatch]:
-        system, path = _system(self.path)
+        system, path = store(self.path)
         stamp = ds.field(STAMP)
         log = ds.dataset(path, filesystem=system, format="parquet")
         columns = [c for c in self.names if c != DROPPED]

@@ -19,6 +19,7 @@ def run(
     once: bool = False,
     optional: list[Callable[[DataFrame, int], None]] | None = None,
     failed: Callable[[int, Exception], None] | None = None,
+    name: str | None = None,
 ) -> StreamingQuery:
     """Each micro-batch goes once through ``transform`` and then to every sink.
 
@@ -47,6 +48,7 @@ def run(
             raise error
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
