@@ -53,10 +53,9 @@ def det_clip_stream(spark, sf_dir):
     return detect.clip(detect.score_at_least(X.detections(spark, sf_dir), 0.5), _W, _H, mode="stream")
 
 
-@query(_D + " SELECT frame_id, det_id FROM det WHERE x2 - x1 >= 1 AND y2 - y1 >= 60")
+@query(_D + " SELECT frame_id, det_id FROM det WHERE x2 - x1 >= 60 AND y2 - y1 >= 60")
 def sanitize_boxes(spark, sf_dir):
-    det = detect.sanitize(X.detections(spark, sf_dir), 1.0)
-    return det.where("y2 - y1 >= 60").select("frame_id", "det_id")
+    return detect.sanitize(X.detections(spark, sf_dir), 60.0).select("frame_id", "det_id")
 
 
 @query(_D + " SELECT frame_id, det_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY score DESC, det_id) AS INT) AS rank FROM det) WHERE rank <= 3")
@@ -235,16 +234,16 @@ _KNOTS = """(SELECT list_concat(list_concat(list_concat([-4.0::DOUBLE], list_tra
 
 
 @query(
-    f"""{_D}, k AS (SELECT frame_id, det_id, x1 / 50 AS v, {_KNOTS} AS knots FROM det),
+    f"""{_D}, k AS (SELECT frame_id, det_id, CAST(edge - 1 AS INT) AS edge, ([x1, y1, x2, y2])[edge] / 50 AS v, {_KNOTS} AS knots FROM det, range(1, 5) e(edge)),
   b AS (SELECT *, len(list_filter(knots, lambda p: p <= v)) - 1 AS i FROM k)
-  SELECT frame_id, det_id, CASE WHEN i < 0 THEN 0.0 WHEN i >= 32 THEN 31.9 ELSE CAST(i AS DOUBLE) END AS bin,
+  SELECT frame_id, det_id, edge, CASE WHEN i < 0 THEN 0.0 WHEN i >= 32 THEN 31.9 ELSE CAST(i AS DOUBLE) END AS bin,
   round(CASE WHEN i < 0 THEN 0.0 WHEN i >= 32 THEN 1.0 ELSE abs(v - knots[i + 1]) / (abs(v - knots[i + 1]) + abs(knots[i + 2] - v)) END, 6) AS weight_right,
   round(CASE WHEN i < 0 THEN 1.0 WHEN i >= 32 THEN 0.0 ELSE 1 - abs(v - knots[i + 1]) / (abs(v - knots[i + 1]) + abs(knots[i + 2] - v)) END, 6) AS weight_left FROM b"""
 )
 def knot_binning(spark, sf_dir):
-    det = X.detections(spark, sf_dir).withColumn("v", F.col("x1") / 50)
+    edges = X.detections(spark, sf_dir).select("frame_id", "det_id", F.posexplode(F.array(*G.box())).alias("edge", "v")).withColumn("v", F.col("v") / 50)
     k, right, left = G.bin_of(F.col("v"), G.knots(32, 0.5, 4.0))
-    return det.select("frame_id", "det_id", k.alias("bin"), r6(right, "weight_right"), r6(left, "weight_left"))
+    return edges.select("frame_id", "det_id", "edge", k.alias("bin"), r6(right, "weight_right"), r6(left, "weight_left"))
 
 
 @query(

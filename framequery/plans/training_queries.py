@@ -60,10 +60,11 @@ def gathered_values(spark, sf_dir):
     return per.groupBy("name").agg(F.array_join(texts, " ").alias("gathered"))
 
 
-@query(f"{_M} SELECT name, coalesce(round(avg(exact) FILTER (WHERE step % 7 = 0 AND step < 50), 6), 0) AS share FROM metrics GROUP BY name")
+@query(f"{_M} SELECT name, step // 50 AS epoch, coalesce(round(avg(exact) FILTER (WHERE user_id % 3 > 0), 6), 0) AS share FROM metrics GROUP BY name, step // 50")
 def epoch_share(spark, sf_dir):
-    kept = F.when((F.pmod("step", F.lit(7)) == 0) & (F.col("step") < 50), F.col("value"))
-    return X.metrics(spark, sf_dir).groupBy("name").agg(r6(metrics.share_mean(kept), "share"))
+    """The mean share of each epoch, over the steps that measured one; 0 for an epoch without any."""
+    measured = F.when(F.pmod("user_id", F.lit(3)) > 0, F.col("value"))
+    return X.metrics(spark, sf_dir).groupBy("name", F.floor(F.col("step") / 50).alias("epoch")).agg(r6(metrics.share_mean(measured), "share"))
 
 
 # the fold as a weighted sum: x_n counts (1 - d(n)) d(n + 1) ... d(N), the product as a difference of sums of logarithms
@@ -217,9 +218,13 @@ def param_count(spark, sf_dir):
     return X.table(spark, sf_dir, "part").groupBy("p_brand").agg(F.sum(F.aggregate(shape, F.lit(1).cast("long"), lambda a, x: a * x)).alias("n_params"))
 
 
-@query("SELECT vec_id, round(ln(greatest(least(greatest(CAST(embedding[1] AS DOUBLE), 0), 1), 1e-5) / greatest(1 - least(greatest(CAST(embedding[1] AS DOUBLE), 0), 1), 1e-5)), 6) AS logit FROM embeddings")
+@query(
+    """WITH e AS (SELECT vec_id, i - 1 AS place, least(greatest(CAST(embedding[i] AS DOUBLE), 0), 1) AS p FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings))
+  SELECT vec_id, CAST(place AS INT) AS place, round(ln(greatest(p, 1e-5) / greatest(1 - p, 1e-5)), 6) AS logit FROM e"""
+)
 def inverse_sigmoid(spark, sf_dir):
-    return X.table(spark, sf_dir, "embeddings").select("vec_id", r6(M.inverse_sigmoid(F.get("embedding", F.lit(0)).cast("double")), "logit"))
+    each = X.table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("place", "p"))
+    return each.select("vec_id", "place", r6(M.inverse_sigmoid(F.col("p").cast("double")), "logit"))
 
 
 @query(
