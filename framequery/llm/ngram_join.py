@@ -5,8 +5,9 @@ A document's set is its distinct word shingles. Two documents link when
 components hold nothing else. Shingles are compared by 64-bit hashes, equal sets by 128.
 
 1. Documents with equal sets form a class; classes are joined.
-2. Shingle frequencies over all documents go into a counter table of fixed size, which
-   gives the global rare-first order: (frequency level, hash).
+2. Shingle frequencies over all documents go into a table of counters, one for some ten
+   shingles as long as 2^25 counters are enough for that, which gives the global rare-first
+   order: (frequency level, hash).
 3. Each class sends the rarest n - ceil(t n) + 1 shingles of its set, each with its
    position and a signature of the suffix after it (counts over 8 ranges of the hash).
    Shingles met in one class only are dropped. Where a bucket turns out to be large all the
@@ -44,8 +45,9 @@ from .components import components, contracted
 from .textbytes import U64, WordHasher, mix64, row_groups, text_buffers
 
 _WORD = bytes(b for b in range(256) if b not in b"\x20\x09\x0a\x0b\x0c\x0d")
-#: Counters of the frequency table, and how many of them travel in one row.
-SLOT_BITS, CHUNK = 21, 1 << 16
+#: Bytes of text for a counter of the frequency table, the table's least and largest size (as powers of two; 32 MB
+#: are broadcast at most), and how many counters travel in one row.
+SLOT_BYTES, LEAST_BITS, MOST_BITS, CHUNK = 64, 16, 25, 1 << 16
 #: Rows of a part of a frequent shingle's bucket, and how often a counter has to exceed the mean for that.
 BUCKET, FREQUENT = 1 << 16, 64
 #: Bound on the shingles (8 bytes each) that are counted as frequent by the size of their buckets.
@@ -100,34 +102,46 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _profile(docs: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
-    """A row per document (doc_id, mark, cls, alt, n) and rows of counters (part, chunk, counts)."""
+def slot_bits(source: DataFrame) -> int:
+    """The size of the frequency table, from that of the texts."""
+    size = source.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, (int(size) // SLOT_BYTES).bit_length()))
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """A chunk of counters: a byte for each, then places and counts of those of 255 and more."""
+    large = np.flatnonzero(counts >= 255)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.astype(np.uint16).tobytes() + counts[large].astype(np.uint32).tobytes()
+
+
+def _unpacked(content: bytes) -> np.ndarray:
+    if len(content) == 8 * CHUNK:
+        return np.frombuffer(content, np.int64)
+    counts = np.frombuffer(content, np.uint8, CHUNK).astype(np.int64)
+    n = (len(content) - CHUNK) // 6
+    counts[np.frombuffer(content, np.uint16, n, CHUNK)] = np.frombuffer(content[CHUNK + 2 * n :], np.uint32)
+    return counts
+
+
+def _profile(docs: DataFrame, k: int, seed: int, bits: int, slots: int) -> DataFrame:
+    """A row per document (doc_id, mark, cls, alt, n) and rows of 2^slots counters (part, chunk, counts)."""
     names = ["doc_id", "mark", "cls", "alt", "n", "part", "chunk", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shingler, counts = Shingler(k, seed), np.zeros(1 << SLOT_BITS, np.int64)
-        waiting: list[np.ndarray] = []  # counted in turns of many, since a turn costs a pass over all counters
-
-        def count(least: int) -> None:
-            if waiting and sum(map(len, waiting)) >= least:
-                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << SLOT_BITS), out=counts)
-                waiting.clear()
-
+        shingler, counts = Shingler(k, seed), np.zeros(1 << slots, np.uint32)
         for batch in batches:
             offsets, data = text_buffers(batch.column(2))
             for a, b in row_groups(offsets):
                 sets = shingler.sets(offsets[a : b + 1], data)
-                waiting += [(s >> U64(64 - SLOT_BITS)).astype(np.int32) for s in sets]
-                count(1 << 19)
+                own, n = np.unique((np.concatenate([np.zeros(0, U64), *sets]) >> U64(64 - slots)).astype(np.int64), return_counts=True)
+                counts[own] += n.astype(np.uint32)
                 cls, alt = zip(*(identity(s, bits) for s in sets), strict=True)
                 yield pack(b - a, doc_id=batch.column(0).slice(a, b - a), mark=batch.column(1).slice(a, b - a), cls=pa.array(cls, pa.int64()), alt=pa.array(alt, pa.int64()), n=pa.array([len(s) for s in sets], pa.int64()))
-        count(0)
-        if counts.any():
-            low = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(-1, CHUNK)
-            for chunk, row in enumerate(low):
-                yield pack(1, part=pa.array([TaskContext.get().partitionId()], pa.int64()), chunk=pa.array([chunk], pa.int64()), counts=pa.array([row.tobytes()], pa.binary()))
+        for chunk, row in enumerate(counts.reshape(-1, CHUNK)):
+            if row.any():
+                yield pack(1, part=pa.array([TaskContext.get().partitionId()], pa.int64()), chunk=pa.array([chunk], pa.int64()), counts=pa.array([_packed(row)], pa.binary()))
 
     def pack(rows: int, **known: pa.Array) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([known.get(c, pa.nulls(rows, pa.binary() if c == "counts" else pa.int64())) for c in names], names=names)
@@ -135,8 +149,8 @@ def _profile(docs: DataFrame, k: int, seed: int, bits: int) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"{c} {'binary' if c == 'counts' else 'long'}" for c in names))
 
 
-def _levels(counters: DataFrame) -> np.ndarray:
-    """The frequency table: a level (about 4 log2 of the count) per counter, 2 MB at any input size.
+def _levels(counters: DataFrame, slots: int) -> np.ndarray:
+    """The frequency table: a level (about 4 log2 of the count) per counter, a byte each.
 
     Partial tables are added in a tree of groups of at most 32, never all in one task.
     """
@@ -146,10 +160,10 @@ def _levels(counters: DataFrame) -> np.ndarray:
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(CHUNK, np.int64)
         for x in frame["counts"]:
-            total += np.frombuffer(x, np.uint16 if len(x) == 2 * CHUNK else np.int64)
+            total += _unpacked(x)
         return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // 32], "chunk": [int(frame["chunk"].iloc[0])], "counts": [total.tobytes()]})
 
-    out = np.zeros((1 << SLOT_BITS) // CHUNK * CHUNK, np.uint8)
+    out = np.zeros(1 << slots, np.uint8)
     if width is None:
         return out
     while True:
@@ -185,6 +199,7 @@ def _postings(source: DataFrame, levels: np.ndarray, common: np.ndarray, k: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, (level, last, parts), sent = Shingler(k, seed), held.value, set()
+        slots = len(level).bit_length() - 1
         for batch in batches:
             offsets, data = text_buffers(batch.column(0))
             for a, b in row_groups(offsets):
@@ -193,7 +208,7 @@ def _postings(source: DataFrame, levels: np.ndarray, common: np.ndarray, k: int,
                     if not len(s) or (cls := identity(s, bits)[0]) in sent:
                         continue
                     sent.add(cls)
-                    order = level[(s >> U64(64 - SLOT_BITS)).astype(np.int64)]
+                    order = level[(s >> U64(64 - slots)).astype(np.int64)]
                     if len(last):
                         order[last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s] = 255
                     rank = (order.astype(U64) << U64(56)) | (s >> U64(8))
@@ -332,8 +347,9 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int =
     """(rows, groups): rows has doc_id, cls, n of every document; groups has cls, class_id and component (smallest doc_ids)."""
     text = F.col("text").cast("string")
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"))
+    slots = slot_bits(source)
     while True:
-        profile = spill(_profile(source, words, seed, bits), "profile")
+        profile = spill(_profile(source, words, seed, bits, slots), "profile")
         rows = profile.where("part is null").select("doc_id", "mark", "cls", "alt", "n")
         # a class stands for one row of it, told by id and text; ids of null come last
         first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark"))
@@ -341,7 +357,7 @@ def link_classes(docs: DataFrame, words: int = 5, percent: int = 80, seed: int =
         if classes.where("low <> high").limit(1).count() == 0:
             break
         seed, bits = seed + 1, 64  # two sets met in one class id: hash anew
-    levels = _levels(profile.where("part is not null"))
+    levels = _levels(profile.where("part is not null"), slots)
     common = np.zeros(0, U64)
     for _ in range(2):
         shared = spill(_shared(_postings(source, levels, common, words, percent, seed, bits), percent), "postings")
