@@ -19,7 +19,8 @@ double precision, ties to the smaller id. The sample gives that bound and no res
 Defined cases: vectors that are null, zero, or hold null or non-finite components take
 no part, nor do rows with a null id or with another length than most; equal rows count
 once; a query never finds rows of its own id; with fewer than k candidates all are
-returned; an empty table gives an empty result.
+returned; an empty table gives an empty result; other columns, whatever their names, are not
+read. Vectors are as long as they are: a row has to fit in a task.
 """
 
 from __future__ import annotations

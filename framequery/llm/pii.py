@@ -13,6 +13,9 @@ valid. Values that fail validation stay as they are, but for phone numbers writt
 1900 to 2099; a slash date is month first unless its first field is over 12. Phone
 numbers are those of the +1 plan; the length of an IBAN is not checked by country.
 
+Finds that overlap: of two, the kind that comes first in ``PATTERNS`` stays, and of one kind the
+one that begins first.
+
 Defined cases: null text stays null with no finds; texts of any length are searched
 whole; other columns pass through and the added ``pii`` column takes a suffix on a
 clash; an empty table gives an empty result.

@@ -14,7 +14,8 @@ rows. Defined cases: null text scores like an empty text; null labels and labels
 unknown documents are ignored; conflicting labels of one document are separate
 examples; with one class or no labels every text scores the smoothed base rate; a text
 of any length is normalised whole and hashed in slices that overlap by the longest
-n-gram less one; empty tables work.
+n-gram less one; repeated rows score alike; a null id is no label's document; empty tables work; other
+columns pass through, and the score's own column takes a suffix where a name clashes.
 """
 
 from __future__ import annotations
