@@ -3,6 +3,15 @@
 Every stage is a function (spark, docs, sf_dir) -> DataFrame over all rows its
 predecessor kept; its result is written as Parquet in the shared folder and read back
 as the next stage's input. All stages but the last return the columns of ``docs``.
+
+Defined cases. Null and empty texts: kept by every stage that filters (they score the empty text's
+toxicity, hold no line and no shingle, and no benchmark window), of size 0 in the mix, where they follow their source's rate.
+Null ids: rows of their own; near copies among them are told apart by a row key. Ties: a boilerplate line and a group of near copies
+stay with the smallest id. Repeated rows: one stays after the near copies' stage, as many as there are before it.
+Texts of any length go through every stage whole. Empty tables give empty results. Other columns pass through, and
+helper columns never clash with them.
+
+A stage returns a plan that runs when it is written, so the bound on Arrow batches is set for the session and left there.
 """
 
 from __future__ import annotations
