@@ -92,13 +92,17 @@ def recognizer_input(img: np.ndarray, rec_h: int = 48, rec_w: int = 320, max_w:
     return out
 
 
+# The shares of blue, green and red in grey.
+GREY = np.array([0.114, 0.587, 0.299])
+
+
 def equalized_gray(img: np.ndarray, longest: int) -> np.ndarray:
     """Long side limited, luminance equalised by its histogram, back to three channels."""
     h, w = img.shape[:2]
     if max(h, w) > longest:
         ratio = longest / max(h, w)
         img = resize(img, max(1, int(w * ratio)), max(1, int(h * ratio)))
-    gray = np.rint(img @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+    gray = np.rint(img @ GREY).astype(np.uint8)
     total = np.bincount(gray.ravel(), minlength=256).cumsum()
     first = total[np.flatnonzero(total)[0]]
     if total[-1] > first:
@@ -106,6 +110,40 @@ def equalized_gray(img: np.ndarray, longest: int) -> np.ndarray:
     return np.repeat(gray[:, :, None], 3, axis=2)
 
 
+def _rounded(img: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(img + 0.5), 0, 255).astype(np.uint8)
+
+
+def turned_hue(img: np.ndarray, turn: float) -> np.ndarray:
+    """The colours' angle moved by a share of a whole turn, saturation and value as they were."""
+    bgr = img.astype(np.float64) / 255
+    top, low = bgr.max(axis=2), bgr.min(axis=2)
+    span = top - low
+    safe = np.where(span > 0, span, 1.0)
+    b, g, r = (bgr[:, :, k] for k in range(3))
+    sector = np.where(top == r, (g - b) / safe % 6, np.where(top == g, (b - r) / safe + 2, (r - g) / safe + 4))
+    hue = (sector / 6 + turn) % 1.0 * 6
+    share = lambda n: top - span * np.clip(np.minimum((n + hue) % 6, 4 - (n + hue) % 6), 0, 1)
+    return _rounded(np.stack([share(1), share(3), share(5)], axis=2) * 255)
+
+
+def distorted(img: np.ndarray, brightness: float | None, contrast: float | None, saturation: float | None, hue: float | None, contrast_first: bool) -> np.ndarray:
+    """A BGR image with its light, contrast, colours and hue changed; None leaves one alone. Contrast is about the mean grey."""
+    out = img
+    if brightness is not None:
+        out = _rounded(out * brightness)
+
+    def contrasted(x: np.ndarray) -> np.ndarray:
+        return x if contrast is None else _rounded(x * contrast + (1 - contrast) * float((x @ GREY).mean()))
+
+    out = contrasted(out) if contrast_first else out
+    if saturation is not None:
+        out = _rounded(out * saturation + (1 - saturation) * (out @ GREY)[:, :, None])
+    if hue is not None:
+        out = turned_hue(out, hue)
+    return out if contrast_first else contrasted(out)
+
+
 def draw_rectangle(img: np.ndarray, x1: int, y1: int, x2: int, y2: int, colour: tuple[int, int, int], thickness: int = 2) -> np.ndarray:
     """A copy of the image with a box drawn on it."""
     out, t = img.copy(), thickness

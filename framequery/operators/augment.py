@@ -27,6 +27,22 @@ def flipped(truths: DataFrame, seed: int, image: str = "image_id", probability:
     return truths.withColumns({"flip": turn, "x1": F.when(turn, x1).otherwise(F.col("x1")), "x2": F.when(turn, x2).otherwise(F.col("x2"))})
 
 
+# The ranges of the photometric factors, and of the turn of the hue (in turns).
+BRIGHTNESS, CONTRAST, SATURATION, HUE = (0.875, 1.125), (0.5, 1.5), (0.5, 1.5), (-0.05, 0.05)
+
+
+def photometric(images: DataFrame, seed: int, image: str = "image_id", probability: float = 0.5) -> DataFrame:
+    """Images with drawn ``brightness``, ``contrast``, ``saturation`` and ``hue``, each null (left alone) with 1 - probability,
+    and ``contrast_first``: whether contrast comes before the colours or after them. ``pixels.distorted`` applies them."""
+
+    def drawn(name: str, span: tuple[float, float]) -> Column:
+        return F.when(draw(seed, f"{name}-use", image) < probability, span[0] + (span[1] - span[0]) * draw(seed, name, image))
+
+    spans = {"brightness": BRIGHTNESS, "contrast": CONTRAST, "saturation": SATURATION, "hue": HUE}
+    added = {name: drawn(name, span) for name, span in spans.items()}
+    return images.withColumns({**added, "contrast_first": draw(seed, "contrast-first", image) < 0.5})
+
+
 def zoomed_out(truths: DataFrame, seed: int, image: str = "image_id", probability: float = 0.5, most: float = 4.0) -> DataFrame:
     """Images put at a random place of a canvas 1 to ``most`` times as large; adds ``zoom``, ``left`` and ``top``."""
     zoom = F.when(draw(seed, "zoom", image) < probability, 1 + draw(seed, "ratio", image) * (most - 1)).otherwise(1.0)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import maths as M
+from ..plans.runtime import broadcast_small
 
 
 def best_steps(steps: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def ctc_decode(steps: DataFrame, letter: Column | None = None, alphabet: DataFra
     """
     kept = emitted(best_steps(steps))
     if alphabet is not None:
-        kept = kept.join(F.broadcast(alphabet), "idx", "left")
+        kept = kept.join(broadcast_small(alphabet), "idx", "left")
         letter = F.when(F.col("ch").isNull(), F.raise_error(F.lit("class outside the alphabet")).cast("string")).otherwise(F.col("ch"))
     pieces = F.array_sort(F.collect_list(F.struct("t", letter.alias("ch"))))
     text = kept.groupBy("crop_id").agg(F.array_join(F.transform(pieces, lambda x: x["ch"]), "").alias("text"), F.avg(F.col("best").cast("double")).alias("confidence"))

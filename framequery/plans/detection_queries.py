@@ -269,7 +269,7 @@ def mask_boxes(spark, sf_dir):
 )
 def label_remap(spark, sf_dir):
     table = spark.createDataFrame([(0, 1), (1, 18), (2, 44)], "class_id int, category int")
-    return X.detections(spark, sf_dir).join(F.broadcast(table), "class_id").select("frame_id", "det_id", "category")
+    return X.detections(spark, sf_dir).join(table, "class_id").select("frame_id", "det_id", "category")
 
 
 @query(f"{_D} SELECT frame_id, det_id, 'fine' AS part FROM det WHERE class_id = 0 UNION ALL SELECT frame_id, det_id, 'middle' FROM det WHERE class_id = 1 UNION ALL SELECT frame_id, det_id, 'coarse' FROM det WHERE class_id = 2")

@@ -38,7 +38,7 @@ DETECTIONS_SQL = """det AS (
 #: The same regions on sixteen crowded frames of 20000 x 20000, one in a thousand of them twenty times as large.
 CROWD_SQL = """crowd AS (
  SELECT frame_id, det_id, x1, y1, x1 + w * far AS x2, y1 + h * far AS y2 FROM (
-  SELECT l_suppkey % 16 AS frame_id, l_orderkey * 8 + l_linenumber AS det_id,
+  SELECT l_suppkey % 16 AS frame_id, (l_orderkey * 8 + l_linenumber) * 1000003 + (l_partkey * 7919 + l_suppkey * 104729 + CAST(l_quantity AS BIGINT)) % 1000003 AS det_id,
    CAST((l_partkey*131 + l_linenumber*1009 + l_orderkey*7) % 20000 AS DOUBLE) AS x1,
    CAST((l_suppkey*977 + l_orderkey*31 + l_linenumber*57) % 20000 AS DOUBLE) AS y1,
    l_quantity * CAST(4 AS DOUBLE) AS w, CAST(l_linenumber*30 AS DOUBLE) AS h, CASE WHEN l_orderkey % 997 = 0 THEN 20 ELSE 1 END AS far FROM lineitem) t)"""

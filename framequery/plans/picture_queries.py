@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..functions import text as T
-from ..operators import frames, metrics, scoring
+from ..operators import augment, frames, metrics, scoring
 from ..sources import images, sinks
 from ..streaming import frames as stream
 from . import fixtures as X
@@ -229,6 +229,41 @@ def prepared_frames(spark, sf_dir):
     return out.select(_name("origin"), "padding", F.round("largest", 6).alias("largest"), "read_width", "light", "doubled")
 
 
+def _uniform(name: str) -> str:
+    return f"(CAST(CAST('0x' || substr(md5('9:{name}:' || stem || suffix), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496)"
+
+
+def _factor(name: str, low: float, high: float) -> str:
+    return f"CASE WHEN {_uniform(name + '-use')} < 0.5 THEN {low}::DOUBLE + {high - low}::DOUBLE * {_uniform(name)} END"
+
+
+# the pictures are grey, so that saturation and hue leave them alone; ground and box are followed one by one
+@query(
+    f"""{_P}, d AS (SELECT *, {_factor("brightness", 0.875, 1.125)} AS b, {_factor("contrast", 0.5, 1.5)} AS c, (x2 - x1) * (y2 - y1) AS n FROM pic),
+  l AS (SELECT *, coalesce(floor(10 * b + 0.5), 10) AS g, coalesce(floor(100 * b + 0.5), 100) AS f FROM d),
+  m AS (SELECT *, (g * (width * height - n) + f * n) / (width * height) AS mean FROM l)
+  SELECT stem || suffix AS name, CAST(CASE WHEN c IS NULL THEN g ELSE least(greatest(floor(g * c + (1 - c) * mean + 0.5), 0), 255) END AS INT) AS ground, CAST(CASE WHEN c IS NULL THEN f ELSE least(greatest(floor(f * c + (1 - c) * mean + 0.5), 0), 255) END AS INT) AS box FROM m"""
+)
+def distorted_frames(spark, sf_dir):
+    """Photometric distortion with drawn factors, shown by a frame's first pixel and by one inside its box."""
+    good = _decoded(spark, sf_dir).where("error IS NULL").withColumn("origin", T.base_name(F.col("origin")))
+    drawn = augment.photometric(good.select("origin", "height", "width", "data"), 9, "origin")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in range(batch.num_rows):
+                origin, h, w, data, *factors = (batch.column(i)[row].as_py() for i in range(9))
+                img = pixels.distorted(pixels.image(data, h, w), *factors)
+                k = int(origin[3:12])
+                rows.append((origin, int(img[0, 0, 0]), int(img[24 + k % 4, 2 + k % 5, 2])))
+            name, ground, box = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(ground, pa.int32()), pa.array(box, pa.int32())], names=["name", "ground", "box"])
+
+    factors = ["brightness", "contrast", "saturation", "hue", "contrast_first"]
+    return drawn.select("origin", "height", "width", "data", *factors).mapInArrow(run, "name string, ground int, box int")
+
+
 @query("SELECT 'broken.png' AS name, 'not an image of a known format' AS error")
 def quarantined(spark, sf_dir):
     _, bad = sinks.split_errors(_decoded(spark, sf_dir), "data")

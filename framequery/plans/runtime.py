@@ -9,11 +9,13 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _KEY = "spark.checkpoint.dir"
 
@@ -54,18 +56,33 @@ def shared_dir(spark: SparkSession) -> str:
 _STEP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
+#: Steps that run now in each session, and the settings before the first of them.
+_RUNNING: dict[str, tuple[int, dict[str, str | None]]] = {}
+_TURN = threading.Lock()
+
+
 @contextmanager
 def _step(spark: SparkSession) -> Iterator[None]:
-    """The session as it was, but for the settings of a step; they are put back at its end."""
-    before = {key: spark.conf.get(key, None) for key in _STEP}
+    """The session as it was, but for the settings of a step; they are put back when its last step ends, also if threads share it."""
+    session = spark._jsparkSession.sessionUUID()
+    with _TURN:
+        running, before = _RUNNING.get(session, (0, None))
+        if before is None:
+            before = {key: spark.conf.get(key, None) for key in _STEP}
+            for key, value in _STEP.items():
+                if not (key.endswith("maxRecordsPerBatch") and 0 < int(before[key] or 0) < int(value)):
+                    spark.conf.set(key, value)
+        _RUNNING[session] = running + 1, before
     try:
-        for key, value in _STEP.items():
-            if not (key.endswith("maxRecordsPerBatch") and 0 < int(before[key] or 0) < int(value)):
-                spark.conf.set(key, value)
         yield
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        with _TURN:
+            running, before = _RUNNING.pop(session)
+            if running > 1:
+                _RUNNING[session] = running - 1, before
+            else:
+                for key, value in before.items():
+                    spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -89,6 +106,11 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has so many (short) rows at most; else as it is, to be joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def is_scan(df: DataFrame) -> bool:
     """Whether ``df`` only reads files, or rows kept by ``cut``, with filters and JVM expressions: cheap to run twice."""
     plan = df._jdf.queryExecution().optimizedPlan()

@@ -203,7 +203,7 @@ def param_difference(spark, sf_dir):
 @query("SELECT count(*) AS n_absent FROM nation n WHERE NOT EXISTS (SELECT 1 FROM region r WHERE r.r_regionkey = n.n_regionkey)")
 def subset_check(spark, sf_dir):
     nation, region = X.table(spark, sf_dir, "nation"), X.table(spark, sf_dir, "region")
-    return nation.join(F.broadcast(region), nation["n_regionkey"] == region["r_regionkey"], "left_anti").agg(F.count("*").alias("n_absent"))
+    return nation.join(region, nation["n_regionkey"] == region["r_regionkey"], "left_anti").agg(F.count("*").alias("n_absent"))
 
 
 @query("SELECT CAST(i.r - 1 AS INT) AS new_position, n_name FROM (VALUES (1, 7), (2, 3), (3, 24), (4, 0)) i(r, old) JOIN nation ON n_nationkey = i.old")

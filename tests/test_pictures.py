@@ -79,3 +79,32 @@ def test_runtimes_that_are_absent_say_so():
         factory = scoring.resolve("detector", name)
         with pytest.raises(RuntimeError, match="needs the package"):
             getattr(other_models, factory.partition(":")[2])(path="none")
+
+
+def test_distortion_leaves_grey_and_follows_colours():
+    import colorsys
+
+    img = RNG.integers(0, 256, (6, 5, 3)).astype(np.uint8)
+    assert (pixels.distorted(img, None, None, None, None, True) == img).all()
+    grey = np.repeat(img[:, :, :1], 3, axis=2)
+    assert (pixels.distorted(grey, None, None, 1.4, 0.03, False) == grey).all()
+    assert (pixels.distorted(img, 1.1, None, None, None, True) == np.clip(np.floor(img * 1.1 + 0.5), 0, 255)).all()
+    for turn in (-0.05, 0.02, 0.4):
+        out = pixels.turned_hue(img, turn)
+        for y, x in np.ndindex(6, 5):
+            b, g, r = img[y, x] / 255
+            h, s, v = colorsys.rgb_to_hsv(r, g, b)
+            want = np.array(colorsys.hsv_to_rgb((h + turn) % 1, s, v)[::-1]) * 255
+            assert np.abs(out[y, x] - want).max() <= 0.51
+    light = float((img @ pixels.GREY).mean())
+    assert np.abs(pixels.distorted(img, None, 0.5, None, None, False) - (img * 0.5 + light / 2)).max() <= 0.51
+    first, last = (pixels.distorted(img, 0.9, 1.5, 0.5, 0.04, f) for f in (True, False))
+    assert (first != last).any()
+
+
+def test_backends_are_imported_only_where_they_run():
+    import subprocess
+    import sys
+
+    code = "import sys\nfrom framequery.operators import scoring\nscoring.resolve('detector', 'onnx')\nprint([m for m in ('onnxruntime', 'openvino', 'torch', 'framequery.operators.onnx_models') if m in sys.modules])"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "[]"
