@@ -18,7 +18,7 @@ A bucket's count stops at the support: a sum of such counts reaches the support
 Defined cases: null text has no words; a null language is ``und``, as is the language of that name; empty pieces and
 repeated separators make no words; repeated rows count as often as they occur; phrases that tie in score and count are
 ranked by their UTF-8 bytes; an empty table gives no rows; other columns are not read. A text of any length
-is read whole: its words are held as numbers, 16 bytes each.
+is read whole, in pieces that end at separators, where no phrase goes on; only a stretch without any is held as one.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators import ordered
 from ..plans.runtime import spill
 from .textbytes import U64, mix64, row_groups, text_buffers
-from .wordspans import Words
+from .wordspans import Words, pieces
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 WORD = bytes(b for b in range(256) if b not in b" \t" + SEPARATORS)
@@ -238,10 +238,27 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Ar
             waiting.setdefault(name, []).append(own)
             size[name] = size.get(name, 0) + own.nbytes
             if size[name] >= CHUNK or sum(size.values()) >= 4 * CHUNK:
-                yield name, pa.concat_arrays(waiting.pop(name))
                 size.pop(name)
+                for chunk in _chunks(pa.concat_arrays(waiting.pop(name))):
+                    yield name, chunk
     for name, texts in waiting.items():
-        yield name, pa.concat_arrays(texts)
+        for chunk in _chunks(pa.concat_arrays(texts)):
+            yield name, chunk
+
+
+def _chunks(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` as they are, but for those longer than a chunk: they come in pieces that end at separators."""
+    offsets, data = text_buffers(texts)
+    long = np.flatnonzero(np.diff(offsets) > CHUNK)
+    at = 0
+    for row in long.tolist():
+        if row > at:
+            yield texts.slice(at, row - at)
+        for start, end in pieces(data, int(offsets[row]), int(offsets[row + 1]), _IS_SEPARATOR, CHUNK):
+            yield pa.array([data[start:end].tobytes()], pa.large_binary()).view(pa.large_string())
+        at = row + 1
+    if at < len(texts):
+        yield texts.slice(at)
 
 
 def _add_blocks(blocks: DataFrame, support: int) -> dict[int, bytes]:

@@ -32,19 +32,23 @@ from pyspark.sql import functions as F
 from ..operators import ordered
 from ..plans.runtime import cut, spill
 from .textbytes import row_groups, text_buffers
-from .wordspans import Words, space_after
+from .wordspans import Words, pieces, space_after
 
 #: Bytes of words: digits, letters, and all bytes of characters beyond ASCII.
 WORD = bytes([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x41, 0x5B), *range(0x80, 0x100)])
+#: Bytes of a long text that are worked on at once.
+LONG = 1 << 22
 #: Bits of a digit: a pass sends at most 2^16 counts to the driver.
 DIGIT = 16
 
 
 def feature_buckets(words: Words, texts: pa.Array, buckets: int, runs: tuple[int, int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of texts (from, to): words of each text, buckets of all features, and the text of each."""
+    """For groups of texts (from, to): words of each text, buckets of all features, and the text of each.
+
+    Where features are single words, a long text comes in pieces that end between words, one after the other.
+    """
     offsets, data = text_buffers(texts)
-    for row, end in row_groups(offsets):
-        own = offsets[row : end + 1]
+    for row, end, own in _groups(words, offsets, data, runs):
         starts, ends = words.spans(own, data)
         text = np.searchsorted(own, starts, "right") - 1
         crc, found, whose = None, [], []
@@ -61,6 +65,15 @@ def feature_buckets(words: Words, texts: pa.Array, buckets: int, runs: tuple[int
         yield row, end, np.bincount(text, minlength=end - row), *gathered
 
 
+def _groups(words: Words, offsets: np.ndarray, data: np.ndarray, runs: tuple[int, int]) -> Iterator[tuple[int, int, np.ndarray]]:
+    for row, end in row_groups(offsets):
+        if end == row + 1 and runs == (1, 1):
+            for start, stop in pieces(data, int(offsets[row]), int(offsets[end]), ~words.is_word, LONG):
+                yield row, end, np.array([start, stop])
+        else:
+            yield row, end, offsets[row : end + 1]
+
+
 def bucket_counts(texts: DataFrame, text: str, buckets: int, runs: tuple[int, int]) -> DataFrame:
     """(bucket, n) over all texts; every task adds up its own buckets first and sends a row for each."""
 
@@ -103,7 +116,7 @@ def weighted(docs: DataFrame, gain: list[int], doc_id: str = "doc_id", text: str
             for row, end, n_words, found, whose in feature_buckets(words, batch.column(1), len(table), runs):
                 total = np.zeros(end - row, np.int64)
                 np.add.at(total, whose, table[found])
-                figures[:, row:end] = n_words, np.bincount(whose, minlength=end - row), total
+                figures[:, row:end] += np.stack([n_words, np.bincount(whose, minlength=end - row), total])
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, figures)], names=["doc_id", "n_words", "n_features", "total"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -23,6 +24,23 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
+def pieces(data: np.ndarray, start: int, end: int, ends_piece: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """A text (data from start to end) in pieces that end with a byte of ``ends_piece`` (a table of 256), each the shortest of ``size`` bytes or more."""
+    at = start
+    while end - at > size:
+        cut, look = end, at + size - 1
+        while look < end:
+            found = np.flatnonzero(ends_piece[data[look : look + PIECE]])
+            if len(found):
+                cut = min(end, look + int(found[0]) + 1)
+                break
+            look += PIECE
+        yield at, cut
+        at = cut
+    if at < end or start == end:
+        yield at, end
+
+
 class Words:
     """Words as maximal runs of the bytes ``word``; A-Z read as a-z where ``lower``."""
 

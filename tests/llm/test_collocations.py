@@ -101,3 +101,15 @@ def test_empty_and_rare(spark):
     assert [tuple(r) for r in C.collocations(rare, support=3).collect()] == [("en", 1, "a b c d", 3, 3, 3, 12, 1_000_000)]
     with pytest.raises(ValueError):
         C.collocations(rare, support=0)
+
+
+def test_long_texts_come_in_pieces(spark, monkeypatch):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["Ab", "b", "é", "c"]) + rng.choice([" ", " ", " ", ". ", "\n"]) for _ in range(5000))
+    column = pa.array(["x y", text, "", None, "no end " * 900, "z"])
+    monkeypatch.setattr(C, "CHUNK", 700)
+    chunks = list(C._chunks(column))
+    assert "".join(t or "" for c in chunks for t in c.to_pylist()) == "".join(t or "" for t in column.to_pylist())
+    assert len(chunks) > 20 and sum(len(c) == 1 and len(c[0].as_py() or "") > 2000 for c in chunks) == 1  # what has no separator stays whole
+    df = spark.createDataFrame([("en", t) for t in column.to_pylist()], "lang string, text string")
+    assert sorted(map(tuple, C.collocations(df, support=9, top=50).collect())) == sorted(_plainly([("en", t) for t in column.to_pylist()], 9, 4, 50))

@@ -88,3 +88,21 @@ def test_words_and_checksums():
     assert crc.tolist() == [zlib.crc32(w.encode()) for w in plain]
     assert words.crc32(data, starts, ends, wordspans.space_after(crc)).tolist() == [zlib.crc32(f"{w} {w}".encode()) for w in plain]
     assert len(words.spans(np.zeros(1, np.int64), np.zeros(0, np.uint8))[0]) == 0
+
+
+def test_long_texts_come_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = ["a b", "".join(rng.choice(["Ab", "é", "c9", "x" * 50]) + rng.choice([" ", "-", ". "]) for _ in range(200_000)), "", "w" * 700_000, None]
+    words = wordspans.Words(resampling.WORD)
+
+    def found():
+        out = [[] for _ in texts]
+        for row, _, n, buckets, whose in resampling.feature_buckets(words, pa.array(texts), 997, (1, 1)):
+            assert n.sum() == len(buckets)
+            for b, w in zip(buckets.tolist(), whose.tolist(), strict=True):
+                out[row + w].append(b)
+        return out
+
+    whole = found()
+    monkeypatch.setattr(resampling, "LONG", 10_000)
+    assert found() == whole == [[zlib.crc32(w.encode()) % 997 for w in _words(t)] for t in texts]
