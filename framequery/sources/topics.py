@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import time
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +44,7 @@ def open_topics(spark: SparkSession, path: str, topic: str, order: str, every: i
     """The log under ``path`` as a stream, ``every`` microseconds a trigger, up to time ``last`` (else to its end).
 
     ``queue`` 0 keeps everything. With ``report`` dropped messages come too, marked in DROPPED. ``group`` names
-    the consumer whose position is kept beside the log.
+    the consumer whose position is kept beside the log; it belongs to one checkpoint.
     """
     log = spark.read.parquet(path)
     first, end = log.agg(F.min(STAMP), F.max(STAMP)).first()
@@ -158,6 +159,4 @@ class TopicsReader(DataSourceStreamReader):
 
 def _deal(topic: object, tasks: int) -> int:
     """A task number that is the same in every process."""
-    import zlib
-
     return zlib.crc32(str(topic).encode()) % tasks
