@@ -64,6 +64,11 @@ def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.decode_images(images.image_files(spark, X.pictures(spark, sf_dir), with_content=True).drop("length"))
 
 
+def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = X.pictures(spark, sf_dir)
+    return images.stream_images(spark, folder, images.files_per_trigger(spark, folder)).drop("length")
+
+
 def _name(c: str):
     return T.base_name(F.col(c)).alias("name")
 
@@ -117,7 +122,7 @@ def empty_crops(spark, sf_dir):
 @query(f"{_P}, {_FOUND} SELECT *, true AS stamped FROM found")
 def image_stream(spark, sf_dir):
     out, again = _folder(spark, "texts"), _folder(spark, "progress")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
+    files = _streamed(spark, sf_dir)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -131,7 +136,7 @@ def image_stream(spark, sf_dir):
 def stream_totals(spark, sf_dir):
     """Running counts of a stream, its numbered frames, and a sink that may fail, flushed at the end."""
     out, again, counts = _folder(spark, "totals"), _folder(spark, "progress"), stream.Numbers(_folder(spark, "numbers"), "origin")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
+    files = _streamed(spark, sf_dir)
     told: list[int] = []
 
     def count(decoded: DataFrame) -> DataFrame:
@@ -158,7 +163,7 @@ def stream_totals(spark, sf_dir):
 def stream_counters(spark, sf_dir):
     """Counters of a stream's whole life, kept by Spark's state and written anew after each batch."""
     out = _folder(spark, "counters")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
+    files = _streamed(spark, sf_dir)
     decoded = images.decode_images(files).where("error IS NULL")
     k = F.substring(T.base_name(F.col("origin")), 4, 9).cast("int")
     counted = stream.running_totals(decoded.select((2 + F.pmod(k, F.lit(3))).cast("long").alias("det_count"), (F.col("width").cast("double") / 64).alias("det_s")), ["det_s"])
@@ -186,7 +191,7 @@ def annotated_frames(spark, sf_dir):
 def annotated_stream(spark, sf_dir):
     """Annotated frames as a stream's own sink, beside one that fails: the results are written all the same."""
     out, drawn = _folder(spark, "texts"), _folder(spark, "drawn")
-    files = images.stream_images(spark, X.pictures(spark, sf_dir), 40).drop("length")
+    files = _streamed(spark, sf_dir)
     told: list[int] = []
 
     def write(batch: DataFrame, number: int) -> None:

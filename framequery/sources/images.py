@@ -74,6 +74,17 @@ def decode_images(files: DataFrame, path: str = "path", content: str = "content"
     return files.select(F.col(path).cast("string"), content, *kept).mapInArrow(run, schema)
 
 
+def files_per_trigger(spark: SparkSession, folder: str, least: int = 40, triggers: int = 25, most_bytes: int = 256 << 20) -> int:
+    """A trigger's share of what lies in a folder now: ``triggers`` triggers in all, so that their fixed cost does not grow with the folder.
+
+    Never fewer than ``least`` files; beyond them no more than make up ``most_bytes``, as large files are work enough.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place)
+    files, size = found.getFileCount(), found.getLength()
+    return max(least, min(-(-files // triggers), files * most_bytes // max(size, 1)))
+
+
 def stream_images(spark: SparkSession, folder: str, files_per_trigger: int = 10) -> DataFrame:
     """Encoded frames as a stream of a folder's files; the file time is the event time.
 

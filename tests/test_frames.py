@@ -135,3 +135,12 @@ def test_reports(spark, tmp_path):
     assert sinks.write_report(totals, str(tmp_path / "r")) and not sinks.write_report(metrics.run_totals(per.limit(0), ["det_s"]), str(tmp_path / "q"))
     with pytest.raises(ValueError):
         frames.batch_numbers(per, 10, 3, [F.col("frame_id")], F.lit(0))
+
+
+def test_triggers_grow_with_the_folder(spark, tmp_path):
+    for k in range(90):
+        (tmp_path / f"{k}.png").write_bytes(b"x" * 100)
+    folder = str(tmp_path)
+    assert images.files_per_trigger(spark, folder, least=4, triggers=3) == 30  # a fixed 4 would make 23 triggers
+    assert images.files_per_trigger(spark, folder, least=40, triggers=3) == 40
+    assert images.files_per_trigger(spark, folder, least=4, triggers=3, most_bytes=1000) == 10
