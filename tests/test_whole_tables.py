@@ -4,7 +4,7 @@ import math
 
 import duckdb
 
-from framequery.plans import catalog
+from framequery.plans import catalog, fixtures
 
 from test_queries import DATA
 
@@ -73,3 +73,10 @@ def test_query_select_takes_every_component(spark):
     for r in catalog.QUERIES["query_select"](spark, DATA).collect():
         got[r["method"]][r["image_id"], r["rank"]] = r["query_id"]
     assert got == want
+
+
+def test_sanitize_keeps_narrow_boxes(spark):
+    want = duckdb.sql(f"SELECT count(*) FROM '{DATA}/lineitem.parquet' WHERE l_quantity * 4 BETWEEN 4 AND 56 AND l_linenumber >= 3").fetchone()[0]
+    got = catalog.QUERIES["sanitize_boxes"](spark, DATA)
+    narrow = fixtures.detections(spark, DATA).where("x2 - x1 < 59 AND y2 - y1 > 61").join(got, ["frame_id", "det_id"], "left_semi")
+    assert want and narrow.count() == want
