@@ -76,7 +76,12 @@ def test_query_select_takes_every_component(spark):
 
 
 def test_sanitize_keeps_narrow_boxes(spark):
-    want = duckdb.sql(f"SELECT count(*) FROM '{DATA}/lineitem.parquet' WHERE l_quantity * 4 BETWEEN 4 AND 56 AND l_linenumber >= 3").fetchone()[0]
+    want = duckdb.sql(f"SELECT count(*) FROM '{DATA}/lineitem.parquet' WHERE l_quantity * 4 BETWEEN 4 AND 56 AND l_linenumber >= 3").fetchall()[0][0]
     got = catalog.QUERIES["sanitize_boxes"](spark, DATA)
     narrow = fixtures.detections(spark, DATA).where("x2 - x1 < 59 AND y2 - y1 > 61").join(got, ["frame_id", "det_id"], "left_semi")
     assert want and narrow.count() == want
+
+
+def test_three_labels_do_not_gather_the_boxes(spark):
+    plan = catalog.QUERIES["label_remap"](spark, DATA)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
