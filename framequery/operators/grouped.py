@@ -45,28 +45,6 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], columns: list[s
     return df.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
-def map_lists(df: DataFrame, key: str, columns: list[str], run: Callable[..., tuple | None], schema: str) -> DataFrame:
-    """As ``map_groups`` for one key, where ``df`` is already dealt by it (after a join): groups are
-    gathered as lists, which needs no further shuffle. A group has to fit in a row."""
-    from pyspark.sql import functions as F
-
-    names = [p.split()[0] for p in schema.split(", ")]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            flat = [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
-            out = [run((keys[i],), [c[ends[i] : ends[i + 1]] for c in flat]) for i in range(len(keys))]
-            out = [o for o in out if o is not None]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
-
-    return df.groupBy(key).agg(F.collect_list(F.struct(*columns)).alias("rows")).mapInArrow(work, schema)
-
-
 def _cuts(keys: list[np.ndarray]) -> np.ndarray:
     """Starts of the groups."""
     new = np.zeros(len(keys[0]), bool)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import maths as M
-from .grouped import map_lists
 
 # Weights of the cost terms.
 CLASS_WEIGHT, L1_WEIGHT, GIOU_WEIGHT = 2.0, 5.0, 2.0
+#: Cost of a pair that an earlier round has chosen, and cells of the tables that are assigned together.
+TAKEN, CELLS = 1e6, 1 << 20
 
 
 def cost(probability: Column, a: G.Box, b: G.Box) -> Column:
@@ -59,7 +63,7 @@ def assign(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[order], b[order]
 
 
-def repeated(costs: np.ndarray, rounds: int, taken: float = 1e6) -> list[tuple[np.ndarray, np.ndarray]]:
+def repeated(costs: np.ndarray, rounds: int, taken: float = TAKEN) -> list[tuple[np.ndarray, np.ndarray]]:
     """Assignments of several rounds; a pair chosen in a round costs ``taken`` in the later ones."""
     costs, out = np.where(np.isnan(costs), 1.0, costs), []
     for _ in range(rounds):
@@ -69,24 +73,102 @@ def repeated(costs: np.ndarray, rounds: int, taken: float = 1e6) -> list[tuple[n
     return out
 
 
+def assign_alike(costs: np.ndarray) -> np.ndarray:
+    """As ``assign`` for many tables of one shape at once, [table, row, column] without NaN: [table, short side], the place on the long side.
+
+    Every table takes the same steps as alone, so that ties fall alike; the steps of all tables are array operations.
+    """
+    c = costs.transpose(0, 2, 1) if costs.shape[1] > costs.shape[2] else costs
+    size, n, m = c.shape
+    row_price, col_price = np.zeros((size, n)), np.zeros((size, m))
+    owner, held = np.full((size, m), -1), np.full((size, n), -1)
+    for start in range(n):
+        dist, via, done = np.full((size, m), np.inf), np.full((size, m), -1), np.zeros((size, m), bool)
+        row, base, free = np.full(size, start), np.zeros(size), np.full(size, -1)
+        t = np.arange(size)  # tables still searching
+        while len(t):
+            r = row[t]
+            reach = base[t, None] + c[t, r] - row_price[t, r][:, None] - col_price[t]
+            better = ~done[t] & (reach < dist[t])
+            dist[t] = np.where(better, reach, dist[t])
+            via[t] = np.where(better, r[:, None], via[t])
+            j = np.where(done[t], np.inf, dist[t]).argmin(axis=1)
+            base[t], done[t, j] = dist[t, j], True
+            row[t] = owner[t, j]
+            ended = row[t] < 0
+            free[t[ended]] = j[ended]
+            t = t[~ended]
+        every = np.arange(size)
+        passed, at = np.nonzero(done)
+        gain = base[passed] - dist[passed, at]
+        owned = (owner[passed, at] >= 0) & (at != free[passed])
+        row_price[passed[owned], owner[passed, at][owned]] += gain[owned]
+        col_price[passed, at] -= gain
+        row_price[:, start] += base
+        t = every
+        while len(t):
+            r, f = via[t, free[t]], free[t]
+            owner[t, f] = r
+            before = held[t, r].copy()
+            held[t, r] = f
+            free[t] = before
+            t = t[r != start]
+    return held
+
+
 def hungarian(costs: DataFrame, frame: str = "frame_id", a: str = "a_det_id", b: str = "b_det_id", rounds: int = 1) -> DataFrame:
     """(frame, a, b, cost): the cheapest assignment within each frame; a frame has every (a, b) once.
 
     With ``rounds`` > 1 there is a ``round`` column: each round matches anew without the
-    pairs of those before. Pairs are gathered where the join on the frame left them.
+    pairs of those before. Pairs are gathered where the join on the frame left them; frames of a batch with as many rows
+    and columns are assigned together.
     """
+    schema = f"{frame} long, {a} long, {b} long, cost double, round long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            group = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            left, right, cost = (c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten())
+            i, rows_of, n = _places(group, left, len(keys))
+            j, cols_of, m = _places(group, right, len(keys))
+            row_start, col_start = np.cumsum(n) - n, np.cumsum(m) - m
+            found = []
+            for shape in np.unique(np.stack([n, m], axis=1), axis=0):
+                own = np.flatnonzero((n == shape[0]) & (m == shape[1]))
+                each = max(1, CELLS // int(shape.prod()))
+                for tables in (own[k : k + each] for k in range(0, len(own), each)):
+                    place = np.full(len(keys), -1)
+                    place[tables] = np.arange(len(tables))
+                    pairs = np.flatnonzero(place[group] >= 0)
+                    table = np.full((len(tables), *shape), np.nan)
+                    table[place[group[pairs]], i[pairs], j[pairs]] = cost[pairs]
+                    work, turned = np.where(np.isnan(table), 1.0, table), shape[0] > shape[1]
+                    for k in range(rounds):
+                        held = assign_alike(work)
+                        t, short = np.divmod(np.arange(held.size), held.shape[1])
+                        x, y = (held.ravel(), short) if turned else (short, held.ravel())
+                        found.append((keys[tables][t], rows_of[row_start[tables][t] + x], cols_of[col_start[tables][t] + y], table[t, x, y], np.full(len(t), k)))
+                        work[t, x, y] = TAKEN
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=[p.split()[0] for p in schema.split(", ")])
+
+    pairs = costs.select(frame, F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b), F.col("cost").cast("double").alias("cost"))
+    out = pairs.groupBy(frame).agg(F.collect_list(F.struct(a, b, "cost")).alias("rows")).mapInArrow(run, schema)
+    return out if rounds > 1 else out.drop("round")
 
-    def run(key: tuple, rows: list[np.ndarray]) -> tuple:
-        left, right, cost = rows
-        rows_of, i = np.unique(left, return_inverse=True)
-        cols_of, j = np.unique(right, return_inverse=True)
-        table = np.full((len(rows_of), len(cols_of)), np.nan)
-        table[i, j] = cost
-        found = [(np.full(len(x), key[0]), rows_of[x], cols_of[y], table[x, y], np.full(len(x), k)) for k, (x, y) in enumerate(repeated(table, rounds))]
-        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    out = map_lists(costs.select(frame, F.col(a).cast("long").alias(a), F.col(b).cast("long").alias(b), F.col("cost").cast("double").alias("cost")), frame, [a, b, "cost"], run, f"{frame} long, {a} long, {b} long, cost double, round long")
-    return out if rounds > 1 else out.drop("round")
+def _places(group: np.ndarray, ids: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The place of each id among its group's distinct ids, these ids group by group, and how many each group has."""
+    order = np.lexsort((ids, group))
+    g, v = group[order], ids[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (v[1:] != v[:-1])
+    count = np.bincount(g[first], minlength=groups)
+    place = np.empty(len(g), np.int64)
+    place[order] = np.cumsum(first) - 1 - (np.cumsum(count) - count)[g]
+    return place, v[first], count
 
 
 def matched_targets(matches: DataFrame, targets: DataFrame, image: str = "image_id", target: str = "target") -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,13 @@ def test_numbered_runs_its_child_once(spark):
     rows = spark.range(1000).select((-F.col("id")).alias("id")).mapInArrow(counted, "id long")
     assert [r["id"] for r in ordered.numbered(rows, [], [F.col("id")]).orderBy("n").collect()] == list(range(-999, 1))
     assert passed.value == 1000
+
+
+def test_assignments_of_one_shape_equal_single_ones():
+    rng = np.random.default_rng(3)
+    for n, m in [(1, 1), (1, 4), (4, 1), (3, 3), (5, 2), (4, 6)]:
+        costs = rng.integers(0, 4, (50, n, m)).astype(float)  # many ties
+        for table, held in zip(costs, match.assign_alike(costs), strict=True):
+            x, y = match.assign(table)
+            got = sorted(zip(held.tolist(), range(m))) if n > m else list(enumerate(held.tolist()))
+            assert got == list(zip(x.tolist(), y.tolist()))
