@@ -115,3 +115,19 @@ def test_assignments_of_one_shape_equal_single_ones():
             x, y = match.assign(table)
             got = sorted(zip(held.tolist(), range(m))) if n > m else list(enumerate(held.tolist()))
             assert got == list(zip(x.tolist(), y.tolist()))
+
+
+def test_suppression_of_many_groups_equals_single_ones():
+    rng = np.random.default_rng(5)
+    n = 600
+    frame, class_id = np.sort(rng.integers(0, 40, n)), np.zeros(n, int)
+    for f in range(40):
+        class_id[frame == f] = np.sort(rng.integers(0, 3, (frame == f).sum()))
+    low = rng.integers(0, 6, (n, 2)).astype(float)
+    boxes = np.hstack([low, low + rng.integers(0, 6, (n, 2))])
+    got, want = detect.suppressed_together(frame, class_id, boxes, 0.3), np.zeros(n, bool)
+    for f in range(40):
+        for c in range(3):
+            own = np.flatnonzero((frame == f) & (class_id == c))
+            want[own[detect.greedy_suppression(boxes[own], -np.arange(len(own)), 0.3)]] = True
+    assert (got == want).all() and 0 < got.sum() < n
