@@ -1,7 +1,7 @@
 """Sampling of feature maps at places between their pixels, as a gather join.
 
-A place has four taps, the pixels around it, each with its share; a tap is a row that meets its pixel by
-(map, y, x), so that maps and places of any number are dealt by pixel and nothing is a whole map in memory.
+A place has four taps, the pixels around it, each with its share. Maps of up to WHOLE pixels are a row each, and a place
+adds up its taps where it meets its map. Of larger ones a tap is a row that meets its pixel by (map, y, x), so that nothing is a whole map in memory.
 Shares and attention weights are multiplied before the sums, which every task adds up first.
 """
 
@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.runtime import free_name
+from ..plans.runtime import broadcast_small, free_name
+
+#: Pixels of a map that may travel in one row.
+WHOLE = 1 << 12
 
 
 def as_pixels(maps: DataFrame, map_id: str, values: str, width: int) -> DataFrame:
@@ -42,9 +45,26 @@ def sampled(places: DataFrame, pixels: DataFrame, keys: list[str], width: int, h
     """
     names = [free_name(n, keys) for n in ("_map", "_tap", "_weight")]
     w = F.lit(1.0) if weight is None else F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    if width * height <= WHOLE:
+        return _of_whole_maps(places, pixels, keys, width, height, method, w)
     own = places.select(*keys, F.col("map").alias(names[0]), taps(F.col("x"), F.col("y"), F.lit(width), F.lit(height), method).alias(names[1]), w.alias(names[2]))
     each = own.select(*keys, names[0], F.explode_outer(names[1]).alias(names[1]), names[2])
     each = each.select(*keys, names[0], F.col(f"{names[1]}.x").alias("_x"), F.col(f"{names[1]}.y").alias("_y"), (F.col(f"{names[1]}.share") * F.col(names[2])).alias(names[2]))
     right = pixels.select(F.col("map").alias("_pm"), F.col("y").alias("_py"), F.col("x").alias("_px"), F.col("value").alias("_value"))
     joined = each.join(right, (F.col(names[0]) == F.col("_pm")) & (F.col("_y") == F.col("_py")) & (F.col("_x") == F.col("_px")), "left")
     return joined.groupBy(*keys).agg(F.coalesce(F.sum(F.col(names[2]) * F.col("_value")), F.lit(0.0)).alias(free_name("value", keys)))
+
+
+def _of_whole_maps(places: DataFrame, pixels: DataFrame, keys: list[str], width: int, height: int, method: str, weight: Column) -> DataFrame:
+    """``sampled`` for small maps, each of them a row: a place stays one row and adds its taps up before the sums."""
+    mine, pixel, value, add = (free_name(n, [*places.columns, "_pm", "_pixels"]) for n in ("_map", "_pixel", "_value", "_add"))
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    each = pixels.where(inside).groupBy(F.col("map").alias("_pm"), (F.col("y") * width + F.col("x")).cast("int").alias(pixel)).agg(F.sum(F.col("value").cast("double")).alias(value))
+    maps = each.groupBy("_pm").agg(F.map_from_entries(F.collect_list(F.struct(pixel, value))).alias("_found"))
+    line = F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda k: F.coalesce(F.try_element_at("_found", k), F.lit(0.0)))
+    maps = broadcast_small(maps.select("_pm", line.alias("_pixels")), max(1, (1 << 22) // (width * height)))
+    of = lambda t: t["share"] * F.get("_pixels", t["y"] * width + t["x"])
+    own = taps(F.col("x"), F.col("y"), F.lit(width), F.lit(height), method)
+    joined = places.withColumn(mine, F.col("map")).withColumn(add, own).join(maps, F.col(mine) == F.col("_pm"), "left")
+    found = weight * F.aggregate(F.transform(add, of), F.lit(0.0), lambda a, b: a + b)
+    return joined.select(*keys, found.alias(add)).groupBy(*keys).agg(F.coalesce(F.sum(add), F.lit(0.0)).alias(free_name("value", keys)))

@@ -80,3 +80,16 @@ def test_overlap_crops(spark):
     whole = augment.overlap_cropped(df, 3, probability=0.0).drop("left", "top", "trial").select(df.columns)
     assert sorted(map(tuple, whole.collect())) == sorted(rows)
     assert augment.overlap_cropped(df.limit(0), 3).count() == 0
+
+
+def test_small_maps_meet_places_without_a_shuffle(spark):
+    df = spark.createDataFrame([(1, 1, 0.5, 0.5, 1.0)], "k int, map int, x double, y double, w double")
+    px = spark.createDataFrame([(1, 2, 1, 4.0), (1, 1, 1, 2.0)], "map int, y int, x int, value double")
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        out = sampling.sampled(df, px, ["k"], 4, 4, weight="w")
+        assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+        assert [tuple(r) for r in out.collect()] == [(1, 1.5)]
+    finally:
+        spark.conf.set(key, before)
