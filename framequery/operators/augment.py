@@ -77,7 +77,8 @@ def overlap_cropped(truths: DataFrame, seed: int, image: str = "image_id", proba
 
     An image draws the least overlap and then up to ``trials`` windows; the first one is taken that has a box's centre inside
     and, among such boxes, an IoU with the window of the least overlap or more. Boxes whose centre is outside go; the others
-    are cut and moved. Where no window will do, or 1 is drawn, the image stays as it is. Adds ``left``, ``top`` and ``trial`` (from 0; null
+    are cut and moved. Where no window will do, or 1 is drawn, the image stays as it is. An IoU is never more than the box's area by the
+    window's, so windows too large for the image's largest box are passed over before their place is drawn. Adds ``left``, ``top`` and ``trial`` (from 0; null
     for images left alone). Images without boxes have no rows here and need no window.
     """
     names = [c for c in truths.columns if c != image]
@@ -85,11 +86,20 @@ def overlap_cropped(truths: DataFrame, seed: int, image: str = "image_id", proba
     least = F.get(F.array(*map(F.lit, LEAST_OVERLAPS)), F.floor(draw(seed, "overlap", image) * len(LEAST_OVERLAPS)).cast("int"))
     of = lambda name, t: _drawn_for(seed, name, image, t)
 
+    area = lambda b: (b["x2"] - b["x1"]) * (b["y2"] - b["y1"])
+    shape = lambda w, h: F.coalesce((w / F.nullif(h, F.lit(0))).between(*SHAPES), F.lit(False)) & (w > 0)
+    may_fit = lambda w, h: F.coalesce((F.col("_least") <= 0) | (F.col("_least") * w * h <= F.col("_most") * (1 + 1e-9)), F.lit(True))
+    smallest = lambda c: F.floor(F.col(c) * SIDES[0])
+
     def window(t: Column) -> Column:
         side = lambda size, name: F.floor(size * (SIDES[0] + (SIDES[1] - SIDES[0]) * of(name, t))).cast("int")
         place = lambda size, own, name: F.floor((size - own) * of(name, t)).cast("int")
-        sized = F.struct(side(F.col("_w"), "crop-w").alias("w"), side(F.col("_h"), "crop-h").alias("h"))
-        return let(sized, lambda s: F.struct(place(F.col("_w"), s["w"], "crop-x").alias("left"), place(F.col("_h"), s["h"], "crop-y").alias("top"), s["w"].alias("w"), s["h"].alias("h"), t.alias("trial")))
+
+        def placed(s: Column) -> Column:
+            return F.when(shape(s["w"], s["h"]) & may_fit(s["w"], s["h"]), F.struct(place(F.col("_w"), s["w"], "crop-x").alias("left"), place(F.col("_h"), s["h"], "crop-y").alias("top"), s["w"].alias("w"), s["h"].alias("h"), t.alias("trial")))
+
+        sized = lambda w: F.struct(w.alias("w"), side(F.col("_h"), "crop-h").alias("h"))
+        return let(side(F.col("_w"), "crop-w"), lambda w: F.when(may_fit(w, smallest("_h")), let(sized(w), placed)))
 
     def iou(b: Column, s: Column) -> Column:
         wide = F.least(b["x2"], s["left"] + s["w"]) - F.greatest(b["x1"], s["left"])
@@ -99,12 +109,12 @@ def overlap_cropped(truths: DataFrame, seed: int, image: str = "image_id", proba
         return F.coalesce(inter / F.nullif(together, F.lit(0.0)), F.lit(0.0))
 
     def fits(s: Column) -> Column:
-        shape = s["w"] / F.nullif(s["h"], F.lit(0))
-        some = F.exists("_boxes", lambda b: _centre_in(b, s) & (iou(b, s) >= F.col("_least")))
-        return F.coalesce(shape.between(*SHAPES), F.lit(False)) & (s["w"] > 0) & some
+        return s.isNotNull() & F.exists("_boxes", lambda b: _centre_in(b, s) & (iou(b, s) >= F.col("_least")))
 
-    wanted = boxes.withColumn("_least", F.when(draw(seed, "crop", image) < probability, least).otherwise(1.0))
-    found = F.when(F.col("_least") < 1.0, F.get(F.filter(F.transform(F.sequence(F.lit(0), F.lit(trials - 1)), window), fits), F.lit(0)))
+    wanted = boxes.withColumn("_least", F.when(draw(seed, "crop", image) < probability, least).otherwise(1.0)).withColumn("_most", F.array_max(F.transform("_boxes", area)))
+    # a few windows first: most images that take one take an early one
+    first = [F.get(F.filter(F.transform(F.sequence(F.lit(low), F.lit(high - 1)), window), fits), F.lit(0)) for low, high in _pieces(trials)]
+    found = F.when((F.col("_least") < 1.0) & may_fit(smallest("_w"), smallest("_h")), F.coalesce(*first))
     picked = wanted.withColumn("_window", found).select(image, "_window", F.explode("_boxes").alias("_box"))
     s, b = F.col("_window"), F.col("_box")
     kept = picked.where(s.isNull() | _centre_in(b, s))
@@ -114,6 +124,11 @@ def overlap_cropped(truths: DataFrame, seed: int, image: str = "image_id", proba
     return kept.select(image, *[new.get(c, b[c]).alias(c) for c in names], *added)
 
 
+def _pieces(trials: int) -> list[tuple[int, int]]:
+    ends = [0, *[e for e in (4, 12) if e < trials], trials]
+    return list(zip(ends[:-1], ends[1:], strict=True))
+
+
 def _centre_in(b: Column, s: Column) -> Column:
     cx, cy = (b["x1"] + b["x2"]) / 2, (b["y1"] + b["y2"]) / 2
     return (cx > s["left"]) & (cx < s["left"] + s["w"]) & (cy > s["top"]) & (cy < s["top"] + s["h"])

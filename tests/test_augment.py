@@ -93,3 +93,12 @@ def test_small_maps_meet_places_without_a_shuffle(spark):
         assert [tuple(r) for r in out.collect()] == [(1, 1.5)]
     finally:
         spark.conf.set(key, before)
+
+
+def test_windows_too_large_for_the_boxes_are_not_placed(spark):
+    """The bound passes over windows and never over one that fits: a box as large as the window's least overlap."""
+    rows = [(k, k, 0.0, 0.0, w, h, 100, 100) for k in range(120) for w, h in [[(100.0, 100.0), (30.0, 30.0), (3.0, 3.0)][k % 3]]]
+    df = spark.createDataFrame(rows, "image_id int, det_id int, x1 double, y1 double, x2 double, y2 double, width int, height int").withColumns({c: F.col(c) + 40 for c in ("x1", "y1")}).withColumns({c: F.col(c) + 40 for c in ("x2", "y2")})
+    got = {r["image_id"]: r["trial"] for r in augment.overlap_cropped(df, 9).select("image_id", "trial").collect()}
+    early = [t for t in got.values() if t is not None]
+    assert len(got) == 120 and max(early) >= 4 > min(early) and augment._pieces(40) == [(0, 4), (4, 12), (12, 40)]
