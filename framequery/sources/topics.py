@@ -5,7 +5,7 @@ its next trigger is gone. Here a log of messages plays the live topics: the cloc
 each trigger, and a trigger gets, of every topic, the last ``queue`` messages of its step. The reader is
 a Python data source: offsets are times, so a restart goes on where the checkpoint ended and a batch that runs
 again reads the same messages. Topics are dealt over the tasks of a batch by hash, and a task holds
-``queue`` messages a topic at most, however many pass by.
+``queue`` messages a topic at most, however many pass by; where everything is kept, a step's time is dealt instead.
 
 The log is Parquet, written by Spark and sorted by time, so that a step's reader skips the files and row groups of other
 times. Its path must be one that pyarrow's file systems know, as executors read it outside Spark's readers.
@@ -31,6 +31,8 @@ from .stores import store
 
 #: Times of messages, in microseconds, and the flag of a dropped message.
 STAMP, DROPPED = "at_us", "dropped"
+#: Messages of a step, on average, that one task reads where nothing is dropped.
+ROWS = 250_000
 
 
 def write_log(messages: DataFrame, path: str, topic: str, order: str) -> None:
@@ -47,7 +49,9 @@ def open_topics(spark: SparkSession, path: str, topic: str, order: str, every: i
     the consumer whose position is kept beside the log; it belongs to one checkpoint.
     """
     log = spark.read.parquet(path)
-    first, end = log.agg(F.min(STAMP), F.max(STAMP)).first()
+    first, end, rows = log.agg(F.min(STAMP), F.max(STAMP), F.count("*")).first()
+    if not queue and end is not None:
+        tasks = max(tasks, -(-rows // (ROWS * max(1, -(-(end + 1 - first) // every)))))
     spark.dataSource.register(Topics)
     options = {"path": path, "topic": topic, "order": order, "every": every, "queue": queue, "tasks": tasks, "report": report, "group": group, "first": first or 0, "end": (end + 1 if end is not None else 0) if last is None else last}
     return spark.readStream.format(Topics.name()).schema(log.withColumn(DROPPED, F.lit(False)).schema).options(**{k: str(v) for k, v in options.items()}).load()
@@ -70,9 +74,9 @@ def drain(query: StreamingQuery, last: int, seconds: float = 600) -> None:
 
 
 class Step(InputPartition):
-    """The messages of some topics from one time to another."""
+    """The messages from one time to another, of some topics or (part None) of all."""
 
-    def __init__(self, start: int, end: int, part: int):
+    def __init__(self, start: int, end: int, part: int | None):
         self.start, self.end, self.part = start, end, part
 
 
@@ -107,7 +111,12 @@ class TopicsReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Step]:
         self.at = max(self.at or self.first, end["at"])
-        return [Step(start["at"], end["at"], part) for part in range(self.tasks)]
+        if self.queue:
+            return [Step(start["at"], end["at"], part) for part in range(self.tasks)]
+        # nothing is dropped, so topics may be parted: each task reads a time of its own, not the whole step
+        span = end["at"] - start["at"]
+        edges = [start["at"] + span * k // self.tasks for k in range(self.tasks + 1)]
+        return [Step(a, b, None) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b] or [Step(start["at"], end["at"], None)]
 
     def commit(self, end: dict) -> None:
         system, path = store(self.path)
@@ -127,15 +136,15 @@ class TopicsReader(DataSourceStreamReader):
         log = ds.dataset(path, filesystem=system, format="parquet")
         columns = [c for c in self.names if c != DROPPED]
         held: pa.Table | None = None
-        for batch in log.to_batches(columns=columns, filter=(stamp >= partition.start) & (stamp < partition.end)):
+        for batch in log.to_batches(columns=columns, filter=(stamp >= partition.start) & (stamp < partition.end), batch_size=1 << 14, batch_readahead=2, fragment_readahead=1):
+            if partition.part is None:
+                yield from self._marked(pa.Table.from_batches([batch]), False)
+                continue
             coded = batch.column(columns.index(self.topic)).dictionary_encode()
             own = np.array([_deal(t, self.tasks) == partition.part for t in coded.dictionary.to_pylist()], bool)
             table = pa.Table.from_batches([batch.filter(pa.array(own[coded.indices.to_numpy()]))])
             if not table.num_rows:
                 continue
-            if not self.queue:
-                yield from self._marked(table, False)
-                continue
             held, gone = self._last(table if held is None else pa.concat_tables([held, table]))
             if self.report and gone.num_rows:
                 yield from self._marked(gone, True)

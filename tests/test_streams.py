@@ -89,3 +89,10 @@ def test_numbers_read_one_earlier_batch(spark):
         want = [5 * number + i + 1 for i in range(5)]
         for _ in range(2):  # a batch that runs again
             assert [r["number"] for r in counts(batch, number).orderBy("k").collect()] == want
+
+
+def test_tasks_of_a_whole_step_read_times_of_their_own():
+    options = {"path": "x", "topic": "t", "order": "k", "every": "10", "queue": "0", "tasks": "4", "end": "9", "report": "False", "group": "g", "first": "0"}
+    steps = topics.TopicsReader(options, type("S", (), {"names": ["at_us", "t", "k", "dropped"]})).partitions({"at": 3}, {"at": 9})
+    assert [t for s in steps for t in range(s.start, s.end)] == list(range(3, 9)) and len(steps) == 4
+    assert all(s.part is None for s in steps)
