@@ -28,8 +28,9 @@ def run(
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        out = transform(batch).persist()
-        error = None
+        out, error = transform(batch), None
+        if len(sinks) + len(optional or ()) > 1:
+            out = out.persist()
         try:
             for sink in sinks:
                 try:
